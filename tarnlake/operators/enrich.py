@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tarnlake.functions.json import parse_response
 from tarnlake.functions.text import fill_template, is_blank
 from tarnlake.operators.filters import drop_blank_rows, drop_empty_rows
-from tarnlake.operators.scorers import AI_TERMS, any_term, keyword_category, keyword_sentiment
+from tarnlake.operators.scorers import (
+    AI_TERMS, any_term, keyword_category, keyword_sentiment, try_rows,
+)
 
 Scorer = Callable[[Column], Column]
 
@@ -200,52 +202,39 @@ def apply_tool(
 
 
 def transform_batch(
-    df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+    df: DataFrame,
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    path: str,
+    batch_size: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
     """(transformed rows, error rows) of a user function over batches of rows.
 
-    The batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``. Each output row has the
-    ``original`` row, the ``transformed`` one as struct of ``schema`` and the ``error``. Both
-    results come from the same lazy job; write it once when both are needed.
+    Each row has the ``original`` row as JSON and the ``transformed`` one as struct of ``schema``,
+    or the ``error``. The result is written to ``path`` once, so a costly function runs once per
+    row although two frames are returned.
     """
     out = f"original string, transformed struct<{schema}>, error string"
-    names = [part.split(":")[0].strip() for part in _top_level(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            originals = batch.pop("_original")
-            try:
-                done = function(batch)[names].to_dict("records")
-                rows = [(o, r, None) for o, r in zip(originals, done, strict=True)]
-            except Exception:
-                for i, original in enumerate(originals):
-                    try:
-                        one = function(batch.iloc[[i]])[names].to_dict("records")[0]
-                        rows.append((original, one, None))
-                    except Exception as error:
-                        rows.append((original, None, str(error)))
-            yield pd.DataFrame(rows, columns=["original", "transformed", "error"])
+        for rows in batches:
+            for start in range(0, len(rows), batch_size):
+                batch = rows.iloc[start : start + batch_size]
+                done = try_rows(function, batch.drop(columns="_original"))
+                yield pd.DataFrame(
+                    [(o, r, e) for o, (r, e) in zip(batch["_original"], done)],
+                    columns=["original", "transformed", "error"],
+                )
 
     result = df.withColumn("_original", F.to_json(F.struct(*df.columns))).mapInPandas(run, out)
+    result.write.mode("overwrite").parquet(path)
+    written = df.sparkSession.read.parquet(path)
     return (
-        result.filter("error IS NULL").drop("error"),
-        result.filter("error IS NOT NULL").drop("transformed"),
+        written.filter("error IS NULL").drop("error"),
+        written.filter("error IS NOT NULL").drop("transformed"),
     )
 
 
-def _top_level(schema: str) -> list[str]:
-    """Fields of a struct DDL body, split at commas outside of <>."""
-    parts, depth = [""], 0
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            parts.append("")
-        else:
-            parts[-1] += ch
-    return parts
-
-
 def ai_companies(df: DataFrame, column: str, terms: list[str] = AI_TERMS) -> DataFrame:
     """Rows whose text names a key term, with the label column ``AI_Classification``."""
     return df.filter(any_term(F.col(column), terms)).withColumn("AI_Classification", F.lit("Yes"))
@@ -270,14 +259,12 @@ ENTITY_PATTERNS = {
 
 def entities(text: Column, types: list[str] | None = None) -> Column:
     """array<struct<entity, type>> of the entities in a text, by type and position."""
-    lists = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[t]), F.lit(0)),
-            lambda e, t=t: F.struct(e.alias("entity"), F.lit(t).alias("type")),
-        )
-        for t in types or list(ENTITY_PATTERNS)
-    ]
-    return F.concat(*lists)
+
+    def of_type(kind: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), F.lit(0))
+        return F.transform(found, lambda e: F.struct(e.alias("entity"), F.lit(kind).alias("type")))
+
+    return F.concat(*[of_type(kind) for kind in types or list(ENTITY_PATTERNS)])
 
 
 def label_score(score: Column, positive: float = 0.7, negative: float = 0.3) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,19 +81,32 @@ def load_file(
 def load_prefix(
     spark: SparkSession, prefix: str, database: str, target: str, extensions: list[str] | None = None
 ) -> DataFrame:
-    """Load every folder or file kind below a prefix: files of one table name (the stem before the
-    first dot) are concatenated into one table; the report has one row per table.
+    """Load everything below a prefix into one table per name, and report one row per table.
 
-    Only the file list (name, path, format) comes to the driver.
+    The files and folders directly below the prefix are the units; units whose names agree up to
+    the first dot form one table, matched by column name. Only units come to the driver.
     """
-    listed = discover_files(spark, prefix, extensions).select("path", "name", "format").collect()
+    root = re.sub(r"^[a-z0-9]+:/*", "/", prefix).rstrip("/")
+    below = rf"\Q{root}/\E([^/]+)(/?)"
+    units = (
+        discover_files(spark, prefix, extensions)
+        .select(
+            F.regexp_extract("path", below, 1).alias("unit"),
+            F.regexp_extract("path", below, 2).alias("folder"),
+            "format",
+        )
+        .distinct()
+        .collect()
+    )
     groups: dict[str, list] = {}
-    for f in sorted(listed, key=lambda r: r["path"]):
-        groups.setdefault(snake_name(f["name"].split(".")[0]), []).append(f)
+    for unit, folder, kind in sorted(tuple(u) for u in units):
+        # a folder of JSON files holds JSON lines, as Spark writes them
+        kind = "jsonl" if kind == "json" and folder else kind
+        frame = read_any(spark, f"{prefix.rstrip('/')}/{unit}", kind)
+        groups.setdefault(snake_name(unit.split(".")[0]), []).append(frame)
     use_database(spark, database)
     loaded, locations = {}, {}
-    for table, files in groups.items():
-        frames = [read_any(spark, f["path"], f["format"]) for f in files]
+    for table, frames in groups.items():
         locations[table] = f"{target}/{table}"
         loaded[table] = write_table(concatenate(frames), database, table, locations[table])
     return load_report(loaded, locations)

@@ -58,17 +58,14 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_partitioned(
-    df: DataFrame, path: str, keys: list[str], dynamic: bool = False, files_per_key: int = 8
-) -> None:
+def write_partitioned(df: DataFrame, path: str, keys: list[str], dynamic: bool = False) -> None:
     """Hive-partitioned Parquet. ``dynamic`` replaces only the partitions present in ``df``.
 
-    Rows are shuffled by the keys and a random salt of ``files_per_key`` values: a partition has at
-    most that many files, and one very large partition is still written by several tasks.
+    Rows are rebalanced by the keys: small partitions share a task, and a partition that holds
+    much of the table is split into as many tasks (and files) as its size needs.
     """
-    salt = (F.rand(7) * files_per_key).cast("int")
     (
-        df.repartition(*keys, salt)
+        df.hint("rebalance", *[F.col(k) for k in keys])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy(*keys)
