@@ -52,14 +52,15 @@ REPAIR_RULES = [
 
 
 def repair_json(c: Column) -> Column:
-    """Valid JSON text from lenient JSON; text that parses already is returned unchanged, text
-    that still does not parse after all rules becomes null."""
+    """Valid JSON text from lenient JSON; text that parses already is returned unchanged, repaired
+    text in compact form, and text that still does not parse after all rules becomes null."""
     plain = strip_fences(c)
     fixed = plain
     for pattern, replacement in REPAIR_RULES:
         fixed = F.regexp_replace(fixed, pattern, replacement)
-    return F.when(F.try_parse_json(plain).isNotNull(), plain).when(
-        F.try_parse_json(fixed).isNotNull(), fixed
+    # the rules run only for text that does not parse, and once
+    return F.coalesce(
+        F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed))
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.numbers import to_number
-from tarnlake.operators.keys import narrow_key, present, row_keys
+from tarnlake.operators.keys import present, row_keys, text_key
+from tarnlake.operators.ranks import exact_quantiles
 
 AGGREGATIONS = {
     "sum": F.sum, "average": F.avg, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max,
@@ -78,44 +79,31 @@ def column_statistic(df: DataFrame, column: str, operation: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column.
+    """count, mean, std, min, quartiles and max, one row per numeric column.
 
-    Quartiles are exact: ``percentile`` counts equal values on the map side. For columns of very
-    many different values use :func:`quick_describe`.
+    Quartiles are exact with linear interpolation, found by :func:`exact_quantiles`, so no task
+    ever holds the values of a column.
     """
-    return _describe(df, columns, lambda c: F.percentile(c, F.array(F.lit(.25), F.lit(.5), F.lit(.75))))
-
-
-def quick_describe(df: DataFrame, columns: list[str], accuracy: int = 10000) -> DataFrame:
-    """As :func:`describe`, with quartiles from a sketch of bounded size."""
-    return _describe(
-        df, columns, lambda c: F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], accuracy)
-    )
-
-
-def _describe(df, columns, quartiles) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggregated = []
-    for i, name in enumerate(columns):
-        c = present(name, types[name])
-        aggregated += [
-            F.count(c).alias(f"count_{i}"),
-            F.avg(c).alias(f"mean_{i}"),
-            F.stddev_samp(c).alias(f"std_{i}"),
-            F.min(c.cast("double")).alias(f"min_{i}"),
-            quartiles(c).alias(f"q_{i}"),
-            F.max(c.cast("double")).alias(f"max_{i}"),
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    facts = df.agg(
+        *[
+            fn(present(n, types[n])).cast("long" if m == "count" else "double").alias(f"{m}_{i}")
+            for i, n in enumerate(columns)
+            for m, fn in measures.items()
         ]
+    ).first()
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = [
-        F.struct(
-            F.lit(name).alias("column"),
-            *[F.col(f"{s}_{i}").alias(s) for s in ("count", "mean", "std", "min")],
-            *[F.get(F.col(f"q_{i}"), F.lit(k)).alias(q) for k, q in enumerate(("q25", "q50", "q75"))],
-            F.col(f"max_{i}").alias("max"),
-        )
-        for i, name in enumerate(columns)
+        (n, facts[f"count_{i}"], facts[f"mean_{i}"], facts[f"std_{i}"], facts[f"min_{i}"],
+         *quartiles[n], facts[f"max_{i}"])
+        for i, n in enumerate(columns)
     ]
-    return df.agg(*aggregated).select(F.inline(F.array(*rows)))
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
+        "q75 double, max double",
+    )
 
 
 def null_percentage(df: DataFrame, column: str) -> DataFrame:
@@ -208,24 +196,25 @@ def duplicate_report(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact number of different non-null values, one row per column.
+    """Rows, non-null values (NaN counts as null) and different values, one row per column.
 
-    All columns are counted in one scan: Spark expands each row to its columns, combines equal
-    values on the map side and shuffles every (column, value) once.
+    One scan for all columns: each row is unpivoted to (column, value), equal values are combined
+    on the map side, and every (column, value) is shuffled once as a narrow key.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = columns or df.columns
-    keys = [_counted(n, types[n]).alias(f"k{i}") for i, n in enumerate(names)]
-    counted = df.select(*keys).agg(
-        *[F.count_distinct(F.col(f"k{i}")).alias(f"d{i}") for i in range(len(names))]
+    keys = df.select(*[text_key(n, types[n]).alias(f"k{i}") for i, n in enumerate(names)])
+    label = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"k{i}", n)])
+    n = F.col("n")
+    return (
+        keys.unpivot([], [f"k{i}" for i in range(len(names))], "k", "value")
+        .groupBy("k", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("k")
+        .agg(
+            F.sum(n).alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("valid_count"),
+            F.count("value").alias("distinct_count"),
+        )
+        .select(F.element_at(label, F.col("k")).alias("column"), "row_count", "valid_count", "distinct_count")
     )
-    rows = [
-        F.struct(F.lit(n).alias("column"), F.col(f"d{i}").alias("distinct_count"))
-        for i, n in enumerate(names)
-    ]
-    return counted.select(F.inline(F.array(*rows)))
-
-
-def _counted(name: str, data_type) -> Column:
-    key = narrow_key(name, data_type)
-    return F.when(~F.isnan(key), key) if data_type.typeName() in ("float", "double") else key

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tarnlake.functions.numbers import clamp01
 from tarnlake.operators.aggregates import distinct_counts
 from tarnlake.operators.keys import present
-from tarnlake.operators.quality import type_report
 from tarnlake.types import catalog_name, spark_type
 
 ISSUE = "type string, column string, expected string, actual string, severity string"
@@ -83,10 +82,9 @@ def validate_cleaning(before: DataFrame, after: DataFrame) -> DataFrame:
     same_rows = reduce(DataFrame.unionAll, counts).agg(
         (F.min("n") == F.max("n")).alias("same_row_count")
     )
-    per_column = type_report(after).join(distinct_counts(after), "column")
-    return per_column.select(
+    return distinct_counts(after).select(
         "column",
-        F.col("invalid_count").alias("null_count"),
+        (F.col("row_count") - F.col("valid_count")).alias("null_count"),
         F.col("distinct_count").alias("unique_count"),
         same_rows.scalar().alias("same_row_count"),
         F.lit(set(before.columns) == set(after.columns)).alias("same_columns"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_TEXT = 64
+DIGEST_WIDTH = 80
 
 
 def narrow_key(name: str, data_type: T.DataType) -> Column:
@@ -23,18 +24,46 @@ def narrow_key(name: str, data_type: T.DataType) -> Column:
         c = F.to_json(c)
     elif isinstance(data_type, T.BinaryType):
         c = F.base64(c)
+    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return c + F.lit(0.0).cast(data_type)  # -0.0 and 0.0 are one value
     elif not isinstance(data_type, T.StringType):
         return c
     return F.when(F.length(c) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
 
 
 def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Key columns k0, k1, … that stand for a whole row (or the given columns)."""
+    """Key columns k0, k1, … that stand for a whole row (or the given columns).
+
+    A row wider than a digest is replaced by the SHA-256 of its keys, so grouping shuffles and
+    holds 64 characters per row at most.
+    """
+    names = columns or df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keys = [narrow_key(name, types[name]).alias(f"k{i}") for i, name in enumerate(names)]
+    if sum(_width(types[name]) for name in names) <= DIGEST_WIDTH:
+        return keys
+    return [row_digest(df, names).alias("k0")]
+
+
+def row_digest(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of some columns of a row, nulls included."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return [
-        narrow_key(name, types[name]).alias(f"k{i}")
-        for i, name in enumerate(columns or df.columns)
-    ]
+    keys = [narrow_key(name, types[name]).alias(f"k{i}") for i, name in enumerate(columns)]
+    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+
+
+def _width(data_type: T.DataType) -> int:
+    if isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        return 24
+    return 8
+
+
+def text_key(name: str, data_type: T.DataType) -> Column:
+    """A key as text, null for null and NaN; equal exactly when the values are equal."""
+    key = narrow_key(name, data_type)
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        key = F.when(~F.isnan(key), key)
+    return key.cast("string")
 
 
 def present(name: str, data_type: T.DataType) -> Column:

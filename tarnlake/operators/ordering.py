@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.operators.keys import present
+from tarnlake.operators.ranks import values_at
+from tarnlake.types import is_number
+
 
 def top_k(df: DataFrame, measure: str, k: int, tie: list[str]) -> DataFrame:
     """The k largest rows: each task keeps k rows, nothing else is shuffled."""
@@ -28,9 +32,52 @@ def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df: DataFrame, number: int, size: int, order: list[str]) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows in the given total order."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+# Rows a task may keep to skip to a page.
+SHALLOW = 100_000
+
+
+def page(df: DataFrame, number: int, size: int, order: list[str], shallow: int = SHALLOW) -> DataFrame:
+    """Page ``number`` (from 0) of ``size`` rows in the given total order.
+
+    Every task keeps as many rows as lie before the end of the page, which is cheap for the first
+    pages only. For a deep page over numeric order columns the rows before it are counted away
+    first (see :mod:`tarnlake.operators.ranks`), so that few rows remain to be skipped.
+    """
+    offset = number * size
+    if offset > shallow and _countable(df, order):
+        skipped, start = _skip(df, order, offset, shallow)
+        df, offset = df.filter(start), offset - skipped
+    return df.orderBy(*order).offset(offset).limit(size)
+
+
+def _countable(df: DataFrame, order: list[str]) -> bool:
+    """Whether the order columns are numbers without null or NaN."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if not all(is_number(types[n]) for n in order):
+        return False
+    counts = df.agg(
+        F.count(F.lit(1)), *[F.count(present(n, types[n])) for n in order]
+    ).first()
+    return len(set(counts)) == 1
+
+
+def _skip(df: DataFrame, order: list[str], offset: int, shallow: int) -> tuple[int, Column]:
+    """(rows before a starting point, condition for the rows from there on).
+
+    The starting point is the value at ``offset`` of the first column; while too many rows share
+    it, the next column narrows it further.
+    """
+    skipped, equal, start = 0, F.lit(True), F.lit(False)
+    for name in order:
+        c = F.col(name).cast("double")
+        at = values_at(df.filter(equal), {name: [offset - skipped]})
+        if not at:
+            return skipped, F.lit(False) if skipped == 0 else start | equal
+        low, skipped = at[0].low, skipped + at[0].before
+        start, equal = start | (equal & (c > low)), equal & (c == low)
+        if offset - skipped <= shallow or abs(low) >= 2**53:
+            break
+    return skipped, start | equal
 
 
 def newest_first(df: DataFrame, time: str, tie: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Data quality on full tables.
 
-Scores come from at most three aggregates of the table, however many columns it has: one plain
-aggregate (counts, ranges, patterns), one over text lengths, one over row contents. Nothing is
-sampled and nothing but one-row results is combined.
+Every score follows from three aggregates of the table, however many columns it has: one plain
+aggregate (counts, ranges, variation, patterns), one over text lengths, one over row contents.
+Each is one row, so putting them together costs nothing. Nothing is sampled.
 """
 
 from __future__ import annotations
@@ -50,31 +50,152 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0))
 
 
-def _rows(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
-    """One row per struct of a one-row frame; an empty list gives an empty frame."""
+def _table(one_row: DataFrame, structs: list[Column], schema: str) -> DataFrame:
+    """One row per struct of a one-row frame; without structs an empty frame."""
     if not structs:
-        return df.sparkSession.createDataFrame([], schema)
-    return df.select(F.inline(F.array(*structs)))
+        return one_row.sparkSession.createDataFrame([], schema)
+    return one_row.select(F.inline(F.array(*structs)))
 
 
-def completeness(df: DataFrame) -> DataFrame:
-    """Cells, null cells (NaN included) and 1 - null share; an empty table has no score."""
+def _side_by_side(frames: list[DataFrame]) -> DataFrame:
+    """One-row frames as one row."""
+    keyed = [f.withColumn("_one", F.lit(1)) for f in frames]
+    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+
+
+# The plain aggregate, in parts that can be computed alone or together.
+
+
+def _count_parts(df: DataFrame) -> list[Column]:
+    """rows, c0, c1, …: rows and non-null values per column (NaN is null)."""
     counts = [F.count(present(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(_fields(df))]
-    width = len(counts)
-    return (
-        df.agg(F.count(F.lit(1)).alias("rows"), *counts)
-        .select(
-            (F.col("rows") * width).alias("total_cells"),
-            (F.col("rows") * width - _sum([F.col(f"c{i}") for i in range(width)])).alias("null_cells"),
+    return [F.count(F.lit(1)).alias("rows"), *counts]
+
+
+def _variation_parts(df: DataFrame) -> list[Column]:
+    """v_i: sample standard deviation over mean of each numeric column."""
+    return [
+        ratio(F.stddev_samp(present(f.name, f.dataType)), F.avg(present(f.name, f.dataType))).alias(f"v{i}")
+        for i, f in enumerate(_fields(df))
+        if is_number(f.dataType)
+    ]
+
+
+RANGES = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+
+
+def _range_parts(df: DataFrame) -> list[Column]:
+    return [
+        fn(present(f.name, f.dataType)).cast("double").alias(f"{name}{i}")
+        for i, f in enumerate(_fields(df))
+        if is_number(f.dataType)
+        for name, fn in RANGES.items()
+    ]
+
+
+def _pattern_parts(df: DataFrame) -> list[Column]:
+    return [
+        F.coalesce(F.bool_or(F.col(f"`{f.name}`").rlike("(?U)" + p)), F.lit(False)).alias(f"{name}{i}")
+        for i, f in enumerate(_fields(df))
+        if is_text(f.dataType)
+        for name, p in TEXT_PATTERNS.items()
+    ]
+
+
+def _lengths(df: DataFrame) -> DataFrame:
+    """l_i: different lengths of each text column. Only lengths are expanded and shuffled."""
+    texts = [(i, f.name) for i, f in enumerate(_fields(df)) if is_text(f.dataType)]
+    lengths = df.select(*[F.length(F.col(f"`{n}`")).alias(f"l{i}") for i, n in texts])
+    if not texts:
+        return df.sparkSession.range(1).select()
+    return lengths.agg(*[F.count_distinct(F.col(f"l{i}")).alias(f"l{i}") for i, _ in texts])
+
+
+# What the parts mean.
+
+
+def _completeness(df: DataFrame) -> dict[str, Column]:
+    width = len(df.columns)
+    total = F.col("rows") * width
+    nulls = total - _sum([F.col(f"c{i}") for i in range(width)])
+    return {"total_cells": total, "null_cells": nulls, "completeness": 1 - ratio(nulls, total)}
+
+
+def _column_consistency(df: DataFrame, absolute: bool) -> list[Column]:
+    out = []
+    for i, f in enumerate(_fields(df)):
+        if is_number(f.dataType):
+            kind, measure = "number", F.col(f"v{i}")
+            good = (F.abs(measure) if absolute else measure) < MAX_VARIATION
+        elif is_text(f.dataType):
+            kind, measure = "text", F.col(f"l{i}").cast("double")
+            good = measure <= MAX_LENGTHS
+        else:
+            kind, measure, good = "other", F.lit(None).cast("double"), F.lit(False)
+        out.append(
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.lit(kind).alias("kind"),
+                measure.alias("measure"),
+                F.coalesce(good, F.lit(False)).alias("consistent"),
+            )
         )
-        .withColumn("completeness", 1 - ratio(F.col("null_cells"), F.col("total_cells")))
-    )
+    return out
+
+
+def _consistency(df: DataFrame, absolute: bool = False) -> dict[str, Column]:
+    columns = F.lit(len(df.columns)).cast("long")
+    good = _sum([c.getField("consistent").cast("long") for c in _column_consistency(df, absolute)])
+    return {
+        "total_columns": columns, "consistent_columns": good.cast("long"),
+        "consistency": ratio(good, columns),
+    }
+
+
+def _type_rows(df: DataFrame) -> list[Column]:
+    return [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.lit(catalog_name(f.dataType)).alias("expected_type"),
+            F.col(f"c{i}").alias("valid_count"),
+            (F.col("rows") - F.col(f"c{i}")).alias("invalid_count"),
+        )
+        for i, f in enumerate(_fields(df))
+    ]
+
+
+def _range_rows(df: DataFrame) -> list[Column]:
+    return [
+        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in RANGES])
+        for i, f in enumerate(_fields(df))
+        if is_number(f.dataType)
+    ]
+
+
+def _pattern_rows(df: DataFrame) -> list[Column]:
+    return [
+        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in TEXT_PATTERNS])
+        for i, f in enumerate(_fields(df))
+        if is_text(f.dataType)
+    ]
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+# The reports.
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    """Cells, null cells (NaN included) and 1 - null share; an empty table has no score."""
+    return df.agg(*_count_parts(df)).select(*_named(_completeness(df)))
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
     """Rows, duplicate rows and 1 - duplicate share; nulls are equal, the first copy is kept.
 
-    Row contents are grouped by narrow keys, so long texts are shuffled as digests.
+    Row contents are grouped by narrow keys, so long texts and wide rows are shuffled as digests.
     """
     return (
         df.groupBy(*row_keys(df))
@@ -87,157 +208,52 @@ def uniqueness(df: DataFrame) -> DataFrame:
     )
 
 
+def _spread_and_lengths(df: DataFrame) -> DataFrame:
+    spread = df.agg(F.count(F.lit(1)).alias("rows"), *_variation_parts(df))
+    return _side_by_side([spread, _lengths(df)])
+
+
 def column_consistency(df: DataFrame, absolute: bool = False) -> DataFrame:
     """One row per column: kind, measure, consistent (text: at most 3 lengths; number: standard
     deviation below half the mean). Columns of other types are never consistent.
 
     The variation keeps its sign as in the score's definition; ``absolute`` compares its size.
     """
-    fields = _fields(df)
-    numbers = [f for f in fields if is_number(f.dataType)]
-    texts = [f for f in fields if is_text(f.dataType)]
-    others = [f for f in fields if f not in numbers and f not in texts]
-    schema = "column string, kind string, measure double, consistent boolean"
-    parts = []
-    if numbers:
-        spread = df.agg(
-            *[
-                ratio(F.stddev_samp(present(f.name, f.dataType)), F.avg(present(f.name, f.dataType)))
-                .alias(f"v{i}")
-                for i, f in enumerate(numbers)
-            ]
-        )
-        parts.append(
-            _rows(
-                spread,
-                [
-                    F.struct(
-                        F.lit(f.name).alias("column"),
-                        F.lit("number").alias("kind"),
-                        F.col(f"v{i}").alias("measure"),
-                        F.coalesce(
-                            (F.abs(F.col(f"v{i}")) if absolute else F.col(f"v{i}")) < MAX_VARIATION,
-                            F.lit(False),
-                        ).alias("consistent"),
-                    )
-                    for i, f in enumerate(numbers)
-                ],
-                schema,
-            )
-        )
-    if texts:
-        # Only lengths are expanded and shuffled, never the texts.
-        lengths = df.select(*[F.length(F.col(f"`{f.name}`")).alias(f"l{i}") for i, f in enumerate(texts)])
-        counted = lengths.agg(
-            *[F.count_distinct(F.col(f"l{i}")).alias(f"l{i}") for i in range(len(texts))]
-        )
-        parts.append(
-            _rows(
-                counted,
-                [
-                    F.struct(
-                        F.lit(f.name).alias("column"),
-                        F.lit("text").alias("kind"),
-                        F.col(f"l{i}").cast("double").alias("measure"),
-                        (F.col(f"l{i}") <= MAX_LENGTHS).alias("consistent"),
-                    )
-                    for i, f in enumerate(texts)
-                ],
-                schema,
-            )
-        )
-    if others:
-        rows = [(f.name, "other", None, False) for f in others]
-        parts.append(df.sparkSession.createDataFrame(rows, schema))
-    return reduce(DataFrame.unionAll, parts)
+    rows = _column_consistency(df, absolute)
+    return _spread_and_lengths(df).select(F.inline(F.array(*rows)))
 
 
 def consistency(df: DataFrame, absolute: bool = False) -> DataFrame:
     """Columns, consistent columns and their share."""
-    return (
-        column_consistency(df, absolute)
-        .agg(
-            F.count(F.lit(1)).alias("total_columns"),
-            F.count_if("consistent").alias("consistent_columns"),
-        )
-        .withColumn("consistency", ratio(F.col("consistent_columns"), F.col("total_columns")))
-    )
+    return _spread_and_lengths(df).select(*_named(_consistency(df, absolute)))
 
 
 def type_report(df: DataFrame) -> DataFrame:
     """Type, valid (non-null) and invalid (null) values, one row per column."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(present(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(_fields(df))],
-    )
-    return counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.name).alias("column"),
-                        F.lit(catalog_name(f.dataType)).alias("expected_type"),
-                        F.col(f"c{i}").alias("valid_count"),
-                        (F.col("rows") - F.col(f"c{i}")).alias("invalid_count"),
-                    )
-                    for i, f in enumerate(_fields(df))
-                ]
-            )
-        )
-    )
+    return df.agg(*_count_parts(df)).select(F.inline(F.array(*_type_rows(df))))
 
 
 def range_report(df: DataFrame) -> DataFrame:
     """min, max, mean and sample standard deviation, one row per numeric column."""
-    numbers = [f for f in _fields(df) if is_number(f.dataType)]
-    functions = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
-    if not numbers:
-        return _rows(df, [], "column string, min double, max double, mean double, std double")
-    ranges = df.agg(
-        *[
-            fn(present(f.name, f.dataType)).cast("double").alias(f"{name}{i}")
-            for i, f in enumerate(numbers)
-            for name, fn in functions.items()
-        ]
-    )
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in functions])
-        for i, f in enumerate(numbers)
-    ]
-    return ranges.select(F.inline(F.array(*rows)))
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *_range_parts(df))
+    schema = "column string, min double, max double, mean double, std double"
+    return _table(facts, _range_rows(df), schema)
 
 
 def pattern_report(df: DataFrame) -> DataFrame:
     """Whether any value of a text column is an e-mail, a phone number or an ISO date."""
-    texts = [f for f in _fields(df) if is_text(f.dataType)]
-    if not texts:
-        return _rows(
-            df, [], "column string, " + ", ".join(f"{n} boolean" for n in TEXT_PATTERNS)
-        )
-    found = df.agg(
-        *[
-            F.coalesce(F.bool_or(F.col(f"`{f.name}`").rlike("(?U)" + p)), F.lit(False))
-            .alias(f"{name}{i}")
-            for i, f in enumerate(texts)
-            for name, p in TEXT_PATTERNS.items()
-        ]
-    )
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in TEXT_PATTERNS])
-        for i, f in enumerate(texts)
-    ]
-    return found.select(F.inline(F.array(*rows)))
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), *_pattern_parts(df))
+    schema = "column string, " + ", ".join(f"{n} boolean" for n in TEXT_PATTERNS)
+    return _table(facts, _pattern_rows(df), schema)
 
 
 def column_quality(df: DataFrame) -> DataFrame:
     """Completeness, uniqueness (1 - repeats / rows, where nulls repeat too) and validity 1.0."""
-    counts = type_report(df).select("column", "valid_count", "invalid_count")
-    rows = F.col("valid_count") + F.col("invalid_count")
-    different = F.col("distinct_count") + F.when(F.col("invalid_count") > 0, 1).otherwise(0)
-    return counts.join(distinct_counts(df), "column").select(
+    has_null = F.when(F.col("valid_count") < F.col("row_count"), 1).otherwise(0)
+    return distinct_counts(df).select(
         "column",
-        ratio(F.col("valid_count"), rows).alias("completeness"),
-        ratio(different, rows).alias("uniqueness"),
+        ratio(F.col("valid_count"), F.col("row_count")).alias("completeness"),
+        ratio(F.col("distinct_count") + has_null, F.col("row_count")).alias("uniqueness"),
         F.lit(1.0).alias("validity"),
     )
 
@@ -248,40 +264,31 @@ def profile(df: DataFrame, order: str | None = None) -> DataFrame:
 
     The sample is the value of the first row in ``order`` that has one, else any value.
     """
-    fields = _fields(df)
-    sample = [
-        (
-            F.min_by(F.col(f"`{f.name}`"), F.when(F.col(f"`{f.name}`").isNotNull(), F.col(order)))
-            if order
-            else F.any_value(F.col(f"`{f.name}`"), F.lit(True))
-        )
-        .cast("string")
-        .alias(f"s{i}")
-        for i, f in enumerate(fields)
-    ]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(present(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)],
-        *sample,
-    ).select(
+    samples = []
+    for i, f in enumerate(_fields(df)):
+        c = F.col(f"`{f.name}`").cast("string")
+        if order:
+            sample = F.min_by(c, F.when(c.isNotNull(), F.col(order)))
+        else:
+            sample = F.any_value(c, F.lit(True))
+        samples.append(sample.alias(f"s{i}"))
+    named = df.agg(*samples).select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(f.name).alias("column"),
                         F.lit(catalog_name(f.dataType)).alias("type"),
-                        F.col("rows"),
-                        F.col(f"c{i}").alias("valid"),
                         F.col(f"s{i}").alias("sample_value"),
                     )
-                    for i, f in enumerate(fields)
+                    for i, f in enumerate(_fields(df))
                 ]
             )
         )
     )
-    complete = ratio(F.col("valid"), F.col("rows"))
-    distinct_ratio = ratio(F.col("distinct_count"), F.col("rows"))
-    return counted.join(distinct_counts(df), "column").select(
+    complete = ratio(F.col("valid_count"), F.col("row_count"))
+    distinct_ratio = ratio(F.col("distinct_count"), F.col("row_count"))
+    return distinct_counts(df).join(named, "column").select(
         "column",
         "type",
         complete.alias("completeness"),
@@ -344,64 +351,69 @@ def timeliness(df: DataFrame, time: str | None = None, since: Column | None = No
     return df.agg(ratio(fresh, F.count(F.lit(1))).alias("timeliness"))
 
 
-def _merge_one_row(frames: list[DataFrame]) -> DataFrame:
-    """Side by side of one-row frames."""
-    keyed = [f.withColumn("_one", F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
-
-
-def _as_map(report: DataFrame, name: str) -> DataFrame:
-    """A per-column report (schema size) as one map column → struct."""
-    rest = [c for c in report.columns if c != "column"]
-    entries = F.collect_list(F.struct("column", F.struct(*rest)))
-    return report.agg(F.map_from_entries(F.array_sort(entries)).alias(name))
+def _by_column(rows: list[Column], names: list[str]) -> Column:
+    """Report structs as a map column → struct."""
+    pairs = [x for r, n in zip(rows, names) for x in (F.lit(n), r.dropFields("column"))]
+    return F.create_map(*pairs)
 
 
 def quality_record(df: DataFrame, now: datetime | None = None) -> DataFrame:
     """The whole quality record of a table as one row: counts, scores and per-column reports."""
-    scores = _merge_one_row(
-        [
-            df.agg(F.count(F.lit(1)).alias("row_count")),
-            completeness(df).select("completeness"),
-            uniqueness(df).select("uniqueness"),
-            consistency(df).select("consistency"),
-            _as_map(type_report(df), "type_validation"),
-            _as_map(range_report(df), "range_checks"),
-            _as_map(pattern_report(df), "pattern_checks"),
-        ]
-    )
-    return scores.withColumns(
-        {
-            "column_count": F.lit(len(df.columns)),
-            "checked_at": F.current_timestamp() if now is None else F.lit(now).cast("timestamp"),
-        }
+    parts = [*_count_parts(df), *_variation_parts(df), *_range_parts(df), *_pattern_parts(df)]
+    facts = _side_by_side([df.agg(*parts), _lengths(df), uniqueness(df).select("uniqueness")])
+    numbers = [f.name for f in _fields(df) if is_number(f.dataType)]
+    texts = [f.name for f in _fields(df) if is_text(f.dataType)]
+    return facts.select(
+        F.col("rows").alias("row_count"),
+        F.lit(len(df.columns)).alias("column_count"),
+        _completeness(df)["completeness"].alias("completeness"),
+        "uniqueness",
+        _consistency(df)["consistency"].alias("consistency"),
+        _by_column(_type_rows(df), df.columns).alias("type_validation"),
+        _by_column(_range_rows(df), numbers).alias("range_checks"),
+        _by_column(_pattern_rows(df), texts).alias("pattern_checks"),
+        (F.current_timestamp() if now is None else F.lit(now).cast("timestamp")).alias("checked_at"),
     )
 
 
 def run_quality_checks(df: DataFrame, table: str, config: dict | None = None) -> DataFrame:
-    """Chosen metrics with score, threshold, status and counts, one row per metric."""
+    """Chosen metrics with score, threshold, status and counts, one row per metric. Only the
+    aggregates the chosen metrics need are computed, each once."""
     config = config or DEFAULT_RUN
+    chosen = config["enabled_metrics"]
+    plain = _count_parts(df)
+    frames = []
+    if "consistency" in chosen:
+        plain += _variation_parts(df)
+        frames.append(_lengths(df))
+    if "uniqueness" in chosen:
+        frames.append(uniqueness(df))
+    facts = _side_by_side([df.agg(*plain), *frames])
     measures = {
-        "completeness": (completeness, "total_cells", "null_cells"),
-        "uniqueness": (uniqueness, "total_rows", "duplicate_rows"),
-        "consistency": (consistency, "total_columns", "consistent_columns"),
+        "completeness": lambda: _completeness(df).values(),
+        "uniqueness": lambda: map(F.col, ("total_rows", "duplicate_rows", "uniqueness")),
+        "consistency": lambda: _consistency(df).values(),
     }
     rows = []
-    for metric in config["enabled_metrics"]:
-        measure, total, part = measures[metric]
+    for metric in chosen:
+        total, part, score = measures[metric]()
         bound = float(config["thresholds"][metric])
         rows.append(
-            measure(df).select(
+            F.struct(
                 F.lit(table).alias("table_name"),
                 F.lit(metric).alias("metric"),
-                F.col(metric).alias("score"),
+                score.alias("score"),
                 F.lit(bound).alias("threshold"),
-                F.when(F.col(metric) >= bound, "success").otherwise("warning").alias("status"),
-                F.col(total).alias("total"),
-                F.col(part).alias("part"),
+                F.when(score >= bound, "success").otherwise("warning").alias("status"),
+                total.alias("total"),
+                part.alias("part"),
             )
         )
-    return reduce(DataFrame.unionAll, rows)
+    schema = (
+        "table_name string, metric string, score double, threshold double, status string, "
+        "total bigint, part bigint"
+    )
+    return _table(facts, rows, schema)
 
 
 def latest_quality(history: DataFrame, table: str = "table_name", time: str = "checked_at") -> DataFrame:

@@ -42,10 +42,18 @@ def has_term(text: Column, term: str) -> Column:
     return text.contains(word) & text.rlike(rf"(^|[^a-z0-9]){re.escape(word)}([^a-z0-9]|$)")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _found(low: Column, terms: list[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(has_term(low, t), F.lit(t)) for t in terms]))
+
+
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """The terms found in a text, in the order of the list."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(has_term(low, t), F.lit(t)) for t in terms]))
+    return let(F.lower(text), lambda low: _found(low, terms))
 
 
 def any_term(text: Column, terms: list[str]) -> Column:
@@ -57,31 +65,37 @@ def any_term(text: Column, terms: list[str]) -> Column:
 def keyword_category(options: list[str], terms: dict[str, list[str]]) -> Callable[[Column], Column]:
     """Rule scorer: the option with most matched terms (the earlier one on a tie), its share of all
     matches as confidence; without a match the second option with confidence 0.5."""
+    ruled = [o for o in options if terms.get(o)]
 
-    def score(text: Column) -> Column:
-        found = [(o, matched_terms(text, terms[o])) for o in options if terms.get(o)]
-        hits = [F.size(m) for _, m in found]
+    def choose(found: Column) -> Column:
+        lists = [found.getField(f"m{i}") for i in range(len(ruled))]
+        hits = [F.size(m) for m in lists]
         total = reduce(lambda a, b: a + b, hits)
         best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-        label = F
-        matched = F
-        for (option, terms_found), n in zip(found, hits):
+        label, matched = F, F
+        for option, words, n in zip(ruled, lists, hits):
             label = label.when(n == best, F.lit(option))
-            matched = matched.when(n == best, terms_found)
-        reason = F.concat(F.lit("Matched: "), F.array_join(matched, ", "))
-        nothing = F.struct(
-            F.lit(options[1]).alias("classification"),
-            F.lit(0.5).alias("confidence"),
-            F.lit("No key term found").alias("reasoning"),
-        )
+            matched = matched.when(n == best, words)
         return F.when(
             total > 0,
             F.struct(
                 label.alias("classification"),
                 (best / total).cast("double").alias("confidence"),
-                reason.alias("reasoning"),
+                F.concat(F.lit("Matched: "), F.array_join(matched, ", ")).alias("reasoning"),
             ),
-        ).otherwise(nothing)
+        ).otherwise(
+            F.struct(
+                F.lit(options[1]).alias("classification"),
+                F.lit(0.5).alias("confidence"),
+                F.lit("No key term found").alias("reasoning"),
+            )
+        )
+
+    def score(text: Column) -> Column:
+        def lists(low: Column) -> Column:
+            return F.struct(*[_found(low, terms[o]).alias(f"m{i}") for i, o in enumerate(ruled)])
+
+        return let(let(F.lower(text), lists), choose)
 
     return score
 
@@ -91,14 +105,25 @@ def keyword_sentiment(aspects: dict[str, list[str]]) -> Callable[[Column], Colum
     words when the text names the aspect, 0.0 when it does not; ``overall`` for the whole text."""
 
     def score(text: Column) -> Column:
-        low = F.lower(text)
-        good = F.size(matched_terms(text, POSITIVE_WORDS))
-        bad = F.size(matched_terms(text, NEGATIVE_WORDS))
-        overall = F.when(good + bad > 0, good / (good + bad)).otherwise(F.lit(0.5))
-        values = []
-        for aspect, words in aspects.items():
-            values += [F.lit(aspect), F.when(any_term(low, words), overall).otherwise(F.lit(0.0))]
-        return F.create_map(*values, F.lit("overall"), overall)
+        def share(found: Column) -> Column:
+            good, bad = F.size(found.getField("good")), F.size(found.getField("bad"))
+            return F.when(good + bad > 0, good / (good + bad)).otherwise(F.lit(0.5))
+
+        def values(low: Column) -> Column:
+            words = F.struct(
+                _found(low, POSITIVE_WORDS).alias("good"), _found(low, NEGATIVE_WORDS).alias("bad")
+            )
+            return let(let(words, share), lambda overall: by_aspect(low, overall))
+
+        def by_aspect(low: Column, overall: Column) -> Column:
+            named = [
+                x
+                for aspect, words in aspects.items()
+                for x in (F.lit(aspect), F.when(any_term(low, words), overall).otherwise(F.lit(0.0)))
+            ]
+            return F.create_map(*named, F.lit("overall"), overall)
+
+        return let(F.lower(text), values)
 
     return score
 

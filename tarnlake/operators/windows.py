@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.operators.keys import row_keys
+from tarnlake.operators.keys import row_digest
 
 
 def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
@@ -16,10 +16,7 @@ def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
     back (a skewed join partition is split by Spark).
     """
     compared = [n for n in df.columns if n != position]
-    keys = row_keys(df, compared)
-    names = [f"k{i}" for i in range(len(keys))]
-    digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-    keyed = df.select("*", *keys).withColumn("_row", digest).drop(*names)
+    keyed = df.withColumn("_row", row_digest(df, compared))
     first = (
         keyed.groupBy("_row")
         .agg(F.min(position).alias("first_position"), F.count(F.lit(1)).alias("_n"))
