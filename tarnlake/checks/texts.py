@@ -127,13 +127,13 @@ def _(lake):
 
 @check(
     "txt_05_batch_transform",
-    """SELECT event_id, user_id * 2 AS doubled, CAST(NULL AS VARCHAR) AS error FROM events WHERE value >= 1
-       UNION ALL SELECT event_id, NULL, 'value too small' FROM events WHERE value < 1""",
+    """SELECT event_id, user_id * 2 AS doubled, CAST(NULL AS VARCHAR) AS error FROM events WHERE value <= 300
+       UNION ALL SELECT event_id, NULL, 'value too large' FROM events WHERE value > 300""",
 )
 def _(lake):
     def double(batch: pd.DataFrame) -> pd.DataFrame:
-        if (batch["value"] < 1).any():
-            raise ValueError("value too small")
+        if (batch["value"] > 300).any():
+            raise ValueError("value too large")
         return pd.DataFrame({"doubled": batch["user_id"] * 2})
 
     rows = lake.events.select("event_id", "user_id", "value")

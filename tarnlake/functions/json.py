@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.functions.text import strip
+from tarnlake.functions.text import let, strip
 
 
 def strip_fences(c: Column) -> Column:
@@ -17,11 +19,12 @@ def strip_fences(c: Column) -> Column:
 def parse_response(c: Column, schema: str, required: list[str]) -> Column:
     """Struct parsed from a fenced or plain JSON answer; null when it does not parse or a
     required field is missing."""
-    parsed = F.from_json(strip_fences(c), schema, {"mode": "PERMISSIVE"})
-    complete = F.lit(True)
-    for name in required:
-        complete = complete & parsed.getField(name).isNotNull()
-    return F.when(complete, parsed)
+
+    def checked(parsed: Column) -> Column:
+        fields = [parsed.getField(name).isNotNull() for name in required]
+        return F.when(reduce(lambda a, b: a & b, fields, F.lit(True)), parsed)
+
+    return let(F.from_json(strip_fences(c), schema, {"mode": "PERMISSIVE"}), checked)
 
 
 # Repair rules as (pattern, replacement), applied in this order to text that does not parse.
@@ -54,14 +57,17 @@ REPAIR_RULES = [
 def repair_json(c: Column) -> Column:
     """Valid JSON text from lenient JSON; text that parses already is returned unchanged, repaired
     text in compact form, and text that still does not parse after all rules becomes null."""
-    plain = strip_fences(c)
-    fixed = plain
-    for pattern, replacement in REPAIR_RULES:
-        fixed = F.regexp_replace(fixed, pattern, replacement)
-    # the rules run only for text that does not parse, and once
-    return F.coalesce(
-        F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed))
-    )
+
+    def repaired(plain: Column) -> Column:
+        fixed = plain
+        for pattern, replacement in REPAIR_RULES:
+            fixed = F.regexp_replace(fixed, pattern, replacement)
+        # the rules run only for text that does not parse
+        return F.coalesce(
+            F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed))
+        )
+
+    return let(strip_fences(c), repaired)
 
 
 def get_path(c: Column, path: str) -> Column:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind (``trim`` removes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -15,7 +21,8 @@ def strip(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Trim and turn every run of white space into one space."""
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    # single spaces are what most texts have between words; only other runs are replaced
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def is_blank(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.json import parse_response
-from tarnlake.functions.text import fill_template, is_blank
+from tarnlake.functions.text import fill_template, is_blank, let
 from tarnlake.operators.filters import drop_blank_rows, drop_empty_rows
 from tarnlake.operators.scorers import (
     AI_TERMS, any_term, keyword_category, keyword_sentiment, try_rows,
@@ -165,7 +165,6 @@ def with_default(
     response: Column, schema: str, required: list[str], default: str
 ) -> Column:
     """Parsed answer, or the default label with the reason for the failure."""
-    parsed = parse_response(response, schema, required)
 
     def failed(reason: str) -> Column:
         return F.struct(
@@ -174,16 +173,14 @@ def with_default(
             F.lit(reason).alias("reasoning"),
         )
 
-    return (
-        F.when(response.isNull(), failed("Error: no response"))
-        .when(parsed.isNull(), failed("Failed to parse response"))
-        .otherwise(
-            F.struct(
-                parsed.getField("classification").alias("classification"),
-                parsed.getField("confidence").alias("confidence"),
-                parsed.getField("reasoning").alias("reasoning"),
-            )
+    def answered(parsed: Column) -> Column:
+        fields = ("classification", "confidence", "reasoning")
+        return F.when(parsed.isNull(), failed("Failed to parse response")).otherwise(
+            F.struct(*[parsed.getField(n).alias(n) for n in fields])
         )
+
+    return F.when(response.isNull(), failed("Error: no response")).otherwise(
+        let(parse_response(response, schema, required), answered)
     )
 
 
@@ -248,12 +245,12 @@ def custom(
     return df.withColumn(name, F.from_json(answer(filled), output))
 
 
-# Patterns of the entity types, in ASCII classes.
+# Patterns of the entity types, in ASCII classes, and a text each match contains.
 ENTITY_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+[0-9][0-9 ()-]{8,}[0-9]",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "url": r"https?://[^\s\"<>]+",
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@"),
+    "phone": (r"\+[0-9][0-9 ()-]{8,}[0-9]", "+"),
+    "date": (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "-"),
+    "url": (r"https?://[^\s\"<>]+", "://"),
 }
 
 
@@ -261,8 +258,10 @@ def entities(text: Column, types: list[str] | None = None) -> Column:
     """array<struct<entity, type>> of the entities in a text, by type and position."""
 
     def of_type(kind: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), F.lit(0))
-        return F.transform(found, lambda e: F.struct(e.alias("entity"), F.lit(kind).alias("type")))
+        pattern, hint = ENTITY_PATTERNS[kind]
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        some = F.when(text.contains(hint), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(some, lambda e: F.struct(e.alias("entity"), F.lit(kind).alias("type")))
 
     return F.concat(*[of_type(kind) for kind in types or list(ENTITY_PATTERNS)])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,5 +119,5 @@ def validate_file(spark: SparkSession, path: str, format: str | None = None) ->
         sample = df.limit(5).select(F.to_json(F.struct(*df.columns)).alias("r")).collect()
         rows = "[" + ",".join(r["r"] for r in sample) + "]"
         return verdict(True, kind, None, df.schema.simpleString(), rows)
-    except (PySparkException, RuntimeError, ValueError) as error:
-        return verdict(False, kind, str(error).split("\n")[0][:500])
+    except (PySparkException, Py4JError, RuntimeError, ValueError) as error:
+        return verdict(False, kind, str(error)[:2000])
