@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tarnlake.checks.files import scratch
 from tarnlake.checks.registry import check
 from tarnlake.checks.relational import rounded
-from tarnlake.checks.values import _nested
+from tarnlake.checks.values import nested_events
 from tarnlake.checks.views import DIRTY, dirty_events
 from tarnlake.operators.enrich import TOOLS
 from tarnlake.plans import catalog as cat
@@ -35,14 +35,12 @@ def _(lake):
        UNION ALL SELECT 'body.user', 'INTEGER', bool_or(user_id IS NULL) FROM events
        UNION ALL SELECT 'body.what.kind', 'VARCHAR(255)', bool_or(event_type IS NULL) FROM events
        UNION ALL SELECT 'body.what.props.k', 'INTEGER', bool_or(json_extract_string(props, '$.k') IS NULL) FROM events
-       UNION ALL SELECT 'tags', 'JSON', false FROM events WHERE event_id = 0
+       UNION ALL SELECT 'tags', 'JSON', bool_or(event_type IS NULL) FROM events
        UNION ALL SELECT 'score', 'FLOAT', bool_or(value < 1) FROM events""",
 )
 def _(lake):
-    score = lake.events.select(
-        F.col("event_id").alias("id"), F.when(F.col("value") >= 1, F.col("value")).alias("score")
-    )
-    return cat.relational_schema(_nested(lake).join(score, "id"))
+    score = F.when(F.col("value") >= 1, F.col("value")).alias("score")
+    return cat.relational_schema(nested_events(lake, score))
 
 
 # Field rows of two versions per customer: priorities are the fields, order states their types.
@@ -59,7 +57,9 @@ _KEYS = ["table_id", "name"]
 
 def _version(lake, year: int):
     return (
-        lake.orders.filter(F.year("o_orderdate") == year)
+        lake.orders.filter(
+            f"o_orderdate >= TIMESTAMP_NTZ '{year}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{year + 1}-01-01'"
+        )
         .groupBy(F.col("o_custkey").alias("table_id"), F.col("o_orderpriority").alias("name"))
         .agg(F.max("o_orderstatus").alias("type"))
     )

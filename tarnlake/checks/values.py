@@ -167,7 +167,7 @@ def _(lake):
     )
 
 
-def _nested(lake):
+def nested_events(lake, *more):
     props = F.from_json("props", "k int")
     return lake.events.select(
         F.col("event_id").alias("id"),
@@ -176,6 +176,7 @@ def _nested(lake):
             F.struct(F.col("event_type").alias("kind"), props.alias("props")).alias("what"),
         ).alias("body"),
         F.array("event_type", F.lit("x")).alias("tags"),
+        *more,
     )
 
 
@@ -186,7 +187,7 @@ def _nested(lake):
          '["' || event_type || '","x"]' AS tags FROM events""",
 )
 def _(lake):
-    return js.flatten(_nested(lake))
+    return js.flatten(nested_events(lake))
 
 
 @check(

@@ -46,10 +46,12 @@ def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of some columns of a row, nulls included."""
+    """SHA-256 of some columns of a row, nulls included; never null."""
     types = {f.name: f.dataType for f in df.schema.fields}
     keys = [narrow_key(name, types[name]).alias(f"k{i}") for i, name in enumerate(columns)]
-    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    # without the empty text a join would compute the digest once more to filter nulls
+    return F.coalesce(digest, F.lit(""))
 
 
 def _width(data_type: T.DataType) -> int:

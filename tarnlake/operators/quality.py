@@ -2,7 +2,7 @@
 
 Every score follows from three aggregates of the table, however many columns it has: one plain
 aggregate (counts, ranges, variation, patterns), one over text lengths, one over row contents.
-Each is one row, so putting them together costs nothing. Nothing is sampled.
+Nothing is sampled.
 """
 
 from __future__ import annotations
@@ -57,10 +57,12 @@ def _table(one_row: DataFrame, structs: list[Column], schema: str) -> DataFrame:
     return one_row.select(F.inline(F.array(*structs)))
 
 
-def _side_by_side(frames: list[DataFrame]) -> DataFrame:
-    """One-row frames as one row."""
-    keyed = [f.withColumn("_one", F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+def _side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames as one row; the others are scalar sub-queries, so nothing is joined."""
+    out = first
+    for i, frame in enumerate(others):
+        out = out.withColumn(f"_{i}", frame.select(F.struct("*")).scalar())
+    return out.select(*first.columns, *[f"_{i}.*" for i in range(len(others))])
 
 
 # The plain aggregate, in parts that can be computed alone or together.
@@ -107,7 +109,7 @@ def _lengths(df: DataFrame) -> DataFrame:
     texts = [(i, f.name) for i, f in enumerate(_fields(df)) if is_text(f.dataType)]
     lengths = df.select(*[F.length(F.col(f"`{n}`")).alias(f"l{i}") for i, n in texts])
     if not texts:
-        return df.sparkSession.range(1).select()
+        return df.sparkSession.range(1)
     return lengths.agg(*[F.count_distinct(F.col(f"l{i}")).alias(f"l{i}") for i, _ in texts])
 
 
@@ -210,7 +212,7 @@ def uniqueness(df: DataFrame) -> DataFrame:
 
 def _spread_and_lengths(df: DataFrame) -> DataFrame:
     spread = df.agg(F.count(F.lit(1)).alias("rows"), *_variation_parts(df))
-    return _side_by_side([spread, _lengths(df)])
+    return _side_by_side(spread, _lengths(df))
 
 
 def column_consistency(df: DataFrame, absolute: bool = False) -> DataFrame:
@@ -360,7 +362,7 @@ def _by_column(rows: list[Column], names: list[str]) -> Column:
 def quality_record(df: DataFrame, now: datetime | None = None) -> DataFrame:
     """The whole quality record of a table as one row: counts, scores and per-column reports."""
     parts = [*_count_parts(df), *_variation_parts(df), *_range_parts(df), *_pattern_parts(df)]
-    facts = _side_by_side([df.agg(*parts), _lengths(df), uniqueness(df).select("uniqueness")])
+    facts = _side_by_side(df.agg(*parts), _lengths(df), uniqueness(df).select("uniqueness"))
     numbers = [f.name for f in _fields(df) if is_number(f.dataType)]
     texts = [f.name for f in _fields(df) if is_text(f.dataType)]
     return facts.select(
@@ -388,7 +390,7 @@ def run_quality_checks(df: DataFrame, table: str, config: dict | None = None) ->
         frames.append(_lengths(df))
     if "uniqueness" in chosen:
         frames.append(uniqueness(df))
-    facts = _side_by_side([df.agg(*plain), *frames])
+    facts = _side_by_side(df.agg(*plain), *frames)
     measures = {
         "completeness": lambda: _completeness(df).values(),
         "uniqueness": lambda: map(F.col, ("total_rows", "duplicate_rows", "uniqueness")),

@@ -42,27 +42,40 @@ def latest_version(versions: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, key: str, order: str, bucket: Column, number_as: str = "number"
+    df: DataFrame,
+    key: str,
+    order: str,
+    bucket: Column,
+    number_as: str = "number",
+    after: DataFrame | None = None,
 ) -> DataFrame:
     """1, 2, 3 … per key in order, without ever sorting one key in one task.
 
     ``bucket`` must never decrease along ``order`` (a day, an id range). Rows are numbered inside
     (key, bucket); the running total of the bucket sizes is added, and that total is a window over
-    one row per bucket only.
+    one row per bucket only. ``after`` (key, start) holds a number per key to count on from; it
+    meets the bucket totals, so the rows themselves are shuffled once.
     """
-    rows = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # a struct of both is never null, so rows without a key are kept and the join needs no shuffle
+    # beyond the window's
+    rows = df.withColumn("_slot", F.struct(F.col(key).alias("key"), bucket.alias("bucket")))
+    before = Window.partitionBy("_slot.key").orderBy("_slot.bucket")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(key, "_bucket")
+        rows.groupBy("_slot")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
-    inside = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order))
+    if after is not None:
+        start = after.toDF("_start_key", "_start")
+        offsets = offsets.join(start, F.col("_slot.key").eqNullSafe(F.col("_start_key")), "left")
+        offsets = offsets.withColumn("_before", F.col("_before") + F.coalesce("_start", F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_slot").orderBy(order))
     return (
         rows.withColumn("_inside", inside)
-        .join(offsets, [key, "_bucket"])
+        .join(offsets.select("_slot", "_before"), "_slot")
         .withColumn(number_as, (F.col("_before") + F.col("_inside")).cast("long"))
-        .drop("_bucket", "_inside", "_before")
+        .select(*df.columns, number_as)
     )
 
 
@@ -70,13 +83,8 @@ def add_versions(
     versions: DataFrame, new: DataFrame, key: str, order: str, bucket: Column
 ) -> DataFrame:
     """New rows with the next version numbers of their key, starting at 1 for a new key."""
-    current = versions.groupBy(key).agg(F.max("version").alias("_current"))
-    return (
-        numbered(new, key, order, bucket, "_number")
-        .join(current, key, "left")
-        .withColumn("version", F.coalesce("_current", F.lit(0)) + F.col("_number"))
-        .drop("_current", "_number")
-    )
+    current = versions.groupBy(key).agg(F.max("version").alias("start"))
+    return numbered(new, key, order, bucket, "version", current)
 
 
 def register_new(versions: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-CELLS = "path string, sheet string, sheet_no int, row_no int, cells array<string>"
+CELLS = "path string, sheet string, sheet_no int, row_no int, header boolean, cells array<string>"
 BATCH = 2000
 
 
@@ -46,14 +46,15 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[str, int, int, list]]:
-    """(sheet, sheet number, row number, cell texts) of a workbook."""
+def workbook_rows(content: bytes) -> Iterator[tuple[str, int, int, bool, list]]:
+    """(sheet, sheet number, row number, first row of its sheet, cell texts) of a workbook."""
     book = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         with book.open("xl/sharedStrings.xml") as f:
             shared = [_text(e) for _, e in iterparse(f) if e.tag == MAIN + "si"]
     for number, (sheet, member) in enumerate(_sheets(book)):
+        header = True
         with book.open(member) as f:
             for _, row in iterparse(f):
                 if row.tag != MAIN + "row":
@@ -69,7 +70,8 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, int, list]]:
                         cells[at] = shared[int(value.text)] if kind == "s" else value.text
                         if kind == "b":
                             cells[at] = "true" if value.text == "1" else "false"
-                yield sheet, number, int(row.get("r") or 0), cells
+                yield sheet, number, int(row.get("r") or 0), header, cells
+                header = False
                 row.clear()
 
 
@@ -77,7 +79,7 @@ def unpack(workbooks: DataFrame) -> DataFrame:
     """Cell rows of workbooks given as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "sheet", "sheet_no", "row_no", "cells"]
+        names = ["path", "sheet", "sheet_no", "row_no", "header", "cells"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows = []
@@ -92,17 +94,18 @@ def unpack(workbooks: DataFrame) -> DataFrame:
 
 
 def sheet_frame(cells: DataFrame, header: list[str]) -> DataFrame:
-    """Columns of unpacked rows, named by the header row; the header rows are left out."""
-    first = cells.groupBy("path", "sheet").agg(F.min("row_no").alias("_first"))
-    return cells.join(first, ["path", "sheet"]).filter("row_no > _first").select(
+    """Columns of unpacked rows, named by the header; the header rows are left out."""
+    return cells.filter("NOT header").select(
         *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
     )
 
 
 def header_of(cells: DataFrame) -> list[str]:
-    """Texts of the header row of the first workbook (one row to the driver)."""
-    row = cells.orderBy("path", "sheet_no", "row_no").select("cells").first()
-    return [] if row is None else [c or f"col_{i}" for i, c in enumerate(row["cells"])]
+    """The header all workbooks share; different headers raise."""
+    found = cells.filter("header").select("cells").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the workbooks have different headers; read and concatenate them by name")
+    return [c or f"col_{i}" for row in found for i, c in enumerate(row["cells"])]
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -114,13 +117,10 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Data
 
 def describe_sheets(cells: DataFrame, samples: int = 5) -> DataFrame:
     """One row per workbook and sheet: header, data rows, columns and the first sample rows."""
-    is_header = F.col("row_no") == F.col("_first")
-    first = cells.groupBy("path", "sheet", "sheet_no").agg(F.min("row_no").alias("_first"))
-    rows = cells.join(first, ["path", "sheet", "sheet_no"])
-    early = (F.col("row_no") > F.col("_first")) & (F.col("row_no") <= F.col("_first") + samples)
-    return rows.groupBy("path", "sheet_no", "sheet").agg(
-        F.max(F.when(is_header, F.col("cells"))).alias("header"),
-        F.count_if(~is_header).alias("row_count"),
+    early = ~F.col("header") & (F.col("row_no") <= samples + 1)
+    return cells.groupBy("path", "sheet_no", "sheet").agg(
+        F.max(F.when(F.col("header"), F.col("cells"))).alias("header"),
+        F.count_if(~F.col("header")).alias("row_count"),
         F.max(F.size("cells")).alias("column_count"),
         F.array_sort(F.collect_list(F.when(early, F.struct("row_no", "cells")))).alias("samples"),
     )

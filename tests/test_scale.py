@@ -42,6 +42,12 @@ def test_numbered(hot):
     assert {(r["pos"], r["number"]) for r in got.collect()} == set(zip(pdf["pos"], pdf["n"]))
 
 
+def test_numbered_keeps_rows_without_key(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "key bigint, pos bigint")
+    got = windows.numbered(df, "key", "pos", F.floor(F.col("pos") / 2))
+    assert set(rows(got)) == {(None, 1, 1), (None, 2, 2), (1, 3, 1)}
+
+
 def test_versions(hot, spark):
     old = spark.createDataFrame([(0, 7), (1, 2)], "key bigint, version bigint")
     got = windows.add_versions(old, hot.select("key", "pos"), "key", "pos", F.floor(F.col("pos") / 700))
