@@ -35,6 +35,23 @@ def _(lake):
     )[0]
 
 
+@check("src_02_json_documents", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def _(lake):
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lines of one JSON array per task."""
+        opening = "["
+        for batch in batches:
+            yield pd.DataFrame({"value": [opening + batch["r"].iloc[0], *("," + batch["r"].iloc[1:])]})
+            opening = ","
+        yield pd.DataFrame({"value": ["]" if opening == "," else "[]"]})
+
+    path = work_path(lake.spark, "json")
+    records = lake.orders.select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("r"))
+    records.mapInPandas(document, "value string").write.text(path)
+    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
+    return readers.read_json(lake.spark, path, schema)
+
+
 @check("src_03_json_lines", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 def _(lake):
     path = work_path(lake.spark, "jsonl")
@@ -230,3 +247,22 @@ def _(lake):
         "o_orderkey", "o_totalprice", (F.col("o_totalprice") > 200000).alias("is_large")
     )
     return writers.staged_overwrite(changed, path, work_path(lake.spark, "staging"))
+
+
+@check(
+    "snk_09_stored_documents",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS segment, c_nationkey AS nation, 'customer' AS kind
+       FROM customer""",
+)
+def _(lake):
+    path = work_path(lake.spark, "documents")
+    docs = lake.customer.select(
+        F.col("c_custkey").cast("string").alias("key"),
+        F.lit("2024-02-01").alias("at"),
+        F.to_json(F.struct("c_mktsegment", "c_nationkey")).alias("doc"),
+    )
+    writers.store_docs(docs, path, "customer")
+    doc = F.from_json("doc", "c_mktsegment string, c_nationkey int")
+    return lake.spark.read.parquet(path).select("key", doc.alias("d"), "kind").select(
+        "key", F.col("d.c_mktsegment").alias("segment"), F.col("d.c_nationkey").alias("nation"), "kind"
+    )

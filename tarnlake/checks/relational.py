@@ -335,10 +335,7 @@ def _(lake):
         F.count(F.lit(1)).alias("version")
     )
     new = lake.events.select("user_id", "event_id")
-    numbered = win.add_versions(
-        versions, new, "user_id", "event_id", F.floor(F.col("event_id") / 1000)
-    )
-    return numbered.select("user_id", "event_id", "version")
+    return win.add_versions(versions, new, "user_id", "event_id").select("user_id", "event_id", "version")
 
 
 @check(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.numbers import to_number
-from tarnlake.operators.keys import present, row_keys, text_key
+from tarnlake.names import literal
+from tarnlake.operators.keys import present, row_counts, text_key
 from tarnlake.operators.ranks import exact_quantiles
 
 AGGREGATIONS = {
@@ -85,15 +86,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     ever holds the values of a column.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    facts = df.agg(
+    measures = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    facts = df.selectExpr(
         *[
-            fn(present(n, types[n])).cast("long" if m == "count" else "double").alias(f"{m}_{i}")
+            f"CAST({fn}({present(n, types[n])}) AS {'BIGINT' if m == 'count' else 'DOUBLE'}) AS {m}_{i}"
             for i, n in enumerate(columns)
             for m, fn in measures.items()
         ]
     ).first()
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    ends = {n: (facts[f"count_{i}"], facts[f"min_{i}"], facts[f"max_{i}"]) for i, n in enumerate(columns)}
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], ends)
     rows = [
         (n, facts[f"count_{i}"], facts[f"mean_{i}"], facts[f"std_{i}"], facts[f"min_{i}"],
          *quartiles[n], facts[f"max_{i}"])
@@ -177,10 +179,8 @@ def overall_quality(metrics: DataFrame, scores: list[str]) -> DataFrame:
 
 def duplicate_report(df: DataFrame) -> DataFrame:
     """Rows, distinct rows, duplicate rows and distinct values per column (nulls skipped)."""
-    keys = row_keys(df)
     rows = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
+        row_counts(df)
         .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different"))
         .select(
             F.expr(
@@ -203,18 +203,19 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = columns or df.columns
-    keys = df.select(*[text_key(n, types[n]).alias(f"k{i}") for i, n in enumerate(names)])
-    label = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"k{i}", n)])
-    n = F.col("n")
+    keys = df.selectExpr(*[f"{text_key(n, types[n])} AS k{i}" for i, n in enumerate(names)])
+    labels = ", ".join(f"'k{i}', {literal(n)}" for i, n in enumerate(names))
     return (
         keys.unpivot([], [f"k{i}" for i in range(len(names))], "k", "value")
         .groupBy("k", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("k")
         .agg(
-            F.sum(n).alias("row_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("valid_count"),
-            F.count("value").alias("distinct_count"),
+            F.expr("sum(n) AS row_count"),
+            F.expr("coalesce(sum(CASE WHEN value IS NOT NULL THEN n END), 0L) AS valid_count"),
+            F.expr("count(value) AS distinct_count"),
+        )
+        .selectExpr(
+            f"element_at(map({labels}), k) AS column", "row_count", "valid_count", "distinct_count"
         )
-        .select(F.element_at(label, F.col("k")).alias("column"), "row_count", "valid_count", "distinct_count")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.numbers import clamp01
+from tarnlake.names import literal, rows_of, struct_of
 from tarnlake.operators.aggregates import distinct_counts
 from tarnlake.operators.keys import present
 from tarnlake.types import catalog_name, spark_type
@@ -41,19 +42,16 @@ def validate_schema(df: DataFrame, contract: list[dict], strict_types: bool = Tr
     issues = spark.createDataFrame(found, ISSUE)
 
     guarded = [have[c["name"]] for c in contract if c.get("nullable") is False and c["name"] in have]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[
-            F.count_if(present(f.name, f.dataType).isNull()).alias(f"n{i}")
-            for i, f in enumerate(guarded)
-        ],
+    counted = df.selectExpr(
+        "count(1) AS rows",
+        *[f"count_if(({present(f.name, f.dataType)}) IS NULL) AS n{i}" for i, f in enumerate(guarded)],
     )
-    rows = [_data_issue("empty_table", None, "rows", F.col("rows"), F.col("rows") == 0)]
+    rows = [_data_issue("empty_table", "CAST(NULL AS STRING)", "rows", "rows", "rows = 0")]
     rows += [
-        _data_issue("null_violation", f.name, "no nulls", F.col(f"n{i}"), F.col(f"n{i}") > 0)
+        _data_issue("null_violation", literal(f.name), "no nulls", f"n{i}", f"n{i} > 0")
         for i, f in enumerate(guarded)
     ]
-    data = counted.select(F.inline(F.array(*rows))).filter("broken").drop("broken")
+    data = counted.selectExpr(rows_of(rows)).filter("broken").drop("broken")
     return issues.unionAll(data)
 
 
@@ -61,14 +59,12 @@ def _same_type(declared: str, actual) -> bool:
     return spark_type(declared) in (actual.simpleString(), catalog_name(actual))
 
 
-def _data_issue(kind: str, column: str | None, expected: str, actual: Column, broken: Column):
-    return F.struct(
-        F.lit(kind).alias("type"),
-        F.lit(column).cast("string").alias("column"),
-        F.lit(expected).alias("expected"),
-        actual.cast("string").alias("actual"),
-        F.lit("error").alias("severity"),
-        broken.alias("broken"),
+def _data_issue(kind: str, column: str, expected: str, actual: str, broken: str) -> str:
+    return struct_of(
+        {
+            "type": literal(kind), "column": column, "expected": literal(expected),
+            "actual": f"CAST({actual} AS STRING)", "severity": "'error'", "broken": broken,
+        }
     )
 
 

@@ -1,4 +1,4 @@
-"""Grouping keys that keep shuffles narrow."""
+"""Grouping keys that keep shuffles narrow, as SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,71 +6,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.names import quoted
+
 LONG_TEXT = 64
-DIGEST_WIDTH = 80
 
 
-def narrow_key(name: str, data_type: T.DataType) -> Column:
+def narrow_key(name: str, data_type: T.DataType) -> str:
     """A groupable stand-in for a column: equal exactly when the values are equal.
 
     Text longer than 64 characters is replaced by '#' and its SHA-256 (65 characters, so it can
     not meet a short value); a whole document never travels through a shuffle as a key. Nested
     values become text first (a map with its entries sorted).
     """
-    c = F.col(f"`{name}`")
+    c = quoted(name)
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return f"{c} + CAST(0 AS {data_type.simpleString()})"  # -0.0 and 0.0 are one value
     if isinstance(data_type, T.MapType):
-        c = F.to_json(F.array_sort(F.map_entries(c)))
+        c = f"to_json(array_sort(map_entries({c})))"
     elif isinstance(data_type, (T.ArrayType, T.StructType)):
-        c = F.to_json(c)
+        c = f"to_json({c})"
     elif isinstance(data_type, T.BinaryType):
-        c = F.base64(c)
-    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return c + F.lit(0.0).cast(data_type)  # -0.0 and 0.0 are one value
+        c = f"base64({c})"
     elif not isinstance(data_type, T.StringType):
         return c
-    return F.when(F.length(c) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
-
+    return f"CASE WHEN length({c}) > {LONG_TEXT} THEN concat('#', sha2({c}, 256)) ELSE {c} END"
 
-def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Key columns k0, k1, … that stand for a whole row (or the given columns).
 
-    A row wider than a digest is replaced by the SHA-256 of its keys, so grouping shuffles and
-    holds 64 characters per row at most.
-    """
-    names = columns or df.columns
+def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    """Key expressions that stand for a whole row (or the given columns)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    keys = [narrow_key(name, types[name]).alias(f"k{i}") for i, name in enumerate(names)]
-    if sum(_width(types[name]) for name in names) <= DIGEST_WIDTH:
-        return keys
-    return [row_digest(df, names).alias("k0")]
+    return [narrow_key(name, types[name]) for name in columns or df.columns]
 
 
-def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 of some columns of a row, nulls included; never null."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    keys = [narrow_key(name, types[name]).alias(f"k{i}") for i, name in enumerate(columns)]
-    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
-    # without the empty text a join would compute the digest once more to filter nulls
-    return F.coalesce(digest, F.lit(""))
+def row_counts(df: DataFrame) -> DataFrame:
+    """``n`` per different row content; the contents themselves are left behind."""
+    keys = [f"{key} AS k{i}" for i, key in enumerate(row_keys(df))]
+    grouped = df.selectExpr(*keys).groupBy(*[f"k{i}" for i in range(len(keys))])
+    return grouped.agg(F.count(F.lit(1)).alias("n"))
 
 
-def _width(data_type: T.DataType) -> int:
-    if isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
-        return 24
-    return 8
+def row_key(df: DataFrame, columns: list[str]) -> Column:
+    """The keys of a row as one struct: never null, and equal where all columns are equal or null,
+    so it can be joined and partitioned by."""
+    return F.expr(f"struct({', '.join(row_keys(df, columns))})")
 
 
-def text_key(name: str, data_type: T.DataType) -> Column:
+def text_key(name: str, data_type: T.DataType) -> str:
     """A key as text, null for null and NaN; equal exactly when the values are equal."""
     key = narrow_key(name, data_type)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        key = F.when(~F.isnan(key), key)
-    return key.cast("string")
+        key = f"CASE WHEN NOT isnan({quoted(name)}) THEN {key} END"
+    return f"CAST({key} AS STRING)"
 
 
-def present(name: str, data_type: T.DataType) -> Column:
+def present(name: str, data_type: T.DataType) -> str:
     """The column with NaN as null, so that counts skip both."""
-    c = F.col(f"`{name}`")
+    c = quoted(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
+        return f"CASE WHEN NOT isnan({c}) THEN {c} END"
     return c

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.operators.keys import present
-from tarnlake.operators.ranks import values_at
+from tarnlake.operators.ranks import column_ends, values_at
 from tarnlake.types import is_number
 
 
@@ -55,9 +55,7 @@ def _countable(df: DataFrame, order: list[str]) -> bool:
     types = {f.name: f.dataType for f in df.schema.fields}
     if not all(is_number(types[n]) for n in order):
         return False
-    counts = df.agg(
-        F.count(F.lit(1)), *[F.count(present(n, types[n])) for n in order]
-    ).first()
+    counts = df.selectExpr("count(1)", *[f"count({present(n, types[n])})" for n in order]).first()
     return len(set(counts)) == 1
 
 
@@ -70,7 +68,8 @@ def _skip(df: DataFrame, order: list[str], offset: int, shallow: int) -> tuple[i
     skipped, equal, start = 0, F.lit(True), F.lit(False)
     for name in order:
         c = F.col(name).cast("double")
-        at = values_at(df.filter(equal), {name: [offset - skipped]})
+        rest = df.filter(equal)
+        at = values_at(rest, {name: [offset - skipped]}, column_ends(rest, [name]))
         if not at:
             return skipped, F.lit(False) if skipped == 0 else start | equal
         low, skipped = at[0].low, skipped + at[0].before

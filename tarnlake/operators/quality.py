@@ -8,14 +8,14 @@ Nothing is sampled.
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.functions.numbers import ratio
+from tarnlake.names import literal, quoted, rows_of, struct_of
 from tarnlake.operators.aggregates import distinct_counts
-from tarnlake.operators.keys import present, row_keys
+from tarnlake.operators.keys import present, row_counts
 from tarnlake.types import catalog_name, is_number, is_text, spark_type
 
 # Patterns of the three kinds of text a report looks for, anchored at the start.
@@ -42,148 +42,162 @@ MAX_LENGTHS = 3
 MAX_VARIATION = 0.5
 
 
-def _fields(df: DataFrame):
-    return df.schema.fields
+def _fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
+    return list(enumerate(df.schema.fields))
+
+
+def _numbers(df: DataFrame) -> list[tuple[int, T.StructField]]:
+    return [(i, f) for i, f in _fields(df) if is_number(f.dataType)]
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns, F.lit(0))
+def _texts(df: DataFrame) -> list[tuple[int, T.StructField]]:
+    return [(i, f) for i, f in _fields(df) if is_text(f.dataType)]
 
 
-def _table(one_row: DataFrame, structs: list[Column], schema: str) -> DataFrame:
+def _table(one_row: DataFrame, structs: list[str], schema: str) -> DataFrame:
     """One row per struct of a one-row frame; without structs an empty frame."""
     if not structs:
         return one_row.sparkSession.createDataFrame([], schema)
-    return one_row.select(F.inline(F.array(*structs)))
+    return one_row.selectExpr(rows_of(structs))
 
 
 def _side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
     """One-row frames as one row; the others are scalar sub-queries, so nothing is joined."""
-    out = first
-    for i, frame in enumerate(others):
-        out = out.withColumn(f"_{i}", frame.select(F.struct("*")).scalar())
-    return out.select(*first.columns, *[f"_{i}.*" for i in range(len(others))])
+    extra = {f"_{i}": frame.select(F.struct("*")).scalar() for i, frame in enumerate(others)}
+    if not extra:
+        return first
+    return first.withColumns(extra).select(*first.columns, *[f"{name}.*" for name in extra])
 
 
-# The plain aggregate, in parts that can be computed alone or together.
+# The plain aggregate, in parts that can be computed alone or together (SQL expressions).
 
 
-def _count_parts(df: DataFrame) -> list[Column]:
-    """rows, c0, c1, …: rows and non-null values per column (NaN is null)."""
-    counts = [F.count(present(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(_fields(df))]
-    return [F.count(F.lit(1)).alias("rows"), *counts]
+def _count_parts(df: DataFrame) -> list[str]:
+    """c0, c1, …: non-null values per column (NaN is null)."""
+    return [f"count({present(f.name, f.dataType)}) AS c{i}" for i, f in _fields(df)]
 
 
-def _variation_parts(df: DataFrame) -> list[Column]:
+def _variation_parts(df: DataFrame) -> list[str]:
     """v_i: sample standard deviation over mean of each numeric column."""
     return [
-        ratio(F.stddev_samp(present(f.name, f.dataType)), F.avg(present(f.name, f.dataType))).alias(f"v{i}")
-        for i, f in enumerate(_fields(df))
-        if is_number(f.dataType)
+        f"try_divide(stddev_samp({c}), CAST(avg({c}) AS DOUBLE)) AS v{i}"
+        for i, c in ((i, present(f.name, f.dataType)) for i, f in _numbers(df))
     ]
 
 
-RANGES = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
+RANGES = {"min": "min", "max": "max", "mean": "avg", "std": "stddev_samp"}
 
 
-def _range_parts(df: DataFrame) -> list[Column]:
+def _range_parts(df: DataFrame) -> list[str]:
     return [
-        fn(present(f.name, f.dataType)).cast("double").alias(f"{name}{i}")
-        for i, f in enumerate(_fields(df))
-        if is_number(f.dataType)
+        f"CAST({fn}({present(f.name, f.dataType)}) AS DOUBLE) AS {name}{i}"
+        for i, f in _numbers(df)
         for name, fn in RANGES.items()
     ]
 
 
-def _pattern_parts(df: DataFrame) -> list[Column]:
+# A cheap test that every match of a pattern passes ($ also matches before a last line break).
+POSSIBLE = {
+    "email_pattern": "contains({c}, '@')",
+    "phone_pattern": "length({c}) >= 10",
+    "date_pattern": "length({c}) BETWEEN 10 AND 11",
+}
+
+
+def _pattern_parts(df: DataFrame) -> list[str]:
     return [
-        F.coalesce(F.bool_or(F.col(f"`{f.name}`").rlike("(?U)" + p)), F.lit(False)).alias(f"{name}{i}")
-        for i, f in enumerate(_fields(df))
-        if is_text(f.dataType)
-        for name, p in TEXT_PATTERNS.items()
+        f"coalesce(bool_or({POSSIBLE[name].format(c=quoted(f.name))} AND "
+        f"{quoted(f.name)} RLIKE {literal('(?U)' + pattern)}), false) AS {name}{i}"
+        for i, f in _texts(df)
+        for name, pattern in TEXT_PATTERNS.items()
     ]
 
 
+def _facts(df: DataFrame, *parts: list[str]) -> DataFrame:
+    """The plain aggregate of the given parts, and ``rows``."""
+    return df.selectExpr("count(1) AS rows", *[p for part in parts for p in part])
+
+
 def _lengths(df: DataFrame) -> DataFrame:
     """l_i: different lengths of each text column. Only lengths are expanded and shuffled."""
-    texts = [(i, f.name) for i, f in enumerate(_fields(df)) if is_text(f.dataType)]
-    lengths = df.select(*[F.length(F.col(f"`{n}`")).alias(f"l{i}") for i, n in texts])
-    if not texts:
+    names = [f"l{i}" for i, _ in _texts(df)]
+    if not names:
         return df.sparkSession.range(1)
-    return lengths.agg(*[F.count_distinct(F.col(f"l{i}")).alias(f"l{i}") for i, _ in texts])
+    lengths = df.selectExpr(*[f"length({quoted(f.name)}) AS l{i}" for i, f in _texts(df)])
+    return lengths.selectExpr(*[f"count(DISTINCT {n}) AS {n}" for n in names])
 
 
-# What the parts mean.
+# What the parts mean (SQL expressions over them).
 
 
-def _completeness(df: DataFrame) -> dict[str, Column]:
+def _completeness(df: DataFrame) -> dict[str, str]:
     width = len(df.columns)
-    total = F.col("rows") * width
-    nulls = total - _sum([F.col(f"c{i}") for i in range(width)])
-    return {"total_cells": total, "null_cells": nulls, "completeness": 1 - ratio(nulls, total)}
+    nulls = f"(rows * {width} - ({' + '.join(f'c{i}' for i in range(width))}))"
+    return {
+        "total_cells": f"rows * {width}",
+        "null_cells": nulls,
+        "completeness": f"1 - try_divide(CAST({nulls} AS DOUBLE), CAST(rows * {width} AS DOUBLE))",
+    }
 
 
-def _column_consistency(df: DataFrame, absolute: bool) -> list[Column]:
+def _column_consistency(df: DataFrame, absolute: bool) -> list[dict[str, str]]:
     out = []
-    for i, f in enumerate(_fields(df)):
+    for i, f in _fields(df):
         if is_number(f.dataType):
-            kind, measure = "number", F.col(f"v{i}")
-            good = (F.abs(measure) if absolute else measure) < MAX_VARIATION
+            kind, measure = "number", f"v{i}"
+            good = f"{f'abs(v{i})' if absolute else f'v{i}'} < {MAX_VARIATION}D"
         elif is_text(f.dataType):
-            kind, measure = "text", F.col(f"l{i}").cast("double")
-            good = measure <= MAX_LENGTHS
+            kind, measure, good = "text", f"CAST(l{i} AS DOUBLE)", f"l{i} <= {MAX_LENGTHS}"
         else:
-            kind, measure, good = "other", F.lit(None).cast("double"), F.lit(False)
+            kind, measure, good = "other", "CAST(NULL AS DOUBLE)", "false"
         out.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(kind).alias("kind"),
-                measure.alias("measure"),
-                F.coalesce(good, F.lit(False)).alias("consistent"),
-            )
+            {
+                "column": literal(f.name), "kind": literal(kind), "measure": measure,
+                "consistent": f"coalesce({good}, false)",
+            }
         )
     return out
 
 
-def _consistency(df: DataFrame, absolute: bool = False) -> dict[str, Column]:
-    columns = F.lit(len(df.columns)).cast("long")
-    good = _sum([c.getField("consistent").cast("long") for c in _column_consistency(df, absolute)])
+def _consistency(df: DataFrame, absolute: bool = False) -> dict[str, str]:
+    flags = [f"CAST({c['consistent']} AS BIGINT)" for c in _column_consistency(df, absolute)]
+    good, width = f"({' + '.join(flags)})", len(df.columns)
     return {
-        "total_columns": columns, "consistent_columns": good.cast("long"),
-        "consistency": ratio(good, columns),
+        "total_columns": f"{width}L",
+        "consistent_columns": good,
+        "consistency": f"CAST({good} AS DOUBLE) / {width}D",
     }
 
 
-def _type_rows(df: DataFrame) -> list[Column]:
-    return [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(catalog_name(f.dataType)).alias("expected_type"),
-            F.col(f"c{i}").alias("valid_count"),
-            (F.col("rows") - F.col(f"c{i}")).alias("invalid_count"),
-        )
-        for i, f in enumerate(_fields(df))
-    ]
+def _type_rows(df: DataFrame) -> dict[str, dict[str, str]]:
+    return {
+        f.name: {
+            "expected_type": literal(catalog_name(f.dataType)),
+            "valid_count": f"c{i}",
+            "invalid_count": f"rows - c{i}",
+        }
+        for i, f in _fields(df)
+    }
 
 
-def _range_rows(df: DataFrame) -> list[Column]:
-    return [
-        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in RANGES])
-        for i, f in enumerate(_fields(df))
-        if is_number(f.dataType)
-    ]
+def _range_rows(df: DataFrame) -> dict[str, dict[str, str]]:
+    return {f.name: {n: f"{n}{i}" for n in RANGES} for i, f in _numbers(df)}
 
 
-def _pattern_rows(df: DataFrame) -> list[Column]:
-    return [
-        F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in TEXT_PATTERNS])
-        for i, f in enumerate(_fields(df))
-        if is_text(f.dataType)
-    ]
+def _pattern_rows(df: DataFrame) -> dict[str, dict[str, str]]:
+    return {f.name: {n: f"{n}{i}" for n in TEXT_PATTERNS} for i, f in _texts(df)}
+
 
+def _report(report: dict[str, dict[str, str]]) -> list[str]:
+    return [struct_of({"column": literal(n), **fields}) for n, fields in report.items()]
 
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in columns.items()]
+
+def _as_map(report: dict[str, dict[str, str]]) -> str:
+    return f"map({', '.join(f'{literal(n)}, {struct_of(fields)}' for n, fields in report.items())})"
+
+
+def _named(expressions: dict[str, str]) -> list[str]:
+    return [f"{e} AS {n}" for n, e in expressions.items()]
 
 
 # The reports.
@@ -191,62 +205,57 @@ def _named(columns: dict[str, Column]) -> list[Column]:
 
 def completeness(df: DataFrame) -> DataFrame:
     """Cells, null cells (NaN included) and 1 - null share; an empty table has no score."""
-    return df.agg(*_count_parts(df)).select(*_named(_completeness(df)))
+    return _facts(df, _count_parts(df)).selectExpr(*_named(_completeness(df)))
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
     """Rows, duplicate rows and 1 - duplicate share; nulls are equal, the first copy is kept.
 
-    Row contents are grouped by narrow keys, so long texts and wide rows are shuffled as digests.
+    Row contents are grouped by narrow keys, so long texts are shuffled as digests.
     """
     return (
-        df.groupBy(*row_keys(df))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+        row_counts(df)
+        .selectExpr(
+            "coalesce(sum(n), 0L) AS total_rows", "coalesce(sum(n - 1), 0L) AS duplicate_rows"
+        )
+        .selectExpr(
+            "*",
+            "1 - try_divide(CAST(duplicate_rows AS DOUBLE), CAST(total_rows AS DOUBLE)) AS uniqueness",
         )
-        .withColumn("uniqueness", 1 - ratio(F.col("duplicate_rows"), F.col("total_rows")))
     )
 
 
-def _spread_and_lengths(df: DataFrame) -> DataFrame:
-    spread = df.agg(F.count(F.lit(1)).alias("rows"), *_variation_parts(df))
-    return _side_by_side(spread, _lengths(df))
-
-
 def column_consistency(df: DataFrame, absolute: bool = False) -> DataFrame:
     """One row per column: kind, measure, consistent (text: at most 3 lengths; number: standard
     deviation below half the mean). Columns of other types are never consistent.
 
     The variation keeps its sign as in the score's definition; ``absolute`` compares its size.
     """
-    rows = _column_consistency(df, absolute)
-    return _spread_and_lengths(df).select(F.inline(F.array(*rows)))
+    facts = _side_by_side(_facts(df, _variation_parts(df)), _lengths(df))
+    return facts.selectExpr(rows_of([struct_of(c) for c in _column_consistency(df, absolute)]))
 
 
 def consistency(df: DataFrame, absolute: bool = False) -> DataFrame:
     """Columns, consistent columns and their share."""
-    return _spread_and_lengths(df).select(*_named(_consistency(df, absolute)))
+    facts = _side_by_side(_facts(df, _variation_parts(df)), _lengths(df))
+    return facts.selectExpr(*_named(_consistency(df, absolute)))
 
 
 def type_report(df: DataFrame) -> DataFrame:
     """Type, valid (non-null) and invalid (null) values, one row per column."""
-    return df.agg(*_count_parts(df)).select(F.inline(F.array(*_type_rows(df))))
+    return _facts(df, _count_parts(df)).selectExpr(rows_of(_report(_type_rows(df))))
 
 
 def range_report(df: DataFrame) -> DataFrame:
     """min, max, mean and sample standard deviation, one row per numeric column."""
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), *_range_parts(df))
     schema = "column string, min double, max double, mean double, std double"
-    return _table(facts, _range_rows(df), schema)
+    return _table(_facts(df, _range_parts(df)), _report(_range_rows(df)), schema)
 
 
 def pattern_report(df: DataFrame) -> DataFrame:
     """Whether any value of a text column is an e-mail, a phone number or an ISO date."""
-    facts = df.agg(F.count(F.lit(1)).alias("rows"), *_pattern_parts(df))
     schema = "column string, " + ", ".join(f"{n} boolean" for n in TEXT_PATTERNS)
-    return _table(facts, _pattern_rows(df), schema)
+    return _table(_facts(df, _pattern_parts(df)), _report(_pattern_rows(df)), schema)
 
 
 def column_quality(df: DataFrame) -> DataFrame:
@@ -261,33 +270,24 @@ def column_quality(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Column profile. ``redundancy`` is 1 - distinct / rows and decides ``is_unique`` as the
-    original profile does; ``distinct_ratio`` is the share of different values.
+    """Column profile. ``redundancy`` is 1 - distinct / rows and decides ``is_unique``, odd as
+    that is; ``distinct_ratio`` is the share of different values.
 
     The sample is the value of the first row in ``order`` that has one, else any value.
     """
     samples = []
-    for i, f in enumerate(_fields(df)):
-        c = F.col(f"`{f.name}`").cast("string")
+    for i, f in _fields(df):
+        c = f"CAST({quoted(f.name)} AS STRING)"
         if order:
-            sample = F.min_by(c, F.when(c.isNotNull(), F.col(order)))
+            sample = f"min_by({c}, CASE WHEN {c} IS NOT NULL THEN {quoted(order)} END)"
         else:
-            sample = F.any_value(c, F.lit(True))
-        samples.append(sample.alias(f"s{i}"))
-    named = df.agg(*samples).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f.name).alias("column"),
-                        F.lit(catalog_name(f.dataType)).alias("type"),
-                        F.col(f"s{i}").alias("sample_value"),
-                    )
-                    for i, f in enumerate(_fields(df))
-                ]
-            )
-        )
-    )
+            sample = f"any_value({c}, true)"
+        samples.append(f"{sample} AS s{i}")
+    described = {
+        f.name: {"type": literal(catalog_name(f.dataType)), "sample_value": f"s{i}"}
+        for i, f in _fields(df)
+    }
+    named = df.selectExpr(*samples).selectExpr(rows_of(_report(described)))
     complete = ratio(F.col("valid_count"), F.col("row_count"))
     distinct_ratio = ratio(F.col("distinct_count"), F.col("row_count"))
     return distinct_counts(df).join(named, "column").select(
@@ -313,22 +313,17 @@ def accuracy(df: DataFrame, declared: dict[str, str]) -> DataFrame:
 
     Columns are compared by name; a declared column the table lacks is not accurate.
     """
-    checks = [
-        (
-            F.count_if(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast(spark_type(t)).isNull())
-            == 0
-        ).alias(f"ok{i}")
-        if n in df.columns
-        else F.lit(False).alias(f"ok{i}")
+    failures = [
+        f"count_if({quoted(n)} IS NOT NULL AND try_cast({quoted(n)} AS {spark_type(t)}) IS NULL) AS f{i}"
         for i, (n, t) in enumerate(declared.items())
+        if n in df.columns
     ]
-    good = _sum([F.col(f"ok{i}").cast("long") for i in range(len(checks))])
-    return (
-        df.agg(F.count(F.lit(1)).alias("_rows"), *checks)
-        .select(F.lit(len(checks)).cast("long").alias("declared_columns"), good.alias("valid_columns"))
-        .withColumn(
-            "accuracy", F.coalesce(ratio(F.col("valid_columns"), F.col("declared_columns")), F.lit(0.0))
-        )
+    flags = [f"CAST(f{i} = 0 AS BIGINT)" for i, n in enumerate(declared) if n in df.columns]
+    good = f"({' + '.join(flags or ['0L'])})"
+    return _facts(df, failures).selectExpr(
+        f"{len(declared)}L AS declared_columns",
+        f"{good} AS valid_columns",
+        f"coalesce(try_divide(CAST({good} AS DOUBLE), {len(declared)}D), 0D) AS accuracy",
     )
 
 
@@ -353,29 +348,24 @@ def timeliness(df: DataFrame, time: str | None = None, since: Column | None = No
     return df.agg(ratio(fresh, F.count(F.lit(1))).alias("timeliness"))
 
 
-def _by_column(rows: list[Column], names: list[str]) -> Column:
-    """Report structs as a map column → struct."""
-    pairs = [x for r, n in zip(rows, names) for x in (F.lit(n), r.dropFields("column"))]
-    return F.create_map(*pairs)
-
-
 def quality_record(df: DataFrame, now: datetime | None = None) -> DataFrame:
     """The whole quality record of a table as one row: counts, scores and per-column reports."""
-    parts = [*_count_parts(df), *_variation_parts(df), *_range_parts(df), *_pattern_parts(df)]
-    facts = _side_by_side(df.agg(*parts), _lengths(df), uniqueness(df).select("uniqueness"))
-    numbers = [f.name for f in _fields(df) if is_number(f.dataType)]
-    texts = [f.name for f in _fields(df) if is_text(f.dataType)]
-    return facts.select(
-        F.col("rows").alias("row_count"),
-        F.lit(len(df.columns)).alias("column_count"),
-        _completeness(df)["completeness"].alias("completeness"),
+    plain = _facts(
+        df, _count_parts(df), _variation_parts(df), _range_parts(df), _pattern_parts(df)
+    )
+    facts = _side_by_side(plain, _lengths(df), uniqueness(df).select("uniqueness"))
+    record = facts.selectExpr(
+        "rows AS row_count",
+        f"{len(df.columns)} AS column_count",
+        f"{_completeness(df)['completeness']} AS completeness",
         "uniqueness",
-        _consistency(df)["consistency"].alias("consistency"),
-        _by_column(_type_rows(df), df.columns).alias("type_validation"),
-        _by_column(_range_rows(df), numbers).alias("range_checks"),
-        _by_column(_pattern_rows(df), texts).alias("pattern_checks"),
-        (F.current_timestamp() if now is None else F.lit(now).cast("timestamp")).alias("checked_at"),
+        f"{_consistency(df)['consistency']} AS consistency",
+        f"{_as_map(_type_rows(df))} AS type_validation",
+        f"{_as_map(_range_rows(df))} AS range_checks",
+        f"{_as_map(_pattern_rows(df))} AS pattern_checks",
     )
+    checked = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return record.withColumn("checked_at", checked)
 
 
 def run_quality_checks(df: DataFrame, table: str, config: dict | None = None) -> DataFrame:
@@ -383,39 +373,41 @@ def run_quality_checks(df: DataFrame, table: str, config: dict | None = None) ->
     aggregates the chosen metrics need are computed, each once."""
     config = config or DEFAULT_RUN
     chosen = config["enabled_metrics"]
-    plain = _count_parts(df)
-    frames = []
-    if "consistency" in chosen:
-        plain += _variation_parts(df)
-        frames.append(_lengths(df))
-    if "uniqueness" in chosen:
-        frames.append(uniqueness(df))
-    facts = _side_by_side(df.agg(*plain), *frames)
     measures = {
-        "completeness": lambda: _completeness(df).values(),
-        "uniqueness": lambda: map(F.col, ("total_rows", "duplicate_rows", "uniqueness")),
-        "consistency": lambda: _consistency(df).values(),
+        "completeness": lambda: _completeness(df),
+        "uniqueness": lambda: {n: n for n in ("total_rows", "duplicate_rows", "uniqueness")},
+        "consistency": lambda: _consistency(df),
     }
+    parts, others = [], []
+    if "completeness" in chosen:
+        parts.append(_count_parts(df))
+    if "consistency" in chosen:
+        parts.append(_variation_parts(df))
+        others.append(_lengths(df))
+    if "uniqueness" in chosen:
+        others.append(uniqueness(df))
     rows = []
     for metric in chosen:
-        total, part, score = measures[metric]()
+        total, part, score = measures[metric]().values()
         bound = float(config["thresholds"][metric])
         rows.append(
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(metric).alias("metric"),
-                score.alias("score"),
-                F.lit(bound).alias("threshold"),
-                F.when(score >= bound, "success").otherwise("warning").alias("status"),
-                total.alias("total"),
-                part.alias("part"),
+            struct_of(
+                {
+                    "table_name": literal(table),
+                    "metric": literal(metric),
+                    "score": score,
+                    "threshold": f"{bound!r}D",
+                    "status": f"CASE WHEN {score} >= {bound!r}D THEN 'success' ELSE 'warning' END",
+                    "total": total,
+                    "part": part,
+                }
             )
         )
     schema = (
         "table_name string, metric string, score double, threshold double, status string, "
         "total bigint, part bigint"
     )
-    return _table(facts, rows, schema)
+    return _table(_side_by_side(_facts(df, *parts), *others), rows, schema)
 
 
 def latest_quality(history: DataFrame, table: str = "table_name", time: str = "checked_at") -> DataFrame:

@@ -30,23 +30,30 @@ class Range:
     inside: int
 
 
-def values_at(df: DataFrame, wanted: dict[str, list[int]]) -> list[Range]:
-    """For each column and rank (from 0, nulls and NaN left out) the range that is one value."""
+Ends = tuple[int, float | None, float | None]
+
+
+def _value(df: DataFrame, columns: list[str]) -> dict[str, str]:
     types = {f.name: f.dataType for f in df.schema.fields}
-    value = {n: present(n, types[n]).cast("double") for n in wanted}
-    names = list(wanted)
-    ends = df.agg(
-        *[
-            fn(value[n]).alias(f"{a}{i}")
-            for i, n in enumerate(names)
-            for a, fn in (("n", F.count), ("low", F.min), ("high", F.max))
-        ]
-    ).first()
+    return {n: f"CAST({present(n, types[n])} AS DOUBLE)" for n in columns}
+
+
+def column_ends(df: DataFrame, columns: list[str]) -> dict[str, Ends]:
+    """(number of values, smallest, largest) of each column, nulls and NaN left out."""
+    value = _value(df, columns)
+    facts = df.selectExpr(*[f"{fn}({value[n]})" for n in columns for fn in ("count", "min", "max")]).first()
+    return {n: tuple(facts[3 * i : 3 * i + 3]) for i, n in enumerate(columns)}
+
+
+def values_at(df: DataFrame, wanted: dict[str, list[int]], ends: dict[str, Ends]) -> list[Range]:
+    """For each column and rank (from 0) the range that is one value; ranks beyond the end are
+    left out."""
+    value = _value(df, list(wanted))
     ranges = [
-        Range(n, rank, ends[f"low{i}"], ends[f"high{i}"], 0, ends[f"n{i}"])
-        for i, n in enumerate(names)
-        for rank in wanted[n]
-        if 0 <= rank < ends[f"n{i}"]
+        Range(n, rank, ends[n][1], ends[n][2], 0, ends[n][0])
+        for n, ranks in wanted.items()
+        for rank in ranks
+        if 0 <= rank < ends[n][0]
     ]
     while open_ranges := [r for r in ranges if r.low != r.high]:
         # ranks that still share a range are counted once
@@ -67,19 +74,15 @@ def _histograms(df, value, spans) -> list[list[tuple]]:
     cells = []
     for i, (column, low, high) in enumerate(spans):
         v = value[column]
-        bucket = F.floor((v - low) / (high - low) * BUCKETS)
+        # 17 digits give the very double back
+        ends = f"CAST('{low!r}' AS DOUBLE)", f"CAST('{high!r}' AS DOUBLE)"
+        bucket = f"least(floor(({v} - {ends[0]}) / ({ends[1]} - {ends[0]}) * {BUCKETS}), {BUCKETS - 1})"
         cells.append(
-            F.when(
-                v.between(low, high),
-                F.struct(
-                    F.lit(i).alias("span"),
-                    F.least(bucket, F.lit(BUCKETS - 1)).cast("int").alias("bucket"),
-                    v.alias("v"),
-                ),
-            )
+            f"CASE WHEN {v} BETWEEN {ends[0]} AND {ends[1]} "
+            f"THEN named_struct('span', {i}, 'bucket', CAST({bucket} AS INT), 'v', {v}) END"
         )
     rows = (
-        df.select(F.inline(F.array_compact(F.array(*cells))))
+        df.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
         .groupBy("span", "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         .collect()
@@ -91,23 +94,23 @@ def _histograms(df, value, spans) -> list[list[tuple]]:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float]
+    df: DataFrame,
+    columns: list[str],
+    probabilities: list[float],
+    ends: dict[str, Ends] | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between neighbouring values; None without values."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    counts = df.agg(
-        *[F.count(present(n, types[n])).alias(f"n{i}") for i, n in enumerate(columns)]
-    ).first()
-    places = {n: [p * (counts[i] - 1) for p in probabilities] for i, n in enumerate(columns) if counts[i]}
+    ends = ends or column_ends(df, columns)
+    last = {n: ends[n][0] - 1 for n in columns}
+    places = {n: [p * last[n] for p in probabilities] for n in columns if ends[n][0]}
     wanted = {
-        n: sorted({k for at in ats for k in (int(at), min(int(at) + 1, counts[columns.index(n)] - 1))})
+        n: sorted({k for at in ats for k in (int(at), min(int(at) + 1, last[n]))})
         for n, ats in places.items()
     }
-    found = {(r.column, r.rank): r.low for r in values_at(df, wanted)} if wanted else {}
+    found = {(r.column, r.rank): r.low for r in values_at(df, wanted, ends)}
     out: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in columns}
     for n, ats in places.items():
-        last = counts[columns.index(n)] - 1
         for j, at in enumerate(ats):
-            low, high = found[n, int(at)], found[n, min(int(at) + 1, last)]
+            low, high = found[n, int(at)], found[n, min(int(at) + 1, last[n])]
             out[n][j] = low + (high - low) * (at - int(at))
     return out

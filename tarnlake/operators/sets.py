@@ -30,7 +30,7 @@ def drop_duplicates(df: DataFrame, order: str | None = None) -> DataFrame:
     if order is None:
         return df.dropDuplicates()
     rest = [n for n in df.columns if n != order]
-    kept = df.groupBy(*row_keys(df, rest)).agg(
+    kept = df.groupBy(*map(F.expr, row_keys(df, rest))).agg(
         F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
     )
     return kept.select(*[F.col(f"_row.`{n}`").alias(n) for n in df.columns])

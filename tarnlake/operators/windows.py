@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarnlake.operators.keys import row_digest
+from tarnlake.operators.keys import row_key
 
 
 def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
@@ -16,7 +19,7 @@ def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
     back (a skewed join partition is split by Spark).
     """
     compared = [n for n in df.columns if n != position]
-    keyed = df.withColumn("_row", row_digest(df, compared))
+    keyed = df.withColumn("_row", row_key(df, compared))
     first = (
         keyed.groupBy("_row")
         .agg(F.min(position).alias("first_position"), F.count(F.lit(1)).alias("_n"))
@@ -41,23 +44,39 @@ def latest_version(versions: DataFrame, key: str, version: str) -> DataFrame:
     )
 
 
+def even_buckets(df: DataFrame, order: str, count: int = 10_000) -> Column:
+    """Equal-width ranges of a number, date or time column, at most ``count``, from its smallest
+    and largest value."""
+    data_type = df.schema[order].dataType
+    if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
+        start = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
+        place = F.timestamp_diff("SECOND", start, F.col(order).cast("timestamp_ntz"))
+    else:
+        place = F.col(order).cast("double")
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    if low is None or low == high:
+        return F.lit(0)
+    return F.floor((place - low) / ((high - low) / count))
+
+
 def numbered(
     df: DataFrame,
     key: str,
     order: str,
-    bucket: Column,
+    bucket: Column | None = None,
     number_as: str = "number",
     after: DataFrame | None = None,
 ) -> DataFrame:
     """1, 2, 3 … per key in order, without ever sorting one key in one task.
 
-    ``bucket`` must never decrease along ``order`` (a day, an id range). Rows are numbered inside
-    (key, bucket); the running total of the bucket sizes is added, and that total is a window over
+    ``bucket`` must never decrease along ``order`` (a day, an id range); by default it is one of
+    10,000 equal ranges. Rows are numbered inside (key, bucket); the running total of the bucket sizes is added, and that total is a window over
     one row per bucket only. ``after`` (key, start) holds a number per key to count on from; it
     meets the bucket totals, so the rows themselves are shuffled once.
     """
     # a struct of both is never null, so rows without a key are kept and the join needs no shuffle
     # beyond the window's
+    bucket = even_buckets(df, order) if bucket is None else bucket
     rows = df.withColumn("_slot", F.struct(F.col(key).alias("key"), bucket.alias("bucket")))
     before = Window.partitionBy("_slot.key").orderBy("_slot.bucket")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +99,7 @@ def numbered(
 
 
 def add_versions(
-    versions: DataFrame, new: DataFrame, key: str, order: str, bucket: Column
+    versions: DataFrame, new: DataFrame, key: str, order: str, bucket: Column | None = None
 ) -> DataFrame:
     """New rows with the next version numbers of their key, starting at 1 for a new key."""
     current = versions.groupBy(key).agg(F.max("version").alias("start"))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.names import literal
 from tarnlake.operators.columns import missing_columns
 from tarnlake.sources.readers import read_any
 from tarnlake.types import spark_type
@@ -17,12 +18,8 @@ def _name(database: str, table: str) -> str:
     return f"`{database}`.`{table}`"
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def use_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    where = f" LOCATION {_literal(location)}" if location else ""
+    where = f" LOCATION {literal(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
 
 
@@ -91,11 +88,11 @@ def create_or_update_table(
         return "updated"
     ddl = ", ".join(
         f"`{n}` {spark_type(t)}"
-        + (f" COMMENT {_literal(comments[n])}" if comments and n in comments else "")
+        + (f" COMMENT {literal(comments[n])}" if comments and n in comments else "")
         for n, t in columns.items()
     )
     by = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in partitions)})" if partitions else ""
-    where = f" LOCATION {_literal(location)}" if location else ""
+    where = f" LOCATION {literal(location)}" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING {format}{by}{where}")
     return "created"
 
@@ -127,10 +124,10 @@ def create_delimited_table(
     use_database(spark, database)
     ddl = ", ".join(f"`{n}` {spark_type(t)}" for n, t in columns.items())
     options = {"sep": sep, "quote": quote, "escape": escape, "header": str(header).lower()}
-    option_text = ", ".join(f"{k} {_literal(v)}" for k, v in options.items())
+    option_text = ", ".join(f"{k} {literal(v)}" for k, v in options.items())
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {_name(database, table)} ({ddl}) USING csv "
-        f"OPTIONS ({option_text}) LOCATION {_literal(path)}"
+        f"OPTIONS ({option_text}) LOCATION {literal(path)}"
     )
     return spark.table(_name(database, table))
 
@@ -182,10 +179,15 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def store_docs(docs: DataFrame, path: str, kind: str) -> None:
+    """Append metadata documents (key, at, doc as JSON) to the folder of their kind."""
+    rows = docs.select(F.lit(kind).alias("kind"), "key", F.col("at").cast("timestamp"), "doc")
+    rows.write.mode("append").partitionBy("kind").parquet(path)
+
+
 def store_doc(
     spark: SparkSession, path: str, kind: str, key: str, doc: dict, at: datetime
 ) -> None:
-    """Append one metadata document to the folder of its kind."""
-    row = [(kind, key, at, json.dumps(doc, sort_keys=True, default=str))]
-    frame = spark.createDataFrame(row, "kind string, key string, at timestamp, doc string")
-    frame.write.mode("append").partitionBy("kind").parquet(path)
+    """Append one metadata document."""
+    row = [(key, at, json.dumps(doc, sort_keys=True, default=str))]
+    store_docs(spark.createDataFrame(row, "key string, at timestamp, doc string"), path, kind)

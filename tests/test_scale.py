@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.operators import aggregates, ordering, quality, ranks, sets, windows
-from tarnlake.operators.keys import row_digest
+from tarnlake.operators.keys import row_key
 
 
 def rows(df):
@@ -42,6 +42,17 @@ def test_numbered(hot):
     assert {(r["pos"], r["number"]) for r in got.collect()} == set(zip(pdf["pos"], pdf["n"]))
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "date", "timestamp", "timestamp_ntz"])
+def test_even_buckets(spark, kind):
+    df = spark.range(300).selectExpr(
+        "id % 2 AS key",
+        f"CAST(id AS {kind}) AS pos" if kind in ("bigint", "double")
+        else f"CAST(DATE'2024-01-01' + CAST(id AS INT) AS {kind}) AS pos",
+    )
+    got = rows(windows.numbered(df, "key", "pos").orderBy("key", "pos"))
+    assert [r[2] for r in got] == list(range(1, 151)) * 2
+
+
 def test_numbered_keeps_rows_without_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "key bigint, pos bigint")
     got = windows.numbered(df, "key", "pos", F.floor(F.col("pos") / 2))
@@ -69,10 +80,21 @@ def test_row_scores(hot):
     assert counts == pdf.nunique().to_dict()
 
 
-def test_digest_tells_rows_apart(spark):
-    data = [("a", None), (None, "a"), ("", None), (None, ""), ("a,b", ""), ("a", "b"), ("x" * 70, "y"), ("#", "y")]
+def test_keys_tell_rows_apart(spark):
+    long = "x" * 70
+    digest = spark.sql(f"SELECT '#' || sha2('{long}', 256)").first()[0]
+    data = [("a", None), (None, "a"), ("", None), (None, ""), ("a,b", ""), ("a", "b"), (long, "y"), (digest, "y")]
     df = spark.createDataFrame(data, "s string, t string")
-    assert df.select(row_digest(df, ["s", "t"])).distinct().count() == len(data)
+    assert df.select(row_key(df, ["s", "t"])).distinct().count() == len(data)
+    assert quality.uniqueness(df.union(df)).first()["duplicate_rows"] == len(data)
+
+
+def test_repeats_with_nulls_and_nan(spark):
+    nan = float("nan")
+    data = [(1, None, nan), (2, None, nan), (3, "a", 0.0), (4, "a", -0.0), (5, None, None), (6, "b", nan)]
+    df = spark.createDataFrame(data, "pos int, s string, d double")
+    got = windows.duplicate_positions(df, "pos").select("pos", "first_position")
+    assert set(rows(got)) == {(2, 1), (4, 3)}
 
 
 def test_equal_zeros(spark):
