@@ -205,10 +205,15 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     names = columns or df.columns
     keys = df.selectExpr(*[f"{text_key(n, types[n])} AS k{i}" for i, n in enumerate(names)])
     labels = ", ".join(f"'k{i}', {literal(n)}" for i, n in enumerate(names))
+    # an empty table still has one row per column
+    empty = df.sparkSession.createDataFrame(
+        [(f"k{i}", None, 0) for i in range(len(names))], "k string, value string, n bigint"
+    )
     return (
         keys.unpivot([], [f"k{i}" for i in range(len(names))], "k", "value")
         .groupBy("k", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .unionAll(empty)
         .groupBy("k")
         .agg(
             F.expr("sum(n) AS row_count"),

@@ -64,17 +64,13 @@ def load_file(
     state = create_or_update_table(spark, database, table, columns, location=location)
     name = f"`{database}`.`{table}`"
     before = 0 if state == "created" else spark.table(name).count()
-    append(rows, database, table)
+    read = append(rows, database, table)
     after = spark.table(name)
-    counts = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    read = rows.agg(F.count(F.lit(1)).alias("rows_read")).scalar()
-    return counts.select(
-        F.lit(table).alias("table_name"),
-        F.lit(before).cast("long").alias("rows_before"),
-        read.alias("rows_read"),
-        "rows_after",
-        (F.col("rows_after") == F.lit(before) + read).alias("complete"),
-        F.lit(set(columns) <= set(after.columns)).alias("same_columns"),
+    total = after.count()
+    return spark.createDataFrame(
+        [(table, before, read, total, total == before + read, set(columns) <= set(after.columns))],
+        "table_name string, rows_before bigint, rows_read bigint, rows_after bigint, "
+        "complete boolean, same_columns boolean",
     )
 
 
@@ -127,18 +123,16 @@ def run_etl(
     staged = spark.read.parquet(staging)
     issues = validate_schema(staged, contract).count()
     verdict = quality_gate(staged, thresholds)
-    passed = bool(verdict.first()["passed"]) and issues == 0
-    if passed:
+    gate = verdict.first()
+    loaded = 0
+    if gate["passed"] and not issues:
         columns = {f.name: f.dataType.simpleString() for f in staged.schema.fields}
         create_or_update_table(spark, database, target, columns, location=f"{staging}-loaded")
-        append(staged, database, target)
-    loaded = staged.count() if passed else 0
-    return verdict.withColumns(
-        {
-            "issues": F.lit(issues).cast("long"),
-            "loaded_rows": F.lit(loaded).cast("long"),
-            "status": F.lit("completed" if passed else "rejected"),
-        }
+        loaded = append(staged, database, target)
+    status = "completed" if gate["passed"] and not issues else "rejected"
+    return spark.createDataFrame(
+        [(*gate, issues, loaded, status)],
+        verdict.schema.add("issues", "long").add("loaded_rows", "long").add("status", "string"),
     )
 
 

@@ -132,15 +132,18 @@ def create_delimited_table(
     return spark.table(_name(database, table))
 
 
-def append(df: DataFrame, database: str, table: str) -> None:
-    """INSERT INTO by column name; columns the frame lacks are null."""
+def append(df: DataFrame, database: str, table: str) -> int:
+    """INSERT INTO by column name; columns the frame lacks are null. Returns the rows written."""
     target = df.sparkSession.table(_name(database, table))
     have = set(df.columns)
     ordered = [
         (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in target.schema.fields
     ]
-    df.select(*ordered).write.insertInto(_name(database, table))
+    seen = Observation()
+    counted = df.select(*ordered).observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.insertInto(_name(database, table))
+    return seen.get["rows"]
 
 
 def ctas(

@@ -138,6 +138,9 @@ def test_empty_table(spark):
     assert rows(quality.uniqueness(df)) == [(0, 0, None)]
     assert rows(contracts.validate_schema(df, [{"name": "a"}, {"name": "b"}]))[0][0] == "empty_table"
     assert quality.quality_record(df).first()["row_count"] == 0
+    assert [tuple(r)[1:3] for r in quality.column_quality(df).collect()] == [(None, None)] * 2
+    assert aggregates.overall_quality(df.selectExpr("CAST(a AS DOUBLE) AS s"), ["s"]).first()["s"] == 0.0
+    assert aggregates.describe(df, ["a"]).first()["q50"] is None
 
 
 def test_scores_match_pandas(spark):
