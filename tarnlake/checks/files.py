@@ -127,6 +127,20 @@ def _(lake):
     )
 
 
+@check(
+    "src_08_formats",
+    """SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'csv' WHEN 'SMALL' THEN 'excel' WHEN 'PROMO' THEN 'parquet'
+         WHEN 'LARGE' THEN 'avro' END AS format FROM part""",
+)
+def _(lake):
+    ending = F.expr(
+        "CASE p_type WHEN 'ECONOMY' THEN '.CSV' WHEN 'SMALL' THEN '.v2.xlsx' WHEN 'PROMO' THEN '.parquet' "
+        "WHEN 'LARGE' THEN '.avro' WHEN 'MEDIUM' THEN '.pdf' ELSE '' END"
+    )
+    path = F.concat(F.lit("s3://lake.x/raw/"), "p_name", ending)
+    return lake.part.select("p_partkey", readers.format_of(path).alias("format"))
+
+
 @check("src_10_discover_files")
 def _(lake):
     return files.discover_files(lake.spark, lake.folder, [".parquet"]).select("name", "size", "format")

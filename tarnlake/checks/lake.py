@@ -256,7 +256,9 @@ def _(lake):
     writers.write_as(lake.supplier.select("s_suppkey", "s_name"), f"{prefix}/parts.parquet", "parquet")
     writers.write_as(lake.events, f"{prefix}/events.parquet", "parquet")
     database, name, path = scratch(lake, "lake_batch")
-    report = loads.load_prefix(lake.spark, prefix, f"{database}_{name}", path)
+    database = f"{database}_{name}"
+    writers.use_database(lake.spark, database, f"{path}-database")
+    report = loads.load_prefix(lake.spark, prefix, database, path)
     return report.drop("location")
 
 

@@ -399,25 +399,26 @@ def _(lake):
     return srt.newest_first(dirty_events(lake).select("event_id", "date"), "date", ["event_id"])
 
 
-_TYPE_NAMES = """SELECT coalesce(a.p_name, b.p_name) AS p_name,
-  CASE WHEN a.p_name IS NULL THEN 'only_right' WHEN b.p_name IS NULL THEN 'only_left' ELSE 'common' END AS status
-  FROM (SELECT DISTINCT p_name FROM part WHERE p_type = 'ECONOMY' AND p_size < 10) a
-  FULL JOIN (SELECT DISTINCT p_name FROM part WHERE p_type = 'PROMO' AND p_size < 10) b ON a.p_name = b.p_name"""
+_TYPE_NAMES = """SELECT coalesce(a.name, b.name) AS name,
+  CASE WHEN a.name IS NULL THEN 'only_right' WHEN b.name IS NULL THEN 'only_left' ELSE 'common' END AS status
+  FROM (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_type = 'ECONOMY') a
+  FULL JOIN (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_type = 'PROMO') b
+    ON a.name = b.name"""
 
 
 def _two_sides(lake):
-    small = lake.part.filter("p_size < 10")
-    return small.filter("p_type = 'ECONOMY'"), small.filter("p_type = 'PROMO'")
+    named = lake.part.withColumn("name", F.concat_ws(" ", "p_name", "p_brand"))
+    return named.filter("p_type = 'ECONOMY'"), named.filter("p_type = 'PROMO'")
 
 
 @check("set_01_schema_sets", _TYPE_NAMES)
 def _(lake):
-    return sets.schema_sets(*_two_sides(lake), "p_name")
+    return sets.schema_sets(*_two_sides(lake), "name")
 
 
 @check("set_01_schema_set_counts", f"SELECT status, count(*) AS n FROM ({_TYPE_NAMES}) GROUP BY status")
 def _(lake):
-    return sets.schema_set_counts(*_two_sides(lake), "p_name")
+    return sets.schema_set_counts(*_two_sides(lake), "name")
 
 
 @check("set_02_drop_duplicates", f"SELECT DISTINCT * FROM {REPEATED}")

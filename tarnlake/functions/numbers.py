@@ -13,8 +13,10 @@ MISSING_WORDS = ["unknown", "invalid", "null", "nan", ""]
 
 def to_number(c: Column, missing: list[str] = MISSING_WORDS) -> Column:
     """Double of a text; listed words, unparseable text and NaN become null."""
-    number = strip(null_if_in(c.cast("string"), missing)).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    text = strip(null_if_in(c.cast("string"), missing))
+    number = text.try_cast("double")
+    # Java also reads 1d and 2.5f as numbers
+    return F.when(~F.isnan(number) & ~text.rlike("[0-9.][dDfF]$"), number)
 
 
 def is_whole(c: Column) -> Column:

@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse_time(c: Column, fmt: str | None = None) -> Column:
-    """Timestamp of a text, null when it does not parse."""
-    return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+# Date forms tried, in this order, after the ISO forms.
+DATE_FORMS = [
+    "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+    "d MMM yyyy",
+]
+
+
+def parse_time(c: Column, forms: list[str] = DATE_FORMS) -> Column:
+    """Timestamp of a text in an ISO form or one of ``forms``; null when none fits."""
+    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in forms])
 
 
 def iso(c: Column) -> Column:

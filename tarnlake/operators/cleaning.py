@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.numbers import is_whole, to_number
 from tarnlake.functions.text import collapse_spaces
+from tarnlake.functions.times import parse_time
 from tarnlake.types import is_text
 
 # Defaults of the cleaning steps.
@@ -54,7 +55,7 @@ def validate_dates(df: DataFrame, columns: list[str], default: date | None = Non
     fallback = F.current_date() if default is None else F.lit(default)
     return df.withColumns(
         {
-            n: F.coalesce(F.try_to_timestamp(F.col(f"`{n}`")), fallback.cast("timestamp"))
+            n: F.coalesce(parse_time(F.col(f"`{n}`")), fallback.cast("timestamp"))
             for n in columns
         }
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions.text import base_name, extension
-from tarnlake.sources.readers import FORMATS
+from tarnlake.sources.readers import FORMATS, format_of
 
 
 def discover_files(
@@ -21,13 +21,12 @@ def discover_files(
         .select("path", "length", "modificationTime")
     )
     ext = F.lower(extension(F.col("path")))
-    kind = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
     return listing.filter(ext.isin(chosen)).select(
         "path",
         base_name(F.col("path")).alias("name"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
-        F.try_element_at(kind, ext).alias("format"),
+        format_of(F.col("path")).alias("format"),
     )
 
 

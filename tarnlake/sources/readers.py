@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.text import extension
 from tarnlake.sources.xlsx import read_excel
 
 # Format of each file extension.
@@ -26,6 +27,12 @@ def detect_format(path: str) -> str:
     return FORMATS[ext]
 
 
+def format_of(path: Column) -> Column:
+    """Format of each path of a column by its extension, null when it is not supported."""
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.try_element_at(known, F.lower(extension(path)))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
     """CSV with a header row. Without a schema Spark reads the data once more to infer it, so
     pass the catalog's schema for large tables."""

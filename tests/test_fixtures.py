@@ -281,6 +281,22 @@ def test_repair_leaves_valid_text(spark):
     assert rows(df.select(js.repair_json(F.col("doc")))) == [(good,), (None,), (None,)]
 
 
+def test_tolerant_values(spark):
+    from tarnlake.functions.numbers import to_number
+    from tarnlake.functions.times import parse_time
+
+    days = ["2024-01-31", "2024/01/31", "20240131", "01/31/2024", "31.01.2024", "31-Jan-2024", "Jan 31, 2024",
+            "January 31, 2024", "31 Jan 2024", "2024-01-31T00:00:00"]
+    df = spark.createDataFrame([(d,) for d in days], "t string")
+    assert {r[0] for r in df.select(parse_time(F.col("t"))).collect()} == {datetime(2024, 1, 31)}
+    bad = spark.createDataFrame([("31/31/2024",), ("soon",), ("",), (None,)], "t string")
+    assert {r[0] for r in bad.select(parse_time(F.col("t"))).collect()} == {None}
+    texts = [" 1.5 ", "1d", "2.5F", "1e3", "0x10", "NaN", "-7", "1,000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(to_number(F.col("t"))).collect()]
+    assert got == [1.5, None, None, 1000.0, None, None, -7.0, None, None]
+
+
 def test_names(spark):
     assert columns.standard_names(["LeadInvestor(s)", " A--b ", "a_b", "###", "Ü"]) == [
         "leadinvestor_s", "a_b", "a_b_2", "col_3", "col_4",
