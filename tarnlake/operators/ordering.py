@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.operators.keys import present
 from tarnlake.operators.ranks import column_ends, values_at
@@ -20,12 +21,17 @@ def sort_nulls_last(
 ) -> DataFrame:
     """Total order with nulls at the end in both directions.
 
-    The tie columns belong to the range partitioning, so one very frequent value is still spread
-    over many tasks.
+    The tie columns (by default all others) belong to the range partitioning, so one very frequent
+    value is still spread over many tasks.
     """
     c = F.col(column)
     key = c.asc_nulls_last() if direction == "asc" else c.desc_nulls_last()
-    return df.orderBy(key, *(tie or []))
+    if tie is None:
+        tie = [
+            f.name for f in df.schema.fields
+            if f.name != column and isinstance(f.dataType, T.AtomicType)
+        ]
+    return df.orderBy(key, *tie)
 
 
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -79,6 +85,6 @@ def _skip(df: DataFrame, order: list[str], offset: int, shallow: int) -> tuple[i
     return skipped, start | equal
 
 
-def newest_first(df: DataFrame, time: str, tie: list[str]) -> DataFrame:
+def newest_first(df: DataFrame, time: str, tie: list[str] | None = None) -> DataFrame:
     """Newest rows first, rows without a time last."""
     return sort_nulls_last(df, time, "desc", tie)

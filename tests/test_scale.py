@@ -143,3 +143,9 @@ def test_text_order_pages(hot):
     ordered = [r["pos"] for r in hot.orderBy("txt", "pos").collect()]
     got = ordering.page(hot, 100, 30, ["txt", "pos"], shallow=50)
     assert [r["pos"] for r in got.collect()] == ordered[3000:3030]
+
+
+def test_sort_with_nulls(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "a"), (1, "c"), (2, "a")], "x int, y string")
+    assert rows(ordering.sort_nulls_last(df, "x")) == [(1, "c"), (2, "a"), (2, "b"), (None, "a")]
+    assert rows(ordering.sort_nulls_last(df, "x", "desc")) == [(2, "a"), (2, "b"), (1, "c"), (None, "a")]
