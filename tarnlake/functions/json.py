@@ -13,7 +13,19 @@ from tarnlake.functions.text import let, strip
 
 def strip_fences(c: Column) -> Column:
     """Text without Markdown code fences."""
-    return strip(F.regexp_replace(c, r"```(?:json)?", ""))
+    return strip(_replace_if(c, ("```",), r"```(?:json)?", ""))
+
+
+def _replace_if(c: Column, hints: tuple[str, ...], pattern: str, replacement: str) -> Column:
+    """Replace by a pattern in texts that contain one of the hints (any text without hints)."""
+    if not hints:
+        return F.regexp_replace(c, pattern, replacement)
+
+    def replaced(v: Column) -> Column:
+        possible = reduce(lambda a, b: a | b, [v.contains(h) for h in hints])
+        return F.when(possible, F.regexp_replace(v, pattern, replacement)).otherwise(v)
+
+    return let(c, replaced)
 
 
 def parse_response(c: Column, schema: str, required: list[str]) -> Column:
@@ -27,30 +39,31 @@ def parse_response(c: Column, schema: str, required: list[str]) -> Column:
     return let(F.from_json(strip_fences(c), schema, {"mode": "PERMISSIVE"}), checked)
 
 
-# Repair rules as (pattern, replacement), applied in this order to text that does not parse.
+# Repair rules as (texts of which a match contains one, pattern, replacement), applied in this
+# order to text that does not parse.
 REPAIR_RULES = [
     # a string that is still open at the end of its line
-    (r'(:[ \t]*"[^"\n]*)(\n)', r'$1"$2'),
+    (("\n",), r'(:[ \t]*"[^"\n]*)(\n)', r'$1"$2'),
     # bare keys
-    (r'([{,]\s*)([A-Za-z_]\w*)(\s*:)', r'$1"$2"$3'),
+    ((), r'([{,]\s*)([A-Za-z_]\w*)(\s*:)', r'$1"$2"$3'),
     # literals in other spellings
-    (r'(:\s*)(?:TRUE|True)\b', r'$1true'),
-    (r'(:\s*)(?:FALSE|False)\b', r'$1false'),
-    (r'(:\s*)(?:NULL|Null|None)\b', r'$1null'),
+    (("TRUE", "True"), r'(:\s*)(?:TRUE|True)\b', r'$1true'),
+    (("FALSE", "False"), r'(:\s*)(?:FALSE|False)\b', r'$1false'),
+    (("NULL", "Null", "None"), r'(:\s*)(?:NULL|Null|None)\b', r'$1null'),
     # 007 -> 7, .5 -> 0.5
-    (r'(:\s*)0+(?=\d)', r'$1'),
-    (r'(:\s*)\.(?=\d)', r'$10.'),
+    (("0",), r'(:\s*)0+(?=\d)', r'$1'),
+    ((".",), r'(:\s*)\.(?=\d)', r'$10.'),
     # bare words as values
-    (r'(:\s*)(?!(?:true|false|null)\b)([A-Za-z_][^",:{}\[\]\n]*?)(\s*[,}\]\n])', r'$1"$2"$3'),
+    ((), r'(:\s*)(?!(?:true|false|null)\b)([A-Za-z_][^",:{}\[\]\n]*?)(\s*[,}\]\n])', r'$1"$2"$3'),
     # a key without value, an empty text
-    (r'(:)(\s*)(?=[,}])', r'$1$2null'),
-    (r'(:\s*)""(?=\s*[,}\n])', r'$1null'),
+    ((), r'(:)(\s*)(?=[,}])', r'$1$2null'),
+    (('""',), r'(:\s*)""(?=\s*[,}\n])', r'$1null'),
     # commas missing between objects, arrays and properties
-    (r'\}(\s*)\{', r'},$1{'),
-    (r'\](\s*)\[', r'],$1['),
-    (r'(["\d\]}el])(\s*\n\s*)(?="[^"\n]*"\s*:)', r'$1,$2'),
+    (("}",), r'\}(\s*)\{', r'},$1{'),
+    (("]",), r'\](\s*)\[', r'],$1['),
+    (("\n",), r'(["\d\]}el])(\s*\n\s*)(?="[^"\n]*"\s*:)', r'$1,$2'),
     # commas before a closing bracket
-    (r',(\s*[}\]])', r'$1'),
+    ((",",), r',(\s*[}\]])', r'$1'),
 ]
 
 
@@ -60,8 +73,8 @@ def repair_json(c: Column) -> Column:
 
     def repaired(plain: Column) -> Column:
         fixed = plain
-        for pattern, replacement in REPAIR_RULES:
-            fixed = F.regexp_replace(fixed, pattern, replacement)
+        for rule in REPAIR_RULES:
+            fixed = _replace_if(fixed, *rule)
         # the rules run only for text that does not parse
         return F.coalesce(
             F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed))

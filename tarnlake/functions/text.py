@@ -14,9 +14,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+# The characters Python's strip() removes.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind (``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -27,7 +34,7 @@ def collapse_spaces(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True for text of white space only; a null is not blank."""
-    return F.coalesce(c.rlike(r"(?U)^\s*$"), F.lit(False))
+    return F.coalesce(strip(c) == "", F.lit(False))
 
 
 def snake(c: Column) -> Column:
