@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 
 
 def start_session(
@@ -39,18 +42,44 @@ def start_session(
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the folder all executors share (``spark.checkpoint.dir``).
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only where that is unset and driver and executors are one process (``local``, ``local[n]``) is
+    a temporary folder taken instead.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
         _local_root = _local_root or tempfile.mkdtemp(prefix="tarnlake-")
         root = _local_root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: what follows starts from files
+    that every executor can read, so a lost executor costs no earlier stage, and values that
+    another run of the plan could deal differently (row numbers, range numbers) are settled."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, for functions that run in Python."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tarnlake-"), "tarnlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 class Lake:
     """The Parquet tables of one folder, one attribute per table: ``Lake(spark, dir).orders``."""
 
