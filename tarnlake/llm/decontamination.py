@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.words import hashes_of, ngram_hashes, ready, table
+from tarnlake.llm.words import boxed, hashes_of, ngram_hashes, ready, table, unboxed
 from tarnlake.session import keep
 
 WINDOW = 10
@@ -206,7 +206,9 @@ def decontaminated(
     for part in range(parts):
         mine = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
         items = [(None, r[0].encode()) for r in mine.select("text").collect() if r[0]]
-        docs = docs.mapInArrow(_remove(spark.sparkContext.broadcast(items), window, remove), docs.schema)
+        rows = boxed(docs, "text")
+        rows = rows.mapInArrow(_remove(spark.sparkContext.broadcast(items), window, remove), rows.schema)
+        docs = unboxed(rows, docs, text="text")
         docs = keep(docs, "clean") if part + 1 < parts else docs
     return docs
 

@@ -26,7 +26,7 @@ from tarnlake.llm.words import ready, table
 from tarnlake.session import keep
 
 #: bytes of a block
-BLOCK = 2048
+BLOCK = 512
 #: what normalisation deletes
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: the partner of a name without one

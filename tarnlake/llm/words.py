@@ -9,7 +9,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tarnlake.names import quoted
 from tarnlake.session import ship_package
 
 #: words remembered per worker; the memory is emptied when it is full
@@ -76,5 +79,26 @@ def texts_of(batch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def with_fields(df: DataFrame, **types: str) -> T.StructType:
+    """The schema with more fields at its end."""
+    schema = T.StructType([*df.schema.fields])
+    for name, kind in types.items():
+        schema.add(name, kind)
+    return schema
+
+
+def boxed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``_row``, and the named columns beside it, so that a Python stage passes
+    columns of any name through."""
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
+    return docs.select(whole, *[F.col(quoted(n)) for n in names])
+
+
+def unboxed(docs: DataFrame, like: DataFrame, **new: str) -> DataFrame:
+    """The columns of ``like`` out of ``_row``, those in ``new`` (name → column) replaced or added."""
+    old = [F.col(new[c]).alias(c) if c in new else F.col(f"_row.{quoted(c)}").alias(c) for c in like.columns]
+    return docs.select(*old, *[F.col(v).alias(c) for c, v in new.items() if c not in like.columns])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
