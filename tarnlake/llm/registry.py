@@ -12,6 +12,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: module → name of its query; each module has ``query(spark, folder)`` and may have ``SQL``
 OPERATORS = {
     "sharding": "op1_minimax_shards",
+    "tokens": "op2_simple8b_tokens",
+    "scoring": "op4_bloom_lm",
+    "decontamination": "op6_decontaminate",
+    "language": "op7_language_id",
     "urls": "op8_url_rules",
     "mixing": "op9_pareto_mix",
     "exact": "op10_block_naming",
