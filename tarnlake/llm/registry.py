@@ -14,6 +14,7 @@ OPERATORS = {
     "sharding": "op1_minimax_shards",
     "tokens": "op2_simple8b_tokens",
     "scoring": "op4_bloom_lm",
+    "minhash": "op5_minmax_dedup",
     "decontamination": "op6_decontaminate",
     "language": "op7_language_id",
     "urls": "op8_url_rules",
