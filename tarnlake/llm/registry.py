@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 OPERATORS = {
     "sharding": "op1_minimax_shards",
     "tokens": "op2_simple8b_tokens",
+    "extraction": "op3_main_text",
     "scoring": "op4_bloom_lm",
     "minhash": "op5_minmax_dedup",
     "decontamination": "op6_decontaminate",
