@@ -71,12 +71,13 @@ TEXT = _split("article main")
 
 
 class Node:
-    __slots__ = ("chars", "children", "dropped", "inner", "link", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "children", "dropped", "inner", "link", "link_chars", "link_tags", "own", "parent", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = False  # is it dropped for what it says of itself?
         self.dropped = parent is not None and parent.dropped
         self.link = tag == "a" or (parent is not None and parent.link)
         self.inner = tag in TEXT or (parent is not None and parent.inner)
@@ -170,7 +171,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             if node.tag == "a":
                 closed(node)
         node = Node(tag, at)
-        node.dropped = node.dropped or _unwanted(tag, attrs, at.inner)
+        node.own = _unwanted(tag, attrs, at.inner)
+        node.dropped = node.dropped or node.own
         if tag in VOID or attrs.endswith("/"):
             if tag in VOID or tag in ("svg", "path"):
                 continue
@@ -206,7 +208,7 @@ def main_text(page: str) -> str:
         todo.extend(reversed(node.children))
     # a form or the like around the text itself is no part to drop
     for node in order:
-        if node.tag in TEXT and node.dropped and node.parent is not None and not _own(node):
+        if node.tag in TEXT and node.dropped and not node.own:
             up = node
             while up is not None and up.tag not in ("nav", "aside", "footer", "dialog", "template"):
                 up = up.parent
@@ -283,16 +285,11 @@ def _article(node: Node) -> Node:
     return node if up is None or up.dropped else up
 
 
-def _own(node: Node) -> bool:
-    """Dropped for what it says of itself?"""
-    return node.dropped and not (node.parent is not None and node.parent.dropped)
-
-
 def _restore(node: Node) -> None:
     todo = [node]
     while todo:
         one = todo.pop()
-        if one.tag not in DROPPED:
+        if not one.own:
             one.dropped = False
             todo.extend(one.children)
     up = node.parent

@@ -148,9 +148,10 @@ def cut_points(starts: DataFrame, end: int, shards: int) -> tuple[int, list[int]
         known.open.clear()
         for side in (0, 1):  # the walks at both ends of the bounds, and nothing else
             known.fits(capacity[side], shards, 0), known.fits(capacity[side], shards, 1)
-        cuts = known.cuts(capacity, shards) if capacity[0] == capacity[1] else []
-        if cuts and all(a == b for a, b in cuts):
-            return capacity[0], [a for a, _ in cuts]
+        if capacity[0] == capacity[1]:
+            cuts = known.cuts(capacity, shards)
+            if all(a == b for a, b in cuts):
+                return capacity[0], [a for a, _ in cuts]
         spans = [known.buckets[i] for i in known.open]
         cells: dict[int, set[int]] = {}
         for first, _, _, shift in spans:
