@@ -7,7 +7,7 @@ A missing n-gram is taken for a present one with the chance of a false hit, a le
 
 Counting, quantising and setting bits are distributed. The filter consists of blocks of 2^BLOCK_BITS bits
 and all bits of an n-gram lie in one block: counts are shuffled by block, a task owns whole blocks and
-writes each once. Its size follows the number of different n-grams up to ``limit_bits``; only this
+writes each once. Its size follows the number of words and tokens up to ``limit_bits``; only this
 bounded filter and the bounded table of the most frequent words are broadcast.
 
 Score of a text: log10 of P(w | v) = (c(v w) + M P(w)) / (c(v) + M) over its tokens, with
@@ -36,7 +36,7 @@ END = b" "
 SCALE = 2.0
 #: probes for each (n-gram, level)
 PROBES = 4
-#: bits of the filter for each different n-gram, before rounding up to a power of two
+#: bits of the filter for each word and token, which bound the different words and pairs
 BITS_PER_NGRAM = 8
 #: largest filter: 2^31 bits, 256 MB
 LIMIT_BITS = 31
@@ -68,37 +68,31 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[starts], np.add.reduceat(counts, starts)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, hash, n) of the words and pairs of the texts of a task, HELD at a time."""
-    schema = pa.schema([("pair", pa.bool_()), ("hash", pa.int64()), ("n", pa.int64())])
-    held: tuple[list, list] = ([], [])
-    size = 0
-
-    def flush():
-        for pair, parts in enumerate(held):
-            if not parts:
-                continue
-            hashes = np.concatenate(parts)
-            hashes, counts = _summed(hashes, np.ones(len(hashes), np.int64))
-            for at in range(0, len(hashes), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(hashes[part]), bool(pair))), pa.array(hashes[part].view(np.int64)), pa.array(counts[part])],
-                    schema=schema,
-                )
-            parts.clear()
-
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for k in range(batch.num_rows):
-            tokens = tokens_of(texts[k].as_py() or b"")
-            held[0].append(tokens)
-            held[1].append(pairs_of(tokens))
-            size += len(tokens)
-            if size >= HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
+def _count(hashes_in):
+    """(hash, n) of what ``hashes_in`` finds in the texts of a task, HELD tokens at a time."""
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate(held)
+        hashes, counts = _summed(hashes, np.ones(len(hashes), np.int64))
+        for at in range(0, len(hashes), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for k in range(batch.num_rows):
+                held.append(hashes_in(tokens_of(texts[k].as_py() or b"")))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield from summed(held)
+                    held, size = [], 0
+        if held:
+            yield from summed(held)
+
+    return run
 
 
 def level_of(count: np.ndarray | int) -> np.ndarray:
@@ -122,18 +116,19 @@ def probe_bits(hashes: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarr
 class Filter:
     """The log-frequency Bloom filter."""
 
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.bits = bits
-        whole = np.zeros((1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
-        for block, content in blocks.items():
-            whole[block] = np.frombuffer(content, np.uint8)
+    def __init__(self, blocks: int, contents: pa.Table):
+        self.blocks = blocks
+        whole = np.zeros((blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
+        for batch in contents.to_batches():
+            for block, content in zip(batch.column("block").to_pylist(), batch.column("content"), strict=True):
+                whole[block] = np.frombuffer(content.as_buffer(), np.uint8)
         self.bytes = whole.ravel()
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 for one that is not there."""
         levels = np.zeros(len(hashes), np.int64)
         asked, places = hashes, np.arange(len(hashes))
-        first = block_of(hashes, self.bits) << np.uint64(BLOCK_BITS)
+        first = block_of(hashes, self.blocks) << np.uint64(BLOCK_BITS)
         level = 0
         while len(places):
             level += 1
@@ -149,14 +144,14 @@ class Filter:
         return count_at(self.levels(hashes))
 
 
-def block_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    shift = bits - BLOCK_BITS
-    return hashes >> np.uint64(64 - shift) if shift else np.zeros(len(hashes), np.uint64)
+def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks in the order of the (unsigned) hashes."""
+    return (hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
 
 
-def _fill(bits: int):
-    """Sorted (hash, n) rows of whole blocks → (block, content). A hash that earlier tasks counted apart
-    is summed here, so no other aggregate is needed."""
+def _fill(total: int):
+    """Sorted (hash, n) rows of whole blocks → (block, content). A hash that several tasks counted is
+    summed here, so no other aggregate is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, content = -1, None
@@ -180,7 +175,7 @@ def _fill(bits: int):
             yield rest_h, rest_n
 
         for h, n in parts():
-            blocks = block_of(h, bits).astype(np.int64)
+            blocks = block_of(h, total).astype(np.int64)
             levels = level_of(n)
             for b in np.unique(blocks).tolist():
                 if b != block:
@@ -207,18 +202,22 @@ class Model:
         self.tokens, self.different = tokens, different
         self.all = tokens + 0.5 * (different + 1)
 
-    def frequent(self, tokens: np.ndarray) -> np.ndarray:
-        """Exact counts of the tokens among the frequent words, 0 for all others."""
+    def frequent(self, hashes: np.ndarray) -> np.ndarray:
+        """Exact counts of the words among the frequent ones, 0 for all others."""
         if not len(self.hashes):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, self.exact[at], 0)
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.exact[at], 0)
 
-    def scores(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of texts whose tokens follow each other, each from its place in ``starts``.
-        A hash that occurs more than once is asked for once."""
+    def look(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact counts of frequent words, and the filter's counts of all. A hash that occurs more than
+        once is asked for once."""
         different, at = np.unique(tokens, return_inverse=True)
-        words = self.filter.counts(different)[at]
+        return self.frequent(different)[at], self.filter.counts(different)[at]
+
+    def scores(self, tokens: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts whose tokens, with the filter's counts ``words``, follow each other,
+        each from its place in ``starts``."""
         end = hashes_of([END])
         last, before = np.roll(tokens, 1), np.roll(words, 1)
         last[starts], before[starts] = end, self.filter.counts(end)
@@ -229,30 +228,31 @@ class Model:
 
 
 def train(docs: DataFrame, limit_bits: int = LIMIT_BITS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of all texts (null: empty), and the exact counts (hash, n) of all words."""
+    """The model of all texts (null: empty), and the exact counts (hash, n) of all words.
+
+    Texts are read twice: words first, whose totals size the filter, then pairs, which go straight into
+    the shuffle by block.
+    """
     spark = docs.sparkSession
     ready(spark)
-    counted = keep(docs.select("text").mapInArrow(_count, "pair boolean, hash long, n long"), "ngrams")
-    words = keep(counted.filter("NOT pair").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    texts = docs.select("text")
+    words = texts.mapInArrow(_count(lambda tokens: tokens), "hash long, n long")
+    words = keep(words.groupBy("hash").agg(F.sum("n").alias("n")), "words")
     facts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     different, tokens = int(facts[0]), int(facts[1])
-    # how many different pairs there are sets the size; an estimate within 5 % will do for that
-    pairs = counted.filter("pair").agg(F.approx_count_distinct("hash")).first()[0]
-    wanted = max(1, BITS_PER_NGRAM * (different + pairs))
-    bits = min(limit_bits, max(BLOCK_BITS, (wanted - 1).bit_length()))
+    # there are no more different pairs than tokens
+    wanted = max(1, BITS_PER_NGRAM * (different + tokens))
+    total = -(-min(wanted, 1 << limit_bits) // (1 << BLOCK_BITS))
 
-    high = F.shiftrightunsigned("hash", 64 - (bits - BLOCK_BITS)) if bits > BLOCK_BITS else F.lit(0).cast("long")
+    pairs = texts.mapInArrow(_count(pairs_of), "hash long, n long")
+    block = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(total).cast("long"), 32)
     blocks = (
-        counted.select("hash", "n")
-        .repartition(high)
-        .withColumn("_sign", F.col("hash") < 0)  # hashes are unsigned
-        .sortWithinPartitions("_sign", "hash")
-        .select("hash", "n")
-        .mapInArrow(_fill(bits), "block long, content binary")
+        pairs.unionByName(words)
+        .repartition(block)
+        .sortWithinPartitions(F.col("hash") < 0, "hash")  # hashes are unsigned
+        .mapInArrow(_fill(total), "block long, content binary")
     )
-    content = blocks.toArrow()  # bounded by 2^limit_bits bits
-    found = dict(zip(content.column("block").to_pylist(), content.column("content").to_pylist(), strict=True))
-    counts = Filter(bits, found)
+    counts = Filter(total, blocks.toArrow())  # bounded by 2^limit_bits bits
 
     # the frequent words: all above the count that leaves no more than wanted
     spread = words.groupBy(F.floor(F.log2("n")).alias("k"), F.when(F.col("n") < 4096, F.col("n")).alias("n")).count()
@@ -283,18 +283,21 @@ def _score(shared):
         tokens = np.concatenate([h[3] for h in held])
         many = np.array([len(h[3]) for h in held])
         starts = np.cumsum(many) - many
-        exact = model.frequent(tokens)
+        exact, words = model.look(tokens)
         known = exact > 0
         logs = np.where(known, np.log10((exact + 0.5) / model.all), 0.0)
-        rare = []
-        for start, n in zip(starts.tolist(), many.tolist(), strict=True):
-            mine = slice(start, start + n)
-            hashes, times = np.unique(tokens[mine][~known[mine]], return_counts=True)
-            pairs = zip(hashes.view(np.int64).tolist(), times.tolist(), strict=True)
-            rare.append([{"hash": h, "times": t} for h, t in pairs])
-        found = [[h[i] for h in held] for i in range(3)]
-        found += [many, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts), model.scores(tokens, starts), rare]
-        return pa.RecordBatch.from_arrays([pa.array(f, c.type) for f, c in zip(found, schema, strict=True)], schema=schema)
+        # the other words of each text, with the times they occur
+        owner, rare = np.repeat(np.arange(len(held)), many)[~known], tokens[~known]
+        order = np.lexsort((rare, owner))
+        owner, rare = owner[order], rare[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1])])[: len(rare)])
+        times = np.diff(first, append=len(rare))
+        offsets = np.searchsorted(owner[first], np.arange(len(held) + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times)], names=["hash", "times"])
+        found = [pa.array([h[i] for h in held], schema.field(i).type) for i in range(3)]
+        numbers = many, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts), model.scores(tokens, words, starts)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([*found, *map(pa.array, numbers), lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
