@@ -16,6 +16,7 @@ so a reader decodes a block at once with numpy, or one document alone.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,13 @@ END_ID = 1
 #: words after which a block ends; a longer document is a block of its own
 BLOCK_WORDS = 1 << 16
 #: encoded pieces remembered per worker, in two generations
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 17
 
 _encoders: dict[int, Encoder] = {}
 
 
 class Encoder(dict):
-    """White-space separated piece (bytes) → its ids (little-endian 32 bit), remembered.
+    """White-space separated piece (bytes) → its ids (32 bit, little-endian as on all Spark hosts), remembered.
 
     The tokenizer never joins characters across ASCII white space, so a text's ids are those of its pieces
     in a row. Of a piece not seen before, closing punctuation is encoded apart from a word of letters, which
@@ -63,7 +64,7 @@ class Encoder(dict):
 
     def slow(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
         found = self.old.get(piece)
@@ -76,6 +77,11 @@ class Encoder(dict):
         return found
 
     def piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # ASCII letters: nothing to normalise but their case, nothing to split
+            low = piece.lower()
+            return self[low] if low != piece else self.word(piece.decode())
+        if piece[:-1].isalpha() and piece[-1:] in _MARKS:
+            return self[piece[:-1].lower()] + self[piece[-1:]]
         if b"'" in piece or b"<|" in piece:
             return self.slow(piece)
         m = _WORD_AND_MARKS.fullmatch(piece)
@@ -84,8 +90,11 @@ class Encoder(dict):
             return self.slow(piece)
         if m[2]:
             return self[m[1]] + self[m[2]]
-        found = self.tokenizer.model.tokenize("".join(map(self.spelled.__getitem__, word)))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        return self.word("".join(map(self.spelled.__getitem__, word)))
+
+    def word(self, spelled: str) -> bytes:
+        """A word as the splitter hands it to the model."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def text(self, text: bytes) -> bytes:
         if not self.simple or any(s in text for s in self.special):
@@ -93,6 +102,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _WORD_AND_MARKS = re.compile(rb"([^!-@\[-`{-~]+)([!-/:-@\[-`{-~]*)", re.S)
 
 
