@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.words import boxed, hashes_of, ngram_hashes, ready, table, unboxed
+from tarnlake.llm.words import boxed, field_of, hashes_of, ngram_hashes, ready, table, unboxed
 from tarnlake.session import keep
 
 WINDOW = 10
@@ -206,9 +206,9 @@ def decontaminated(
     for part in range(parts):
         mine = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
         items = [(None, r[0].encode()) for r in mine.select("text").collect() if r[0]]
-        rows = boxed(docs, "text")
+        rows = boxed(docs)
         rows = rows.mapInArrow(_remove(spark.sparkContext.broadcast(items), window, remove), rows.schema)
-        docs = unboxed(rows, docs, text="text")
+        docs = unboxed(rows, docs)
         docs = keep(docs, "clean") if part + 1 < parts else docs
     return docs
 
@@ -217,17 +217,18 @@ def _remove(shared, window: int, remove: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, window)
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
-            spans = [windows.find(benchmark_words(t))[0] for t in texts]
+            texts = field_of(batch, "text").cast(pa.binary())
+            spans = [windows.find(benchmark_words(t.as_py() or b""))[0] for t in texts]
             if remove == "documents":
                 yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
                 continue
-            nulls = batch.column(place).is_null().to_pylist()
-            clean = [None if n else without_spans(t, s).decode() for n, t, s in zip(nulls, texts, spans, strict=True)]
-            columns = [*batch.columns]
-            columns[place] = pa.array(clean, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            clean = [
+                without_spans(t.as_py(), s).decode() if t.is_valid else None for t, s in zip(texts, spans, strict=True)
+            ]
+            rows = batch.column("_row")
+            fields = [pa.array(clean, f.type) if f.name == "text" else rows.field(i) for i, f in enumerate(rows.type)]
+            whole = pa.StructArray.from_arrays(fields, fields=list(rows.type))
+            yield pa.RecordBatch.from_arrays([whole], schema=batch.schema)
 
     return run
 

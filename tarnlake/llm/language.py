@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.words import boxed, ready, table, unboxed, with_fields
+from tarnlake.llm.words import boxed, field_of, ready, table, unboxed, with_fields
 
 ORDERS = (2, 3, 4)
 #: buckets times languages is at most 2^CELL_BITS (float64: 32 MB), buckets at most 2^BUCKET_BITS
@@ -123,7 +123,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("text").to_pylist()]
+            found = [model.predict(t) for t in field_of(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*batch.schema.names, "_lang", "_score"],
@@ -138,14 +138,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 for a null text and one without a letter, and for all without a trained language.
     Columns named like the new ones are replaced. Texts stay where they are read.
     """
+    docs = docs.drop("lang_pred", "score")
+    return unboxed(_identified(docs, model), docs, lang_pred="_lang", score="_score")
+
+
+def _identified(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
-    docs = docs.drop("lang_pred", "score")
-    rows = boxed(docs, "text")
-    found = rows.mapInArrow(
-        _predict(spark.sparkContext.broadcast(model)), with_fields(rows, _lang="string", _score="double")
-    )
-    return unboxed(found, docs, lang_pred="_lang", score="_score")
+    rows = boxed(docs)
+    shared = spark.sparkContext.broadcast(model)
+    return rows.mapInArrow(_predict(shared), with_fields(rows, _lang="string", _score="double"))
 
 
 def held_out(doc_id: Column, of: int, remainder: int) -> Column:
@@ -155,8 +157,7 @@ def held_out(doc_id: Column, of: int, remainder: int) -> Column:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents in a language that the model knows, with probability ``least`` or more."""
-    rows = boxed(docs, "text")
-    found = identify(rows, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = _identified(docs, model).filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
     return unboxed(found, docs)
 
 

@@ -16,14 +16,14 @@ from tarnlake.names import quoted
 from tarnlake.session import ship_package
 
 #: words remembered per worker; the memory is emptied when it is full
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
-def ready(spark: SparkSession, batch_rows: int = 1000, batch_bytes: int = 16 << 20) -> None:
+def ready(spark: SparkSession, batch_rows: int = 256, batch_bytes: int = 4 << 20) -> None:
     """Give the workers the package and bound the batches they get, by rows and by bytes."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
@@ -72,13 +72,6 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(found + np.uint64(n))
 
 
-def texts_of(batch, name: str = "text") -> list[bytes]:
-    """The texts of an Arrow batch as UTF-8, null as no text."""
-    import pyarrow as pa
-
-    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
-
-
 def with_fields(df: DataFrame, **types: str) -> T.StructType:
     """The schema with more fields at its end."""
     schema = T.StructType([*df.schema.fields])
@@ -87,11 +80,15 @@ def with_fields(df: DataFrame, **types: str) -> T.StructType:
     return schema
 
 
-def boxed(docs: DataFrame, *names: str) -> DataFrame:
-    """All columns as one struct ``_row``, and the named columns beside it, so that a Python stage passes
-    columns of any name through."""
-    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
-    return docs.select(whole, *[F.col(quoted(n)) for n in names])
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``_row``, so that a Python stage passes columns of any name through."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"))
+
+
+def field_of(batch, name: str):
+    """The values of one column of boxed rows."""
+    rows = batch.column("_row")
+    return rows.field(rows.type.get_field_index(name))
 
 
 def unboxed(docs: DataFrame, like: DataFrame, **new: str) -> DataFrame:
