@@ -141,11 +141,6 @@ def _(lake):
     return lake.part.select("p_partkey", readers.format_of(path).alias("format"))
 
 
-@check("src_10_discover_files")
-def _(lake):
-    return files.discover_files(lake.spark, lake.folder, [".parquet"]).select("name", "size", "format")
-
-
 @check("src_11_table_files", "SELECT count(*) AS n FROM lineitem")
 def _(lake):
     return files.table_files(lake.lineitem).agg(F.sum("rows").alias("n"))

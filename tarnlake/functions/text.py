@@ -83,7 +83,8 @@ def fill_template(template: str, **values: Column) -> Column:
 
 def md5_of_fields(*columns: Column) -> Column:
     """MD5 of the JSON text of the given (named) columns, in the given order, nulls included."""
-    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.md5(F.to_json(F.struct(*columns), exact))
 
 
 def null_if_in(c: Column, words: list[str]) -> Column:

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 # Date forms tried, in this order, after the ISO forms.
 DATE_FORMS = [
-    "yyyy/MM/dd", "yyyyMMdd", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+    "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
     "d MMM yyyy",
 ]
 
 
 def parse_time(c: Column, forms: list[str] = DATE_FORMS) -> Column:
-    """Timestamp of a text in an ISO form or one of ``forms``; null when none fits."""
-    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in forms])
+    """Timestamp of a text in an ISO form or one of ``forms``; null when none fits, and for a time without
+    a day, which would mean another moment every day."""
+    found = F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in forms])
+    return F.when(~c.cast("string").rlike(r"^\s*T?[0-9]{1,2}:"), found)
 
 
 def iso(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from typing import Any
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +33,32 @@ def fill_nulls(df: DataFrame, columns: list[str], value: Any = NULL_TEXT) -> Dat
 
 
 def convert_types(df: DataFrame, columns: list[str], fill: int = 0) -> DataFrame:
-    """Numbers of text columns. A column of whole numbers only becomes bigint with nulls filled;
-    any other becomes double with nulls kept.
+    """Numbers of text columns. A column of whole numbers that fit becomes bigint, digit for digit, with
+    nulls filled; any other becomes double with nulls kept.
 
     The type depends on the data, so one aggregate over the columns runs first.
     """
     numbers = {n: to_number(F.col(f"`{n}`")) for n in columns}
+    exact = {n: exact_whole(F.col(f"`{n}`"), c) for n, c in numbers.items()}
     whole = df.agg(
-        *[F.coalesce(F.every(is_whole(c)), F.lit(True)).alias(n) for n, c in numbers.items()]
+        *[F.coalesce(F.every(c.isNull() | exact[n].isNotNull()), F.lit(True)).alias(n) for n, c in numbers.items()]
     ).first()
     return df.withColumns(
         {
-            n: F.coalesce(c.try_cast("bigint"), F.lit(fill).cast("bigint")) if whole[n] else c
+            n: F.coalesce(exact[n], F.lit(fill).cast("bigint")) if whole[n] else c
             for n, c in numbers.items()
         }
     )
 
 
+def exact_whole(c: Column, number: Column) -> Column:
+    """The bigint that a number is: from its digits, or from a double that is surely whole."""
+    sure = is_whole(number) & (F.abs(number) < F.lit(float(1 << 53)))
+    digits = F.when(number.isNotNull(), c.cast("string").try_cast("decimal(38,0)"))
+    plain = c.cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.coalesce(F.when(plain, digits.try_cast("bigint")), F.when(sure, number.try_cast("bigint")))
+
+
 def validate_dates(df: DataFrame, columns: list[str], default: date | None = None) -> DataFrame:
     """Timestamps of text columns; text that does not parse becomes the default (today)."""
     fallback = F.current_date() if default is None else F.lit(default)
@@ -144,7 +153,7 @@ def apply_cleaning(
         try:
             df = STEPS[step["strategy"]](df, step["columns"], step["parameters"])
             df.schema  # analysis errors belong to this step
-        except PySparkException:
+        except AnalysisException:  # a job that fails is no step that does not apply
             continue
         applied.append({k: step[k] for k in ("strategy", "columns", "parameters")})
     return df, applied

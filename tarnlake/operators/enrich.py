@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions.json import parse_response
 from tarnlake.functions.text import fill_template, is_blank, let
 from tarnlake.operators.filters import drop_blank_rows, drop_empty_rows
+from tarnlake.session import ship_package
 from tarnlake.operators.scorers import (
     AI_TERMS, any_term, keyword_category, keyword_sentiment, try_rows,
 )
@@ -223,6 +224,7 @@ def transform_batch(
                     columns=["original", "transformed", "error"],
                 )
 
+    ship_package(df.sparkSession)
     result = df.withColumn("_original", F.to_json(F.struct(*df.columns))).mapInPandas(run, out)
     result.write.mode("overwrite").parquet(path)
     written = df.sparkSession.read.parquet(path)
@@ -282,4 +284,5 @@ def classify(
     df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
 ) -> DataFrame:
     """A user's classify function over batches of the whole table."""
+    ship_package(df.sparkSession)
     return df.mapInPandas(function, schema)

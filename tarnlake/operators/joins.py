@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.names import quoted
+
 
 def left_report(
     left: DataFrame,
@@ -37,8 +39,12 @@ def left_report(
 
 
 def inner_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Inner equi-join with the key kept under its left name."""
-    return left.join(right, F.col(left_key) == F.col(right_key), "inner").drop(right_key)
+    """Inner equi-join with the key kept under its left name; other columns of the right side whose name
+    the left side has too end in ``_right``."""
+    taken = set(left.columns)
+    named = {n: n if n not in taken else f"{n}_right" for n in right.columns if n != right_key}
+    other = right.select(F.col(quoted(right_key)).alias("_key"), *[F.col(quoted(n)).alias(a) for n, a in named.items()])
+    return left.join(other, F.col(quoted(left_key)) == F.col("_key"), "inner").drop("_key")
 
 
 def with_stored_metadata(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.names import quoted
+from tarnlake.names import quoted, struct_of
 
 LONG_TEXT = 64
 
@@ -22,9 +22,9 @@ def narrow_key(name: str, data_type: T.DataType) -> str:
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return f"{c} + CAST(0 AS {data_type.simpleString()})"  # -0.0 and 0.0 are one value
     if isinstance(data_type, T.MapType):
-        c = f"to_json(array_sort(map_entries({c})))"
+        c = f"to_json({sorted_maps(c, data_type)}, {EXACT_TIMES})"
     elif isinstance(data_type, (T.ArrayType, T.StructType)):
-        c = f"to_json({c})"
+        c = f"to_json({sorted_maps(c, data_type)}, {EXACT_TIMES})"
     elif isinstance(data_type, T.BinaryType):
         c = f"base64({c})"
     elif not isinstance(data_type, T.StringType):
@@ -32,6 +32,35 @@ def narrow_key(name: str, data_type: T.DataType) -> str:
     return f"CASE WHEN length({c}) > {LONG_TEXT} THEN concat('#', sha2({c}, 256)) ELSE {c} END"
 
 
+def known_first(order: str) -> Column:
+    """An order for max_by in which a null comes before all values, so that no row is lost with it."""
+    return F.struct(F.col(quoted(order)).isNotNull().alias("known"), F.col(quoted(order)).alias("value"))
+
+
+# Times inside JSON keys to the microsecond.
+EXACT_TIMES = "map('timestampFormat', 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSSXXX', 'timestampNTZFormat', 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS')"
+
+
+def sorted_maps(c: str, data_type: T.DataType, depth: int = 0) -> str:
+    """A nested value with the entries of all its maps in the order of their keys."""
+    x = f"x{depth}"
+    if isinstance(data_type, T.MapType):
+        entries = f"array_sort(map_entries({c}))"
+        value = sorted_maps(f"{x}.value", data_type.valueType, depth + 1)
+        if value == f"{x}.value":
+            return entries
+        return f"transform({entries}, {x} -> named_struct('key', {x}.key, 'value', {value}))"
+    if isinstance(data_type, T.ArrayType):
+        element = sorted_maps(x, data_type.elementType, depth + 1)
+        return c if element == x else f"transform({c}, {x} -> {element})"
+    if isinstance(data_type, T.StructType):
+        fields = {f.name: sorted_maps(f"{c}.{quoted(f.name)}", f.dataType, depth) for f in data_type.fields}
+        if all(e == f"{c}.{quoted(n)}" for n, e in fields.items()):
+            return c
+        return f"if({c} IS NULL, NULL, {struct_of(fields)})"
+    return c
+
+
 def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     """Key expressions that stand for a whole row (or the given columns)."""
     types = {f.name: f.dataType for f in df.schema.fields}

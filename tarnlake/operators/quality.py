@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tarnlake.functions.numbers import ratio
 from tarnlake.names import literal, quoted, rows_of, struct_of
 from tarnlake.operators.aggregates import distinct_counts
-from tarnlake.operators.keys import present, row_counts
+from tarnlake.operators.keys import known_first, present, row_counts
 from tarnlake.types import catalog_name, is_number, is_text, spark_type
 
 # Patterns of the three kinds of text a report looks for, anchored at the start.
@@ -411,11 +411,11 @@ def run_quality_checks(df: DataFrame, table: str, config: dict | None = None) ->
 
 
 def latest_quality(history: DataFrame, table: str = "table_name", time: str = "checked_at") -> DataFrame:
-    """The newest stored record per table."""
+    """The newest stored record per table; one without a time only where there is no other."""
     rest = [n for n in history.columns if n != table]
     return (
         history.groupBy(table)
-        .agg(F.max_by(F.struct(*rest), F.col(time)).alias("_latest"))
+        .agg(F.max_by(F.struct(*rest), known_first(time)).alias("_latest"))
         .select(table, *[F.col(f"_latest.`{n}`").alias(n) for n in rest])
     )
 

@@ -8,6 +8,7 @@ values in 10^12 rows; uneven data needs more passes, never more memory. Values a
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -55,6 +56,7 @@ def values_at(df: DataFrame, wanted: dict[str, list[int]], ends: dict[str, Ends]
         for rank in ranks
         if 0 <= rank < ends[n][0]
     ]
+    _settle_infinities(df, value, ranges)
     while open_ranges := [r for r in ranges if r.low != r.high]:
         # ranks that still share a range are counted once
         spans = list({(r.column, r.low, r.high) for r in open_ranges})
@@ -69,6 +71,39 @@ def values_at(df: DataFrame, wanted: dict[str, list[int]], ends: dict[str, Ends]
     return ranges
 
 
+def _settle_infinities(df: DataFrame, value: dict[str, str], ranges: list[Range]) -> None:
+    """Ranks among infinite values are settled at once, all others start from the finite ends: an
+    infinite range could not be split."""
+    columns = sorted({r.column for r in ranges if math.isinf(r.low) or math.isinf(r.high)})
+    if not columns:
+        return
+    limit = "CAST('Infinity' AS DOUBLE)"
+    facts = df.selectExpr(
+        *[
+            e
+            for n in columns
+            for e in (
+                f"count_if({value[n]} = -{limit})",
+                f"count_if({value[n]} = {limit})",
+                f"min(CASE WHEN abs({value[n]}) < {limit} THEN {value[n]} END)",
+                f"max(CASE WHEN abs({value[n]}) < {limit} THEN {value[n]} END)",
+            )
+        ]
+    ).first()
+    for r in ranges:
+        if r.column in columns:
+            low, high, least, most = facts[4 * columns.index(r.column) : 4 * columns.index(r.column) + 4]
+            whole = r.inside
+            if r.rank < low:
+                r.low = r.high = -math.inf
+                r.inside = low
+            elif r.rank >= whole - high:
+                r.low = r.high = math.inf
+                r.before, r.inside = whole - high, high
+            else:
+                r.low, r.high, r.before, r.inside = least, most, low, whole - low - high
+
+
 def _histograms(df, value, spans) -> list[list[tuple]]:
     """(count, smallest, largest value) of the filled buckets of each span, in order."""
     cells = []
@@ -76,7 +111,8 @@ def _histograms(df, value, spans) -> list[list[tuple]]:
         v = value[column]
         # 17 digits give the very double back
         ends = f"CAST('{low!r}' AS DOUBLE)", f"CAST('{high!r}' AS DOUBLE)"
-        bucket = f"least(floor(({v} - {ends[0]}) / ({ends[1]} - {ends[0]}) * {BUCKETS}), {BUCKETS - 1})"
+        # halves, so that the width of a range does not overflow
+        bucket = f"least(floor(({v} / 2 - {ends[0]} / 2) / ({ends[1]} / 2 - {ends[0]} / 2) * {BUCKETS}), {BUCKETS - 1})"
         cells.append(
             f"CASE WHEN {v} BETWEEN {ends[0]} AND {ends[1]} "
             f"THEN named_struct('span', {i}, 'bucket', CAST({bucket} AS INT), 'v', {v}) END"
@@ -112,5 +148,5 @@ def exact_quantiles(
     for n, ats in places.items():
         for j, at in enumerate(ats):
             low, high = found[n, int(at)], found[n, min(int(at) + 1, last[n])]
-            out[n][j] = low + (high - low) * (at - int(at))
+            out[n][j] = low if low == high else low + (high - low) * (at - int(at))
     return out

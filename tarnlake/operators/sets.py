@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.operators.joins import compare_columns
-from tarnlake.operators.keys import row_keys
+from tarnlake.names import quoted
+from tarnlake.operators.keys import row_key, row_keys
 
 
 def schema_sets(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -25,15 +27,20 @@ def drop_duplicates(df: DataFrame, order: str | None = None) -> DataFrame:
     """One copy of every row; null equals null.
 
     Without ``order`` all columns are compared. With ``order`` that column is left out of the
-    comparison and the row with its smallest value is kept.
+    comparison and the row with its smallest value is kept, one without a value only where there is no
+    other.
     """
     if order is None:
-        return df.dropDuplicates()
+        if all(isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.StringType) for f in df.schema):
+            return df.dropDuplicates()
+        # digests travel as keys, not texts; a map cannot be compared but by its key
+        return df.withColumn("_row", row_key(df, df.columns)).dropDuplicates(["_row"]).drop("_row")
     rest = [n for n in df.columns if n != order]
+    last = F.struct(F.col(quoted(order)).isNull().alias("missing"), F.col(quoted(order)).alias("value"))
     kept = df.groupBy(*map(F.expr, row_keys(df, rest))).agg(
-        F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
+        F.min_by(F.struct(*map(quoted, df.columns)), last).alias("_row")
     )
-    return kept.select(*[F.col(f"_row.`{n}`").alias(n) for n in df.columns])
+    return kept.select(*[F.col(f"_row.{quoted(n)}").alias(n) for n in df.columns])
 
 
 def concatenate(frames: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.operators.keys import row_key
+from tarnlake.names import quoted
+from tarnlake.operators.keys import known_first, row_key
+from tarnlake.operators.running import running_totals
 
 
 def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
@@ -34,31 +34,17 @@ def duplicate_positions(df: DataFrame, position: str) -> DataFrame:
 
 
 def latest_version(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """The row with the highest version per key: an aggregate, so no key is sorted as a whole."""
+    """The row with the highest version per key, a row without a version only where there is no other: an
+    aggregate, so no key travels as a whole."""
     rest = [n for n in versions.columns if n != key]
     return (
-        versions.groupBy(key)
-        .agg(F.max_by(F.struct(*rest), F.col(version)).alias("_latest"))
-        .select(key, *[F.col(f"_latest.`{n}`").alias(n) for n in rest])
-        .select(*versions.columns)
+        versions.groupBy(quoted(key))
+        .agg(F.max_by(F.struct(*map(quoted, rest)), known_first(version)).alias("_latest"))
+        .select(quoted(key), *[F.col(f"_latest.{quoted(n)}").alias(n) for n in rest])
+        .select(*map(quoted, versions.columns))
     )
 
 
-def even_buckets(df: DataFrame, order: str, count: int = 10_000) -> Column:
-    """Equal-width ranges of a number, date or time column, at most ``count``, from its smallest
-    and largest value."""
-    data_type = df.schema[order].dataType
-    if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
-        start = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
-        place = F.timestamp_diff("SECOND", start, F.col(order).cast("timestamp_ntz"))
-    else:
-        place = F.col(order).cast("double")
-    low, high = df.agg(F.min(place), F.max(place)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((place - low) / ((high - low) / count))
-
-
 def numbered(
     df: DataFrame,
     key: str,
@@ -69,14 +55,22 @@ def numbered(
 ) -> DataFrame:
     """1, 2, 3 … per key in order, without ever sorting one key in one task.
 
-    ``bucket`` must never decrease along ``order`` (a day, an id range); by default it is one of
-    10,000 equal ranges. Rows are numbered inside (key, bucket); the running total of the bucket sizes is added, and that total is a window over
-    one row per bucket only. ``after`` (key, start) holds a number per key to count on from; it
-    meets the bucket totals, so the rows themselves are shuffled once.
+    By default rows are dealt out by ranges of (key, order) of even size, for any type that sorts. A
+    ``bucket`` that never decreases along ``order`` (a day, an id range) saves that: rows are numbered
+    inside (key, bucket), and the running total of the bucket sizes is added, a window over one row per
+    bucket only. ``after`` (key, start) holds a number per key to count on from.
     """
+    if bucket is None:
+        ties = [n for n in df.columns if n not in (key, order) and isinstance(df.schema[n].dataType, T.AtomicType)]
+        rows = running_totals(df, [key], [order, *ties], {number_as: F.lit(1)})
+        number = F.col(quoted(number_as)) + 1
+        if after is not None:
+            start = after.toDF("_start_key", "_start")
+            rows = rows.join(start, F.col(quoted(key)).eqNullSafe(F.col("_start_key")), "left")
+            number = number + F.coalesce("_start", F.lit(0))
+        return rows.select(*map(quoted, df.columns), number.cast("long").alias(number_as))
     # a struct of both is never null, so rows without a key are kept and the join needs no shuffle
     # beyond the window's
-    bucket = even_buckets(df, order) if bucket is None else bucket
     rows = df.withColumn("_slot", F.struct(F.col(key).alias("key"), bucket.alias("bucket")))
     before = Window.partitionBy("_slot.key").orderBy("_slot.bucket")
     before = before.rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from tarnlake.operators.quality import quality_gate
 from tarnlake.operators.sets import concatenate
 from tarnlake.plans.catalog import load_report
 from tarnlake.sources.files import discover_files
-from tarnlake.sources.readers import read_any
+from tarnlake.sources.readers import FORMATS, read_any
 from tarnlake.sources.writers import (
     add_table_columns, append, create_or_update_table, staged_overwrite, use_database,
     write_partitioned, write_table,
@@ -41,7 +41,8 @@ def ingest_file(
     rows = with_date_parts(
         with_update_audit(read_any(spark, path, format, **options), user, now), "updated_at"
     )
-    write_partitioned(rows, target, PARTITION_KEYS)
+    # other users' and days' rows stay
+    write_partitioned(rows, target, PARTITION_KEYS, dynamic=True)
     columns = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     create_or_update_table(spark, database, table, columns, location=target, partitions=PARTITION_KEYS)
     spark.catalog.recoverPartitions(f"`{database}`.`{table}`")
@@ -96,9 +97,8 @@ def load_prefix(
     )
     groups: dict[str, list] = {}
     for unit, folder, kind in sorted(tuple(u) for u in units):
-        # a folder of JSON files holds JSON lines, as Spark writes them
-        kind = "jsonl" if kind == "json" and folder else kind
-        frame = read_any(spark, f"{prefix.rstrip('/')}/{unit}", kind)
+        place = f"{prefix.rstrip('/')}/{unit}"
+        frame = _read_folder(spark, place, kind) if folder else read_any(spark, place, kind)
         groups.setdefault(snake_name(unit.split(".")[0]), []).append(frame)
     use_database(spark, database)
     loaded, locations = {}, {}
@@ -108,6 +108,18 @@ def load_prefix(
     return load_report(loaded, locations)
 
 
+def _read_folder(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """All files of one format at any depth below a folder; ones of other formats are not read."""
+    endings = ",".join(sorted(e for e, f in FORMATS.items() if f == kind))
+    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*{{{endings}}}"}
+    if kind in ("csv", "parquet", "orc"):
+        return read_any(spark, folder, kind, **below)
+    if kind in ("json", "jsonl"):
+        # a folder of JSON files holds JSON lines, as Spark writes them
+        return spark.read.options(**below).json(folder)
+    return read_any(spark, folder, kind)
+
+
 def run_etl(
     spark: SparkSession,
     transformed: DataFrame,
@@ -116,9 +128,11 @@ def run_etl(
     database: str,
     target: str,
     staging: str,
+    location: str | None = None,
 ) -> DataFrame:
     """Stage the transformed rows, check contract and quality on the staged copy, and insert them
-    into the target only when both pass. Returns the gate row with issues and the loaded rows."""
+    into the target only when both pass. ``location`` is where a new target's files go (by default the
+    warehouse). Returns the gate row with issues and the loaded rows."""
     transformed.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)
     issues = validate_schema(staged, contract).count()
@@ -127,7 +141,7 @@ def run_etl(
     loaded = 0
     if gate["passed"] and not issues:
         columns = {f.name: f.dataType.simpleString() for f in staged.schema.fields}
-        create_or_update_table(spark, database, target, columns, location=f"{staging}-loaded")
+        create_or_update_table(spark, database, target, columns, location=location)
         loaded = append(staged, database, target)
     status = "completed" if gate["passed"] and not issues else "rejected"
     return spark.createDataFrame(
@@ -169,9 +183,13 @@ def enrich_table(
     """Add the columns of a text tool to a stored Parquet table: read all files, drop empty rows,
     score, replace the files by a staged write, then add the columns to the catalog."""
     out = apply_tool(spark.read.parquet(path), tool_id, columns, scorer)
-    written = staged_overwrite(out, path, staging)
+    name = f"`{database}`.`{table}`"
+    keys = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    written = staged_overwrite(out, path, staging, keys)
     add_table_columns(
         spark, database, table, {f.name: f.dataType.simpleString() for f in written.schema.fields}
     )
-    spark.catalog.refreshTable(f"`{database}`.`{table}`")
-    return spark.table(f"`{database}`.`{table}`")
+    if keys:
+        spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)

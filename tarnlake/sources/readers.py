@@ -13,15 +13,18 @@ from tarnlake.sources.xlsx import read_excel
 # Format of each file extension.
 FORMATS = {
     ".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet",
-    ".xlsx": "excel", ".xls": "excel", ".xlsm": "excel", ".xlsb": "excel", ".avro": "avro",
-    ".orc": "orc",
+    ".xlsx": "excel", ".xlsm": "excel", ".avro": "avro", ".orc": "orc",
 }
+# Binary workbooks of older and other kinds, which need their own parser.
+OTHER_WORKBOOKS = (".xls", ".xlsb")
 
 
 def detect_format(path: str) -> str:
     """Format of a path by its extension; an unknown extension raises."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     ext = "." + name.rsplit(".", 1)[-1] if "." in name else ""
+    if ext in OTHER_WORKBOOKS:
+        raise ValueError(f"{ext} workbooks are not supported: save them as .xlsx")
     if ext not in FORMATS:
         raise ValueError(f"unsupported file type {ext or name!r}")
     return FORMATS[ext]
@@ -51,9 +54,9 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def read_jsonl(
-    spark: SparkSession, path: str, sample_size: int | None = 1000, schema: str | None = None
+    spark: SparkSession, path: str, sample_size: int | None = None, schema: str | None = None
 ) -> DataFrame:
-    """JSON lines; by default the first ``sample_size`` rows, None for all."""
+    """JSON lines, all of them unless ``sample_size`` asks for the first ones."""
     df = (spark.read.schema(schema) if schema else spark.read).json(path)
     return df if sample_size is None else df.limit(sample_size)
 
@@ -105,7 +108,8 @@ def table(spark: SparkSession, database: str, name: str, limit: int | None = Non
 def validate_file(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
     """One row: is_valid, file_type, error, schema and a sample of five rows as JSON.
 
-    Malformed CSV or JSON is an error here, not a null row.
+    Malformed CSV, JSON or JSON lines are an error here, not null rows, and the verdict rests on the whole
+    file: all of it is parsed.
     """
     out = "path string, is_valid boolean, file_type string, error string, schema string, sample string"
 
@@ -119,12 +123,13 @@ def validate_file(spark: SparkSession, path: str, format: str | None = None) ->
     try:
         strict = {"mode": "FAILFAST"} if kind == "csv" else {}
         df = (
-            spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-            if kind == "json"
+            spark.read.option("multiLine", kind == "json").option("mode", "FAILFAST").json(path)
+            if kind in ("json", "jsonl")
             else read_any(spark, path, kind, **strict)
         )
+        df.write.format("noop").mode("overwrite").save()
         sample = df.limit(5).select(F.to_json(F.struct(*df.columns)).alias("r")).collect()
         rows = "[" + ",".join(r["r"] for r in sample) + "]"
         return verdict(True, kind, None, df.schema.simpleString(), rows)
     except (PySparkException, Py4JError, RuntimeError, ValueError) as error:
-        return verdict(False, kind, str(error)[:2000])
+        return verdict(False, kind, str(error))

@@ -157,22 +157,33 @@ def ctas(
     return spark.table(name)
 
 
-def staged_overwrite(df: DataFrame, target: str, staging: str) -> DataFrame:
-    """Replace the Parquet folder ``target``, which ``df`` may itself read.
+def staged_overwrite(df: DataFrame, target: str, staging: str, keys: list[str] | None = None) -> DataFrame:
+    """Replace the Parquet folder ``target``, partitioned by ``keys``, which ``df`` may itself read.
 
     The rows go to ``staging`` first and are read back; only when columns and row count agree is
-    the target overwritten from the staging copy. On a mismatch the target stays untouched.
+    the target overwritten from the staging copy. On a mismatch the target stays untouched; the staging
+    copy goes in either case, unless the last step fails, when it is the only whole copy.
     """
     spark = df.sparkSession
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "snappy").parquet(staging)
-    copy = spark.read.parquet(staging)
-    if copy.columns != df.columns:
-        raise ValueError(f"staged columns {copy.columns} differ from {df.columns}")
-    expected, got = seen.get["rows"], copy.count()
-    if got != expected:
-        raise ValueError(f"staged {got} of {expected} rows")
-    copy.write.mode("overwrite").option("compression", "snappy").parquet(target)
+    keys = keys or []
+    try:
+        observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        observed.write.mode("overwrite").option("compression", "snappy").parquet(staging)
+        copy = spark.read.schema(df.schema).parquet(staging)
+        written = spark.read.parquet(staging).columns
+        if written != df.columns:
+            raise ValueError(f"staged columns {written} differ from {df.columns}")
+        expected, got = seen.get["rows"], copy.count()
+        if got != expected:
+            raise ValueError(f"staged {got} of {expected} rows")
+    except Exception:
+        _remove(spark, staging)
+        raise
+    if keys:
+        write_partitioned(copy, target, keys)
+    else:
+        copy.write.mode("overwrite").option("compression", "snappy").parquet(target)
     _remove(spark, staging)
     return spark.read.parquet(target)
 

@@ -14,6 +14,7 @@ from xml.etree.ElementTree import iterparse
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tarnlake.session import ship_package
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -90,6 +91,7 @@ def unpack(workbooks: DataFrame) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
+    ship_package(workbooks.sparkSession)
     return workbooks.select("path", "content").mapInPandas(run, CELLS)
 
 
