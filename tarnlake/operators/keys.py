@@ -45,7 +45,7 @@ def sorted_maps(c: str, data_type: T.DataType, depth: int = 0) -> str:
     """A nested value with the entries of all its maps in the order of their keys."""
     x = f"x{depth}"
     if isinstance(data_type, T.MapType):
-        entries = f"array_sort(map_entries({c}))"
+        entries = f"sort_array(map_entries({c}))"
         value = sorted_maps(f"{x}.value", data_type.valueType, depth + 1)
         if value == f"{x}.value":
             return entries

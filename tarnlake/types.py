@@ -43,7 +43,8 @@ def spark_type(name: str) -> str:
     if text.endswith(" null"):
         text = text[:-5].strip()
     if re.match(r"(struct|map|array)\s*<", text):
-        return text
+        # names of nested fields keep their letter case
+        return re.sub(r"(?i)\s+null$", "", name.strip())
     if re.match(r"decimal\(\d+,\s*\d+\)$", text):
         return text
     base = re.sub(r"[\[(].*$", "", text).strip()
