@@ -67,17 +67,50 @@ REPAIR_RULES = [
 ]
 
 
+# A whole string of one line, and what stands for the n-th one while the rules run.
+STRING = r'"(?:[^"\\\n]|\\.)*"'
+MARK = "\ue000"
+
+
+def _without_strings(c: Column, strings: Column) -> Column:
+    """The text with each string replaced by its number, so that no rule changes the inside of one; an empty
+    string stays, as a rule is about it."""
+
+    def marked(piece: Column, i: Column) -> Column:
+        string = F.get(strings, i)
+        mark = F.concat(F.lit('"' + MARK), i.cast("string"), F.lit('"'))
+        return F.concat(piece, F.when(string.isNull(), "").when(string == '""', string).otherwise(mark))
+
+    return F.array_join(F.transform(F.split(c, STRING), marked), "")
+
+
+def _with_strings(c: Column, strings: Column) -> Column:
+    """The strings put back."""
+    numbers = F.regexp_extract_all(c, F.lit(f'"{MARK}([0-9]+)"'), F.lit(1))
+
+    def filled(piece: Column, i: Column) -> Column:
+        return F.concat(piece, F.coalesce(F.get(strings, F.get(numbers, i).cast("int")), F.lit("")))
+
+    return F.array_join(F.transform(F.split(c, f'"{MARK}[0-9]+"'), filled), "")
+
+
 def repair_json(c: Column) -> Column:
     """Valid JSON text from lenient JSON; text that parses already is returned unchanged, repaired
     text in compact form, and text that still does not parse after all rules becomes null."""
 
+    def fixed(plain: Column) -> Column:
+        def around(strings: Column) -> Column:
+            text = _without_strings(plain, strings)
+            for rule in REPAIR_RULES:
+                text = _replace_if(text, *rule)
+            return let(text, lambda t: _with_strings(t, strings))
+
+        return let(F.regexp_extract_all(plain, F.lit(STRING), F.lit(0)), around)
+
     def repaired(plain: Column) -> Column:
-        fixed = plain
-        for rule in REPAIR_RULES:
-            fixed = _replace_if(fixed, *rule)
         # the rules run only for text that does not parse
         return F.coalesce(
-            F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed))
+            F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed(plain)))
         )
 
     return let(strip_fences(c), repaired)

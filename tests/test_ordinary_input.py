@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tarnlake.functions import text, times
+from tarnlake.functions import json, text, times
 from tarnlake.operators import aggregates, cleaning, joins, keys, quality, sets, windows
 from tarnlake.plans import loads
 from tarnlake.sources import readers, writers
@@ -81,7 +81,7 @@ def test_a_failing_job_is_not_a_step_that_does_not_apply(spark, monkeypatch):
         raise PySparkException("the job failed")
 
     monkeypatch.setitem(cleaning.STEPS, "convert_types", fails)
-    step = {"strategy": "convert_types", "columns": ["id"], "parameters": {}, "confidence": 0.9}
+    step = {"strategy": "convert_types", "columns": ["id"], "parameters": {}, "confidence": 0.9, "description": "numbers"}
     assert cleaning.step_problem(step) is None
     with pytest.raises(PySparkException, match="the job failed"):
         cleaning.apply_cleaning(spark.range(1), [step], defaults=False)
@@ -125,3 +125,11 @@ def test_lines_are_all_read_and_all_checked(spark, tmp_path):
     assert readers.validate_file(spark, f"{tmp_path}/many.jsonl").first()["is_valid"]
     with pytest.raises(ValueError, match="not supported"):
         readers.detect_format("old.xls")
+
+
+def test_repair_leaves_strings_alone(spark):
+    broken = ['{"t": "at 10:05", k: 1}', '{"s": "a, b: c", k: 1}', '{"u": "is TRUE, .5 }{ 007", "v": "", k: None,}']
+    df = spark.createDataFrame([(b,) for b in broken], "b string")
+    assert [r[0] for r in df.select(json.repair_json(F.col("b"))).collect()] == [
+        '{"k":1,"t":"at 10:05"}', '{"k":1,"s":"a, b: c"}', '{"k":null,"u":"is TRUE, .5 }{ 007","v":null}',
+    ]
