@@ -178,17 +178,22 @@ def staged_overwrite(df: DataFrame, target: str, staging: str, keys: list[str] |
         if got != expected:
             raise ValueError(f"staged {got} of {expected} rows")
     except Exception:
-        _remove(spark, staging)
+        remove_path(spark, staging)
         raise
     if keys:
         write_partitioned(copy, target, keys)
     else:
         copy.write.mode("overwrite").option("compression", "snappy").parquet(target)
-    _remove(spark, staging)
+    remove_path(spark, staging)
     return spark.read.parquet(target)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

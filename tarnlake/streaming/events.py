@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tarnlake.sources.writers import path_exists, remove_path
+
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, format: str = "parquet") -> DataFrame:
     """New files of a folder as a stream."""
@@ -87,8 +89,15 @@ def sync_changed(
     """Copy the files that are new since the last run into the target table folder.
 
     The checkpoint remembers what was synced. Each batch replaces its own ``batch=`` partition, so
-    a batch that is run again after a failure leaves no repeated rows.
+    a batch that is run again after a failure leaves no repeated rows. If a file synced before is gone or
+    another one by now, the source was rewritten: the target is built anew from all its files.
     """
+    synced = f"{checkpoint.rstrip('/')}-files"
+    if path_exists(spark, synced):
+        known = spark.read.parquet(synced)
+        if not known.join(_listing(spark, source), known.columns, "left_anti").isEmpty():
+            for path in (target, checkpoint):
+                remove_path(spark, path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (
@@ -107,4 +116,10 @@ def sync_changed(
         .start()
     )
     query.awaitTermination()
+    _listing(spark, source).write.mode("overwrite").parquet(synced)
     return query
+
+
+def _listing(spark: SparkSession, source: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    return files.select("path", "length", "modificationTime")

@@ -54,6 +54,11 @@ def test_sync_takes_new_files_only(spark, tmp_path, source):
     frame(spark, [40, 41]).write.mode("append").parquet(source)
     stm.sync_changed(spark, source, schema, target, checkpoint)
     assert spark.read.parquet(target).count() == 6
+    # a rewritten source replaces the target
+    frame(spark, [1, 2, 3]).write.mode("overwrite").parquet(source)
+    for _ in range(2):
+        stm.sync_changed(spark, source, schema, target, checkpoint)
+        assert spark.read.parquet(target).count() == 3
 
 
 def test_recent(spark):
