@@ -164,7 +164,7 @@ def _(lake):
 
 @check(
     "sql_01_ctas_and_insert",
-    """SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority""",
+    "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",
 )
 def _(lake):
     database, name, path = scratch(lake, "statements")
@@ -175,8 +175,8 @@ def _(lake):
         orders=lake.orders,
     )
     run(
-        f"INSERT INTO {name} SELECT o_orderkey, o_orderpriority FROM {{orders}} WHERE o_orderstatus = :s",
-        orders=lake.orders, s="O",
+        f"INSERT INTO {name} SELECT o_orderkey, o_orderpriority FROM {{orders}} WHERE o_orderstatus <> :s",
+        orders=lake.orders, s="F",
     )
     return run(f"SELECT o_orderpriority, count(*) AS n FROM {database}.{name} GROUP BY o_orderpriority")
 
@@ -226,6 +226,18 @@ def _(lake):
     return table.select("o_orderkey", "o_totalprice", "user_id", "year", "month", "day", "updated_at")
 
 
+@check(
+    "wf_01_ingest_two_users",
+    """SELECT o_orderkey AS id, o_totalprice AS amount, 'u7' AS user_id FROM orders
+       UNION ALL SELECT o_orderkey, o_totalprice, 'u8' FROM orders""",
+)
+def _(lake):
+    database, name, path = scratch(lake, "ingested")
+    for user in ("u7", "u8"):
+        table = loads.ingest_file(lake.spark, lake.path("orders"), database, name, user, path, now=NOW)
+    return table.selectExpr("o_orderkey AS id", "o_totalprice AS amount", "user_id")
+
+
 @check(
     "wf_02_load_file",
     """SELECT 'loaded' AS kind, 0 AS rows_before, count(*) AS rows_read, count(*) AS rows_after, true AS complete,

@@ -411,6 +411,17 @@ def _two_sides(lake):
     return named.filter("p_type = 'ECONOMY'"), named.filter("p_type = 'PROMO'")
 
 
+@check(
+    "join_02_overlapping_names",
+    """SELECT n.n_nationkey AS id, n.n_name AS name, n.n_regionkey AS region_id, r.r_name AS name_right
+       FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
+)
+def _(lake):
+    nations = lake.nation.selectExpr("n_nationkey AS id", "n_name AS name", "n_regionkey AS region_id")
+    regions = lake.region.selectExpr("r_regionkey AS id", "r_name AS name")
+    return joins.inner_join(nations, regions, "region_id", "id")
+
+
 @check("set_01_schema_sets", _TYPE_NAMES)
 def _(lake):
     return sets.schema_sets(*_two_sides(lake), "name")
