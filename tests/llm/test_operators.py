@@ -202,6 +202,20 @@ def test_filter_holds_all_counts(spark):
     assert (model.filter.levels(unseen) > 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("together", [scoring.TOGETHER, 50])
+def test_scores_do_not_change_when_the_filter_is_no_broadcast(odd, documents, monkeypatch, together):
+    monkeypatch.setattr(scoring, "RANGE_BLOCKS", 2)
+    monkeypatch.setattr(scoring, "TOGETHER", together)
+    docs = odd.select("doc_id", "text").unionByName(documents.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    docs = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False)))
+    rows = []
+    for bits in (scoring.LIMIT_BITS, 18):
+        model, table = scoring.train(docs.filter("NOT held_out"), limit_bits=bits)
+        assert (model.filter is None) == (bits == 18) and model.total > 2
+        rows.append(sorted(map(str, scoring.scored(docs, model, table).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
+
+
 def test_pairs_beat_words_on_held_out_text(spark):
     text = "to be or not to be that is the question whether it is nobler in the mind to suffer"
     docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
