@@ -20,9 +20,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.accepted(docs, model)
 
 
+#: similarity of near copies, and bands of 5 of which a pair at that similarity shares none with a chance of 7 in a million
+PERCENT, BANDS = 80, 30
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near copies, of a similarity of 0.8 or more."""
+    return minhash.deduplicated(docs, percent=PERCENT, bands=BANDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

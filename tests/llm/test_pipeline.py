@@ -1,6 +1,7 @@
 """The pipeline's stages on odd rows, and its result against the operators one by one."""
 
 import corpus_pipeline
+from test_operators import brute_components
 from tarnlake.llm import decontamination, language, minhash
 from tarnlake.llm.words import table
 
@@ -28,6 +29,21 @@ def test_stages(spark, folder, tmp_path):
     assert counts[4] == counts[5] == corpus_pipeline.run(spark, folder).count()
 
 
+def test_near_copies_of_080_go(spark, folder):
+    """Families whose members are at 0.777 to 0.836 to their first one, and the tables' documents."""
+    rows = []
+    for family in range(40):
+        base = [f"a{family}x{i}" for i in range(60)]
+        rows.append((family * 10, " ".join(base)))
+        for k in (5, 6, 7):
+            rows.append((family * 10 + k, " ".join(base[:-k] + [f"b{family}y{k}z{i}" for i in range(k)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(table(spark, folder, "documents").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    kept = {r[0] for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).select("doc_id").collect()}
+    assert kept == {first for _, _, first in brute_components(docs, 80)}
+    assert {i for i in kept if i < 400} == {f * 10 + k for f in range(40) for k in (0, 7)}
+
+
 def test_stages_on_odd_rows(spark, odd, folder, items, tmp_path):
     docs = odd
     for name, stage in corpus_pipeline.STAGES:
