@@ -274,6 +274,26 @@ def _(lake):
     return report.drop("location")
 
 
+@check(
+    "wf_03_load_prefix_rows",
+    """SELECT 'parts' AS table_name, p_partkey AS id, p_name AS name FROM part
+       UNION ALL SELECT 'parts', s_suppkey, s_name FROM supplier
+       UNION ALL SELECT 'parts', c_custkey, c_name FROM customer""",
+)
+def _(lake):
+    # one folder with three formats at three depths
+    folder = work_path(lake.spark, "prefix") + "/Parts"
+    writers.export_csv(lake.part.selectExpr("p_partkey AS id", "p_name AS name"), f"{folder}/2024")
+    writers.write_as(lake.supplier.selectExpr("s_suppkey AS id", "s_name AS name"), f"{folder}/2024/01", "parquet")
+    writers.write_as(lake.customer.selectExpr("c_custkey AS id", "c_name AS name"), f"{folder}/2024/01/02", "json")
+    database, name, path = scratch(lake, "lake_rows")
+    database = f"{database}_{name}"
+    writers.use_database(lake.spark, database, f"{path}-database")
+    loads.load_prefix(lake.spark, folder.rpartition("/")[0], database, path).collect()
+    loaded = lake.spark.table(f"`{database}`.`parts`")
+    return loaded.select(F.lit("parts").alias("table_name"), F.col("id").cast("long").alias("id"), "name")
+
+
 @check(
     "wf_04_etl_with_gate",
     f"""SELECT true AS passed, round(c, 9) AS completeness, 0 AS issues, n AS loaded_rows, 'completed' AS status

@@ -98,7 +98,7 @@ def load_prefix(
     groups: dict[str, list] = {}
     for unit, folder, kind in sorted(tuple(u) for u in units):
         place = f"{prefix.rstrip('/')}/{unit}"
-        frame = _read_folder(spark, place, kind) if folder else read_any(spark, place, kind)
+        frame = _read_folder(spark, place, kind, extensions) if folder else read_any(spark, place, kind)
         groups.setdefault(snake_name(unit.split(".")[0]), []).append(frame)
     use_database(spark, database)
     loaded, locations = {}, {}
@@ -108,16 +108,16 @@ def load_prefix(
     return load_report(loaded, locations)
 
 
-def _read_folder(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All files of one format at any depth below a folder; ones of other formats are not read."""
-    endings = ",".join(sorted(e for e, f in FORMATS.items() if f == kind))
-    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*{{{endings}}}"}
-    if kind in ("csv", "parquet", "orc"):
-        return read_any(spark, folder, kind, **below)
+def _read_folder(spark: SparkSession, folder: str, kind: str, extensions: list[str] | None = None) -> DataFrame:
+    """All files of one format at any depth below a folder, whatever the case of their endings; ones of
+    other formats are not read."""
+    endings = sorted(e for e, f in FORMATS.items() if f == kind and e in (extensions or FORMATS))
+    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings)
+    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*{{{either}}}"}
     if kind in ("json", "jsonl"):
         # a folder of JSON files holds JSON lines, as Spark writes them
         return spark.read.options(**below).json(folder)
-    return read_any(spark, folder, kind)
+    return read_any(spark, folder, kind, **below)
 
 
 def run_etl(

@@ -66,10 +66,10 @@ def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> D
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def read_avro(spark: SparkSession, path: str) -> DataFrame:
+def read_avro(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Avro; needs Spark's external Avro module on the class path."""
     try:
-        return spark.read.format("avro").load(path)
+        return spark.read.format("avro").load(path, **options)
     except PySparkException as error:
         if "avro" in str(error).lower() and "find" in str(error).lower():
             raise RuntimeError("reading Avro needs the spark-avro package") from error
@@ -88,7 +88,7 @@ def read_any(spark: SparkSession, path: str, format: str | None = None, **option
     if kind == "excel":
         return read_excel(spark, path, **options)
     if kind == "avro":
-        return read_avro(spark, path)
+        return read_avro(spark, path, **options)
     if kind in ("parquet", "orc"):
         return spark.read.format(kind).load(path, **options)
     raise ValueError(f"unsupported format {kind!r}")

@@ -110,9 +110,10 @@ def header_of(cells: DataFrame) -> list[str]:
     return [c or f"col_{i}" for row in found for i, c in enumerate(row["cells"])]
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """The first sheet (or the named one) as text columns; types follow from ``apply_schema``."""
-    cells = unpack(spark.read.format("binaryFile").load(path))
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None, **options: str) -> DataFrame:
+    """The first sheet (or the named one) as text columns; types follow from ``apply_schema``. Options choose
+    the files."""
+    cells = unpack(spark.read.format("binaryFile").load(path, **options))
     cells = cells.filter(F.col("sheet") == sheet) if sheet else cells.filter("sheet_no = 0")
     return sheet_frame(cells, header_of(cells))
 

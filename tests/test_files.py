@@ -236,6 +236,25 @@ def test_load_prefix_files(spark, tmp_path, database):
     assert report["pets"]["row_count"] == 2
 
 
+def test_load_prefix_nested_and_mixed_folders(spark, tmp_path, database):
+    base = tmp_path / "in"
+    for folder in ("sheets/2024/01", "people/old"):
+        (base / folder).mkdir(parents=True)
+    (base / "sheets/top.xlsx").write_bytes(_typed_workbook())
+    (base / "sheets/2024/01/more.XLSX").write_bytes(_typed_workbook())
+    (base / "sheets/2024/notes.csv").write_text("note\nkeep\n")
+    (base / "people/a.csv").write_text("id,name\n1,A\n")
+    (base / "people/B.CSV").write_text("id,name\n2,B\n")
+    (base / "people/old/c.Json").write_text('{"id": 3, "name": "C"}\n')
+    loads.load_prefix(spark, str(base), database, str(tmp_path / "out")).collect()
+    people = spark.table(f"{database}.people").collect()
+    assert sorted((r["id"], r["name"]) for r in people) == [(1, "A"), (2, "B"), (3, "C")]
+    one = readers.read_excel(spark, str(base / "sheets/top.xlsx"))
+    sheets = spark.table(f"{database}.sheets")
+    assert sheets.filter("note IS NULL").count() == 2 * one.count() > 0
+    assert [r["note"] for r in sheets.filter("note IS NOT NULL").collect()] == ["keep"]
+
+
 def test_rejected_load(spark, tmp_path, database):
     df = spark.createDataFrame([(1, None), (2, "x")], "id bigint, name string")
     contract = [{"name": "id", "nullable": False}, {"name": "name", "nullable": False}]
