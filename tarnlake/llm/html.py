@@ -10,7 +10,8 @@ the text is; the smallest density on the way from the body to it is the threshol
 that reaches the threshold adds its own node of the largest sum.
 
 What a page says not to be text by its tag, role, or the words of its class and id goes before: menus,
-headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments. A form, or
+a part with such a name, that holds most of the page's text without links is around the main text and stays.
 """
 
 from __future__ import annotations
@@ -68,6 +69,19 @@ WORDS = _split(
 #: words that mean a page's part only outside the text itself
 OUTER = _split("header")
 TEXT = _split("article main")
+#: elements and roles that may also stand around the text
+AROUND = _split("form fieldset header")
+AROUND_ROLES = _split("form search")
+#: words of parts that may be longer than the text they belong to
+BESIDE = _split(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos "
+    "promotion comment comments respond disqus reply replies cookie cookies consent gdpr popup modal overlay disclaimer "
+    "related recommended footer newsletter subscribe"
+)
+#: words of a name that tells what a part has, not what it is
+HAVING = _split("has with without no open closed enabled")
+#: what a node is dropped for: always, unless it holds most of the text, and unless it also has no text beside it
+ALWAYS, UNLESS_MOST, UNLESS_ALL = 1, 2, 3
 
 
 class Node:
@@ -77,7 +91,7 @@ class Node:
         self.tag, self.parent = tag, parent
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.own = False  # is it dropped for what it says of itself?
+        self.own = 0  # is it dropped for what it says of itself?
         self.dropped = parent is not None and parent.dropped
         self.link = tag == "a" or (parent is not None and parent.link)
         self.inner = tag in TEXT or (parent is not None and parent.inner)
@@ -85,23 +99,30 @@ class Node:
             parent.children.append(self)
 
 
-def _unwanted(tag: str, attrs: str, inner: bool) -> bool:
-    if tag in DROPPED or (tag in OUTER and not inner):
-        return True
+def _unwanted(tag: str, attrs: str, inner: bool) -> int:
+    """0 for a node that is not dropped, else what it is dropped for."""
+    around = tag in AROUND and (tag not in OUTER or not inner)
+    if tag in DROPPED and not around:
+        return ALWAYS
     if not attrs or attrs.isspace() or tag in ("html", "body"):
-        return False
+        return UNLESS_MOST if around else 0
     found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if found.get("role", "").lower() in ROLES:
-        return True
+        return ALWAYS
+    role = found.get("role", "").lower()
+    if role in ROLES and role not in AROUND_ROLES:
+        return ALWAYS
     if "display:none" in found.get("style", "").lower().replace(" ", ""):
-        return True
+        return ALWAYS
     named = f"{found.get('class', '')} {found.get('id', '')}"
     words = {w.lower() for w in _PART.findall(named)}
-    return bool(words & WORDS) and tag not in TEXT or bool(words & OUTER) and not inner or bool(
+    unwanted = bool(words & WORDS) and tag not in TEXT or bool(words & OUTER) and not inner or bool(
         tag in TEXT and words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "related"}
     )
+    if not (unwanted or around or role in AROUND_ROLES):
+        return 0
+    names = ({w.lower() for w in _PART.findall(name)} for name in named.split())
+    return UNLESS_ALL if any(n & BESIDE and not n & HAVING for n in names) else UNLESS_MOST
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
@@ -214,6 +235,7 @@ def main_text(page: str) -> str:
                 up = up.parent
             if up is None:
                 _restore(node)
+    _keep_most(order, runs)
     pieces: list[tuple[Node, str | None]] = []
     for node, piece in runs:
         if node.dropped:
@@ -285,6 +307,35 @@ def _article(node: Node) -> Node:
     return node if up is None or up.dropped else up
 
 
+def _keep_most(order: list[Node], runs: list[tuple[Node, str | None]]) -> None:
+    """Restore what is dropped for its name or as a form but holds most of the characters outside links;
+    what is dropped inside of it stays dropped."""
+    if not any(node.own > ALWAYS and node.dropped for node in order):
+        return
+    gone: set[int] = set()
+    for node in order:  # parents come first
+        if node.own == ALWAYS or id(node.parent) in gone:
+            gone.add(id(node))
+    plain = dict.fromkeys(map(id, order), 0)
+    for node, piece in runs:
+        if piece is not None and not node.link and id(node) not in gone:
+            plain[id(node)] += len("".join(unescape(piece).split()))
+    beside = sum(plain[id(node)] for node in order if not node.dropped)
+    titled = {id(node) for node in order if node.tag == "h1" and id(node) not in gone}
+    for node in reversed(order):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            if id(node) in titled:
+                titled.add(id(node.parent))
+    total = plain[id(order[0])]
+    for node in order:
+        if 2 * plain[id(node)] <= total or node.own <= ALWAYS or node.parent.dropped:
+            continue
+        if node.own == UNLESS_MOST or not beside or id(node) in titled:
+            node.own = 0
+            _restore(node)
+
+
 def _restore(node: Node) -> None:
     todo = [node]
     while todo:

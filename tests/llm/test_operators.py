@@ -152,6 +152,34 @@ def test_main_text():
     assert main_text("just text") == "just text"
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<form id=aspnetForm><input name=q><div id=content>{}</div><button>Send</button></form>",
+        "<div class='content has-sidebar'>{}<div class=sidebar>Beside it.</div></div>",
+        "<div class=widget-content><fieldset>{}</fieldset></div>",
+        "<section id=search-results><form><div class='post comments-open'><h1></h1>{}<div id=comments>I agree.</div></div></form></section>",
+        "<div role=search>{}</div>",
+        "<main class='has-ads related'>{}</main>",
+        "<p>You are here</p><div class='post with-comments'>{}</div>",
+    ],
+)
+def test_main_text_in_what_is_named_like_a_part(around):
+    text = "A paragraph that has a fair number of words in it, as text has."
+    menu = "<div class=menu>" + "<a href=/a>Link text</a> " * 12 + "</div>"
+    page = "<body><nav><a href=/>Home</a></nav>" + menu + around + "<footer>Imprint</footer></body>"
+    found = main_text(page.format(f"<p>{text}</p>" * 4)).split("\n")
+    assert [f for f in found if f != "You are here"] == [text] * 4
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("part", ["section id=comments", "div class=ad", "div class=cookie-notice"])
+def test_long_parts_beside_a_short_text_stay_out(tag, part):
+    text = "A paragraph that has a fair number of words in it, as text has."
+    said = f"<{part}>" + "<p>Something else is said at length beside what was written above, again.</p>" * 9 + f"</{part.split()[0]}>"
+    assert main_text(f"<body><{tag}><p>{text}</p><p>{text}</p></{tag}>{said}</body>") == text + "\n" + text
+
+
 def test_main_texts_rows(spark):
     rows = [(1, None, None, "a"), (1, "u", "", "b"), (2, "u", PAGE, "c"), (2, "u", PAGE, "c"), (None, "u", "<p>x" * 20000, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
