@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.components import components
 from tarnlake.llm.words import BASE, hashes_of, mixed, ngram_hashes, ready, table, words_of
+from tarnlake.names import quoted
 from tarnlake.session import keep
 
 SHINGLE = 5
@@ -67,9 +68,10 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sign(bands: int, rows: int):
+def _sign(bands: int, rows: int, others: list[str]):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))]
+        + [(name, pa.binary()) for name in others]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,8 @@ def _sign(bands: int, rows: int):
                 classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(band_keys(signature(found, multipliers), bands, rows) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 *(batch.column(name).cast(pa.binary()) for name in others)],
                 schema=schema,
             )
 
@@ -115,16 +118,20 @@ def _place(doc_id):
     return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1))), F.lit(1 << TABLE_BITS))
 
 
+def _table_of(place, wanted: DataFrame) -> DataFrame:
+    """(bucket, bits): chunks of the bit table of places, 2^TABLE_BITS bits at most. Bit p of chunk b stands for
+    the number 1 + p + (b - 1) * 8 * 4096, a number being a place + 1."""
+    number = place + 1
+    return wanted.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
+    )
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the classes in ``wanted`` (class, doc_id). Their texts are found again by a bit
     table of doc_ids, so no other text is cut into shingles twice, and none is shuffled."""
     place = _place(F.col("doc_id"))
-    number = place + 1  # bit p of chunk b stands for the number 1 + p + b * 8 * 4096
-    chunks = (
-        wanted.groupBy(F.bitmap_bucket_number(number).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-        .collect()
-    )  # at most 2^TABLE_BITS bits
+    chunks = _table_of(place, wanted).collect()  # at most 2^TABLE_BITS bits
     bits = bytearray(1 << (TABLE_BITS - 3))
     for bucket, chunk in chunks:
         at = (bucket - 1) * len(chunk)
@@ -242,18 +249,14 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     return keep(near.unionByName(far.distinct()), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
-
-    A component is what links of 100 * intersection >= ``percent`` * union join; its id is its smallest
-    doc_id. Null and empty texts, and texts without words, have no shingles and are linked with nothing.
-    Rows with the same doc_id each have a row, a null doc_id is no component's id, other columns are not
-    read, and an empty table gives no rows.
-    """
+def _rooted(docs: DataFrame, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of (doc_id, text) rows, with binary columns beside these, and the classes of equal sets
+    (class, doc_id, n_shingles) with the component's ``root``."""
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = "".join(f", {c} binary" for c in others)
     signed = keep(
-        docs.mapInArrow(_sign(bands, rows), "doc_id long, n_shingles long, class binary, bands array<long>"),
+        docs.mapInArrow(_sign(bands, rows, others), "doc_id long, n_shingles long, class binary, bands array<long>" + kinds),
         "signatures",
     )
     classes = signed.filter("class IS NOT NULL").groupBy("class").agg(
@@ -261,8 +264,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     )
     classes = keep(classes, "classes")
     roots = components(class_links(docs, classes, percent))
-    ids = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    ids = ids.withColumn("root", F.coalesce("root", "class"))
+    ids = classes.select("class", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return signed, ids.withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+
+    A component is what links of 100 * intersection >= ``percent`` * union join; its id is its smallest
+    doc_id. Null and empty texts, and texts without words, have no shingles and are linked with nothing.
+    Rows with the same doc_id each have a row, a null doc_id is no component's id, other columns are not
+    read, and an empty table gives no rows.
+    """
+    signed, ids = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, bands, rows)
     first = ids.groupBy("root").agg(F.min("doc_id").alias("first"))
     # a class with many copies is one row here; Spark splits the large partitions of the left side
     named = keep(ids.join(first, "root").select("class", "first"), "named")
@@ -276,16 +290,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     )
 
 
-def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, with all its columns; of rows with one doc_id the one whose text has
-    most shingles, then any. Documents without a doc_id stay, unless linked with one that has it."""
-    kept = near_duplicates(docs, **settings)
-    kept = kept.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    lone = docs.filter("doc_id IS NULL")
-    stay = docs.join(keep(kept, "kept"), "doc_id")
-    again = stay.filter("_n > 1").select(*columns).dropDuplicates(["doc_id"])
-    return stay.filter("_n = 1").select(*columns).unionByName(again).unionByName(lone)
+def deduplicated(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each component, with all its columns: of the smallest doc_id (null only where there is no
+    other), then with most shingles, then any. Rows without shingles are linked with nothing and stay.
+
+    Rows are told apart by doc_id and text. Only rows whose place in a bit table holds a doc_id of which a row
+    goes are shuffled; all others stay where they are read.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+    signed, ids = _rooted(narrow, percent, bands, rows)
+    # equal rows are one here, with their number
+    texts = signed.filter("class IS NOT NULL").groupBy("class", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    texts = keep(texts, "texts")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best")
+    best = texts.groupBy("class").agg(best).join(ids.select("class", "n_shingles", "root"), "class")
+    order = F.struct("best.last", "best.doc_id", (-F.col("n_shingles")).alias("few"), "best.digest", "class")
+    kept = best.groupBy("root").agg(F.min(order).alias("kept")).select("kept.doc_id", "kept.digest", "kept.class", F.lit(True).alias("stays"))
+    same = texts["doc_id"].eqNullSafe(kept["doc_id"]) & (texts["digest"] == kept["digest"]) & (texts["class"] == kept["class"])
+    # what goes, and equal rows of which one stays
+    fates = texts.join(kept, same, "left").select(texts["doc_id"].alias("_id"), texts["digest"].alias("_digest"), "stays", "n")
+    fates = fates.withColumn("stays", F.coalesce("stays", F.lit(False))).filter("n > 1 OR NOT stays")
+    fates = keep(fates, "fates")
+
+    table_of = F.broadcast(_table_of(_place(F.col("_id")), fates).select(F.col("bucket").alias("_bucket"), "bits"))
+    number = _place(F.col("doc_id").cast("long")) + 1
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
+    placed = docs.select(row, F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit"))
+    placed = placed.join(table_of, "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.expr("bits IS NOT NULL") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0), F.lit(False))
+    columns = [F.col(f"_row.{quoted(c)}") for c in docs.columns]
+    aside = placed.filter(~there).select(*columns)
+    own = F.unhex(F.md5(F.coalesce(F.col("_row.text").cast("binary"), F.lit(b""))))
+    moved = placed.filter(there).select("_row", F.col("_row.doc_id").cast("long").alias("_doc"), own.alias("_own"))
+    judged = moved.join(fates, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    single = judged.filter("n IS NULL").select(*columns)
+    again = judged.filter("stays").dropDuplicates(["_doc", "_own"]).select(*columns)
+    return aside.unionByName(single).unionByName(again)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

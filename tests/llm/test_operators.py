@@ -290,6 +290,24 @@ def test_near_duplicates(odd, empty, documents):
     assert sorted(r[0] or 0 for r in minhash.deduplicated(odd).select("doc_id").collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
+@pytest.mark.parametrize("bits", [24, 4])
+def test_each_component_keeps_one_row(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "TABLE_BITS", bits)
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near, longer = one + " end", one + " with an end"
+    rows = [
+        (1, one, "x"), (1, two, "y"),  # two texts under one id
+        (2, near, "x"), (2, three, "x"),  # a near copy under the id of a kept row
+        (None, two, "x"), (None, "d e f g h", "x"), (None, "d e f g h", "x"),  # copies without an id
+        (3, "k l m n o", "x"), (3, "k l m n o", "x"),  # equal rows
+        (1, longer, "x"), (4, "", "x"), (4, None, "x"), (None, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    got = Counter(map(tuple, minhash.deduplicated(docs).collect()))
+    want = [(1, longer, "x"), (1, two, "y"), (2, three, "x"), (None, "d e f g h", "x"), (3, "k l m n o", "x"), *rows[-3:]]
+    assert got == Counter(want)
+
+
 def test_large_family_of_near_copies(spark, monkeypatch):
     """Copies that are near to some of each other only, in buckets dealt out to slices and salts."""
     monkeypatch.setattr(minhash, "HELD", 8)
