@@ -196,24 +196,27 @@ def decontaminated(
 ) -> DataFrame:
     """``docs`` without the benchmark: hit documents go (``remove="documents"``), or stay without the hit
     words (``"spans"``). All columns stay; texts are scanned where they are read, and nothing is shuffled
-    (per part of a benchmark beyond ``limit``, one scan after the other)."""
+    (per part of a benchmark beyond ``limit``, one scan after the other). Spans of all parts are found in the
+    whole texts and cut together by the last scan."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
     spark = docs.sparkSession
     ready(spark)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // limit))
+    rows = boxed(docs)
+    if remove == "spans":
+        rows = rows.withColumn("_spans", F.array().cast(SPANS))
     for part in range(parts):
         mine = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
         items = [(None, r[0].encode()) for r in mine.select("text").collect() if r[0]]
-        rows = boxed(docs)
-        rows = rows.mapInArrow(_remove(spark.sparkContext.broadcast(items), window, remove), rows.schema)
-        docs = unboxed(rows, docs)
-        docs = keep(docs, "clean") if part + 1 < parts else docs
-    return docs
+        shared, last = spark.sparkContext.broadcast(items), part + 1 == parts
+        rows = rows.mapInArrow(_remove(shared, window, remove, last), rows.schema)
+        rows = rows if last else keep(rows, "clean")
+    return unboxed(rows, docs)
 
 
-def _remove(shared, window: int, remove: str):
+def _remove(shared, window: int, remove: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, window)
         for batch in batches:
@@ -222,13 +225,21 @@ def _remove(shared, window: int, remove: str):
             if remove == "documents":
                 yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
                 continue
+            # with those of earlier parts
+            before = [[(x["start"], x["stop"]) for x in s] for s in batch.column("_spans").to_pylist()]
+            spans = [merged([*a, *b]) for a, b in zip(before, spans, strict=True)]
+            if not last:
+                found = [[{"start": a, "stop": b} for a, b in s] for s in spans]
+                found = pa.array(found, batch.schema.field("_spans").type)
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), found], schema=batch.schema)
+                continue
             clean = [
                 without_spans(t.as_py(), s).decode() if t.is_valid else None for t, s in zip(texts, spans, strict=True)
             ]
             rows = batch.column("_row")
             fields = [pa.array(clean, f.type) if f.name == "text" else rows.field(i) for i, f in enumerate(rows.type)]
             whole = pa.StructArray.from_arrays(fields, fields=list(rows.type))
-            yield pa.RecordBatch.from_arrays([whole], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([whole, batch.column("_spans")], schema=batch.schema)
 
     return run
 

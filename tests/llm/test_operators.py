@@ -377,6 +377,20 @@ def test_decontamination(odd, empty, items, limit):
     assert not decontamination.report(decontamination.hits(odd, items.limit(0))).filter("contaminated").count()
 
 
+def test_spans_do_not_depend_on_the_parts_of_the_benchmark(spark):
+    """Passages that overlap, and words that would become neighbours when others go."""
+    words = [f"w{i}" for i in range(60)]
+    passages = [(i, " ".join(words[at : at + 10])) for i, at in enumerate(range(0, 40, 5))]
+    passages += [(20, "x1 x2 x3 x4"), (21, " ".join(words[3:13])), (22, "y1 y2")]
+    texts = [" ".join(words), "x1 x2 y1 y2 x3 x4 stays", "a " + " ".join(words[7:33]) + " z", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(passages, "item_id long, text string")
+    cut = lambda limit: {r[0]: r[1] for r in decontamination.decontaminated(docs, items, remove="spans", limit=limit).collect()}
+    whole = cut(decontamination.LIMIT)
+    assert whole[1].split() == "x1 x2 x3 x4 stays".split() and whole[4] is None
+    assert cut(100) == whole == cut(60)
+
+
 # language
 
 
