@@ -21,6 +21,9 @@ OPERATORS = {
     "urls": "op8_url_rules",
     "mixing": "op9_pareto_mix",
     "exact": "op10_block_naming",
+    "toxicity": "op11_nb_toxicity",
+    "search": "op12_term_search",
+    "whitening": "op13_polar_whitening",
 }
 
 
