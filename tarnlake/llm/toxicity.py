@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 A text's letters and digits (in lower case; runs of anything else are one space) give character n-grams that
-are hashed into 2^18 buckets; a text has a bucket or has it not. Over all labelled rows, the log-count ratio of
-a bucket is log((p+1)/P) - log((n+1)/N): p and n are the labelled texts of either class that have the bucket,
+are hashed into 2^18 buckets; a text has a bucket or has it not. Over the labelled rows, the log-count ratio of a
+bucket is log((p+1)/P) - log((n+1)/N): p and n are the labelled texts of either class that have the bucket,
 P and N the sums of (p+1) and (n+1) over all buckets. Buckets whose ratio stands out from chance are the
 features, each with its ratio as value, and MLlib fits a logistic regression to them. A score needs the model's
 one table of 2^18 numbers only, which is broadcast: the logistic function of the sum over a text's buckets.
@@ -29,9 +29,11 @@ BUCKET_BITS = 18
 #: a feature's ratio is as many standard errors from zero at least; of more features than the bound, the farthest stay
 STANDS_OUT = 3.0
 MOST_FEATURES = 1 << 14
-#: the regression is fitted to about this many labelled rows at most (by hash of the id); the ratios are of all rows
-FIT_ROWS = 1 << 15
+#: the classifier is fitted to about this many labelled rows at most, chosen by a hash of the id: the ratios to all of
+#: them, the regression to a quarter
+FIT_ROWS = 1 << 17
 ITERATIONS = 50
+PLACES = 1 << 20
 #: code points looked at at once
 SLICE = 1 << 16
 #: from this score on a text is predicted toxic
@@ -119,18 +121,25 @@ class Model:
         return score
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic`` of the documents with a label.
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``place, text, toxic`` of the documents with a label, of about ``fit_rows`` labels at most; ``place`` (below
+    2^20) deals them out evenly by a hash of the id.
 
     Several labels of one id are one: 1 if they are 1 on average in half of the cases or more. Rows without
-    an id or a label do not count. Texts go through one shuffle, by id; a null text is an empty one.
+    an id or a label do not count. A null text is an empty one. The chosen labels, 16 bytes each, are broadcast, so
+    texts stay where they are read.
     """
     of_id = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
         .agg((F.avg((F.col("toxic") > 0).cast("int")) >= 0.5).cast("int").alias("toxic"))
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(of_id, "doc_id")
+    share = min(1.0, fit_rows / max(1, of_id.count()))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(PLACES)).alias("place")
+    chosen = of_id.select("doc_id", "toxic", place).filter(F.col("place") < int(share * PLACES))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # 0 to 2^20 again among those that are left
+    return texts.join(F.broadcast(chosen), "doc_id").withColumn("place", F.floor(F.col("place") / share))
 
 
 def _count():
@@ -197,14 +206,14 @@ def _vectors(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the documents with a label.
+    """A model from the documents with a label, of about ``fit_rows`` labels at most.
 
-    The ratios come from all of them. The regression is fitted by MLlib to at most about ``fit_rows`` of them,
-    chosen by a hash of the id, with a penalty of one over the number of rows. Without rows of both classes the
-    score of any text is the share of toxic rows, one of either class added.
+    The ratios come from all of these rows. The regression is fitted by MLlib to a quarter of ``fit_rows`` (to all if there
+    are no more), with a penalty of one over the number of rows. Without rows of both classes the score of any text is the
+    share of toxic rows, one of either class added.
     """
     spark = docs.sparkSession
-    rows = labelled(docs, labels)
+    rows = labelled(docs, labels, fit_rows)
     of_class = dict(rows.groupBy("toxic").count().collect())
     toxic, clean = of_class.get(1, 0), of_class.get(0, 0)
     weights = np.zeros(1 << BUCKET_BITS)
@@ -215,20 +224,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     features = chosen_buckets(far)
     if not len(features):
         return without
-    share = min(1.0, fit_rows / (toxic + clean))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))
+    share = min(1.0, fit_rows / 4 / (toxic + clean))
     shared = spark.sparkContext.broadcast((features, ratios[features]))
-    vectors = labelled(docs.filter(part), labels).select("text", "toxic")
+    vectors = rows.filter(F.col("place") < int(share * PLACES)).select("text", "toxic")
     vectors = vectors.mapInArrow(_vectors(shared), "label double, indices array<int>, values array<double>")
     # a sparse vector's own storage form, read back as vectors
     sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(features)).alias("size"), "indices", "values")
     path = work_path(spark, "toxicity")
     vectors.select("label", sparse.alias("features")).write.parquet(path)
-    rows = spark.read.schema(T.StructType().add("label", "double").add("features", VectorUDT())).parquet(path)
-    classes = dict(rows.groupBy("label").count().collect())
+    fit = spark.read.schema(T.StructType().add("label", "double").add("features", VectorUDT())).parquet(path)
+    classes = dict(fit.groupBy("label").count().collect())
     if len(classes) < 2:
         return without
-    fitted = LogisticRegression(regParam=1.0 / sum(classes.values()), standardization=False, maxIter=ITERATIONS).fit(rows)
+    fitted = LogisticRegression(regParam=1.0 / sum(classes.values()), standardization=False, maxIter=ITERATIONS).fit(fit)
     weights[features] = fitted.coefficients.toArray() * ratios[features]
     return Model(weights, float(fitted.intercept))
 
@@ -263,6 +271,6 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of rows that are not held out teach; every document is scored."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = held_out(F.col("doc_id"), 3, 1)
-    model = train(docs.filter(~out), labels)
+    model = train(docs.filter(~out), labels.filter(~out))
     rows = docs.select("doc_id", out.alias("held_out"), "text")
     return scored(rows, model).select("doc_id", "held_out", "score", "predicted")

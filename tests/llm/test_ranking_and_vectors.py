@@ -78,8 +78,9 @@ def test_toxic_words_are_learnt(spark):
 
 
 def test_bounded_fit_learns_the_same(spark):
-    docs, labels = planted(spark)
-    found = toxicity.scored(docs, toxicity.train(docs, labels, fit_rows=150)).collect()
+    docs, labels = planted(spark, 3000)
+    assert 1000 < toxicity.labelled(docs, labels, 1200).count() < 1400 < toxicity.labelled(docs, labels).count()
+    found = toxicity.scored(docs, toxicity.train(docs, labels, fit_rows=1200)).collect()
     assert all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in found)
 
 
@@ -97,7 +98,7 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame(
         [(1, 1), (1, 0), (2, 1), (3, 0), (7, 0), (None, 1), (9, None), (99, 1), (10, 0), (10, 0)], "doc_id long, toxic int"
     )
-    assert {(r[0], r[2]) for r in toxicity.labelled(odd, labels).collect()} == {(1, 1), (2, 1), (3, 0), (7, 0), (10, 0)}
+    assert {(r["doc_id"], r["toxic"]) for r in toxicity.labelled(odd, labels).collect()} == {(1, 1), (2, 1), (3, 0), (7, 0), (10, 0)}
     docs = odd.withColumn("score", F.lit("old"))
     rows = toxicity.scored(docs, toxicity.train(docs, labels)).collect()
     assert len(rows) == odd.count() and rows[0].asDict().keys() == {*odd.columns, "score", "predicted"}
