@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import zipfile
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.checks.registry import check
 from tarnlake.operators.columns import apply_schema, with_date_parts
-from tarnlake.session import Lake, work_path
+from tarnlake.session import Lake, keep, work_path
 from tarnlake.sources import files, readers, writers, xlsx
 
 DATABASE = "tarn_checks"
@@ -74,46 +75,61 @@ def _(lake):
     )
 
 
-def _workbook(header: list[str], rows) -> bytes:
-    """A minimal workbook with inline texts."""
+def _workbook(header: list[str], rows, notes: list[str]) -> bytes:
+    """A small workbook: texts inline, numbers, and dates as days since 1899-12-30 in a date style; a second sheet with notes."""
 
-    def line(number: int, values) -> str:
-        cells = "".join(f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for v in values)
-        return f'<row r="{number}">{cells}</row>'
+    def cell(value) -> str:
+        if isinstance(value, datetime.date):
+            return f'<c s="1"><v>{(value - datetime.date(1899, 12, 30)).days}</v></c>'
+        if isinstance(value, str):
+            return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
+        return f"<c><v>{value!r}</v></c>"
+
+    def sheet(lines) -> str:
+        body = "".join(f'<row r="{i}">{"".join(map(cell, values))}</row>' for i, values in enumerate(lines, 1))
+        return f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>"
 
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    body = "".join(line(i, values) for i, values in enumerate([header, *rows], 1))
+    members = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Rows" sheetId="1" r:id="a"/>'
+        '<sheet name="Notes" sheetId="2" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        f'<Relationship Id="a" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
+        f'<Relationship Id="b" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {main}><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": sheet([header, *rows]),
+        "xl/worksheets/sheet2.xml": sheet([["note"], *[[n] for n in notes]]),
+    }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr(
-            "xl/workbook.xml",
-            f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Rows" sheetId="1" r:id="a"/></sheets></workbook>',
-        )
-        book.writestr(
-            "xl/_rels/workbook.xml.rels",
-            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            f'<Relationship Id="a" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        )
-        book.writestr(
-            "xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>"
-        )
+        for name, content in members.items():
+            book.writestr(name, content)
     return out.getvalue()
 
 
-@check("src_05_excel", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+@check(
+    "src_05_excel",
+    """SELECT c_custkey, c_name, c_acctbal, CAST(DATE '2000-01-01' + c_nationkey AS DATE) AS joined, NULL::VARCHAR AS note
+       FROM customer UNION ALL SELECT c_custkey, NULL, NULL, NULL, c_mktsegment FROM customer""",
+)
 def _(lake):
-    header = ["c_custkey", "c_name", "c_mktsegment"]
+    header = ["c_custkey", "c_name", "c_acctbal", "joined"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             name = f"{batch['c_custkey'].iloc[0]}.xlsx"
-            content = _workbook(header, batch[header].itertuples(index=False))
+            notes = [f"{k} {segment}" for k, segment in zip(batch["c_custkey"], batch["c_mktsegment"], strict=True)]
+            content = _workbook(header, batch[header].itertuples(index=False), notes)
             yield pd.DataFrame({"path": [name], "content": [content]})
 
-    books = lake.customer.select(*header).mapInPandas(pack, "path string, content binary")
-    cells = xlsx.unpack(books)
-    return apply_schema(xlsx.sheet_frame(cells, header), {"c_custkey": "bigint"})[0]
+    customers = lake.customer.withColumn("joined", F.expr("date_add(DATE '2000-01-01', c_nationkey)"))
+    # both sheets from the same workbooks
+    books = keep(customers.mapInPandas(pack, "path string, content binary"), "books")
+    notes = xlsx.workbook_frame(books, "Notes").select(
+        F.substring_index("note", " ", 1).cast("long").alias("c_custkey"), F.substring_index("note", " ", -1).alias("note")
+    )
+    return xlsx.workbook_frame(books, typed=True).unionByName(notes, allowMissingColumns=True)
 
 
 @check("src_07_catalog_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tarnlake.functions.text import snake_name
 from tarnlake.operators.columns import consistent_schema, with_date_parts, with_update_audit
 from tarnlake.operators.contracts import validate_schema
 from tarnlake.operators.enrich import apply_tool
 from tarnlake.operators.quality import quality_gate
-from tarnlake.operators.sets import concatenate
 from tarnlake.plans.catalog import load_report
-from tarnlake.sources.files import discover_files
-from tarnlake.sources.readers import FORMATS, read_any
+from tarnlake.sources.layouts import read_tables
+from tarnlake.sources.readers import read_any
 from tarnlake.sources.writers import (
     add_table_columns, append, create_or_update_table, staged_overwrite, use_database,
     write_partitioned, write_table,
@@ -80,46 +76,18 @@ def load_prefix(
 ) -> DataFrame:
     """Load everything below a prefix into one table per name, and report one row per table.
 
-    The files and folders directly below the prefix are the units; units whose names agree up to
-    the first dot form one table, matched by column name. Only units come to the driver.
+    The files and folders directly below the prefix are the units; units whose names agree up to the first dot form
+    one table. Its files may differ in format, order of columns, types and depth: columns meet by name, in a type that
+    holds all their values, and ``key=value`` folders are columns (see :mod:`tarnlake.sources.layouts`).
     """
-    root = re.sub(r"^[a-z0-9]+:/*", "/", prefix).rstrip("/")
-    below = rf"\Q{root}/\E([^/]+)(/?)"
-    units = (
-        discover_files(spark, prefix, extensions)
-        .select(
-            F.regexp_extract("path", below, 1).alias("unit"),
-            F.regexp_extract("path", below, 2).alias("folder"),
-            "format",
-        )
-        .distinct()
-        .collect()
-    )
-    groups: dict[str, list] = {}
-    for unit, folder, kind in sorted(tuple(u) for u in units):
-        place = f"{prefix.rstrip('/')}/{unit}"
-        frame = _read_folder(spark, place, kind, extensions) if folder else read_any(spark, place, kind)
-        groups.setdefault(snake_name(unit.split(".")[0]), []).append(frame)
     use_database(spark, database)
     loaded, locations = {}, {}
-    for table, frames in groups.items():
+    for table, rows in read_tables(spark, prefix, extensions).items():
         locations[table] = f"{target}/{table}"
-        loaded[table] = write_table(concatenate(frames), database, table, locations[table])
+        loaded[table] = write_table(rows, database, table, locations[table])
     return load_report(loaded, locations)
 
 
-def _read_folder(spark: SparkSession, folder: str, kind: str, extensions: list[str] | None = None) -> DataFrame:
-    """All files of one format at any depth below a folder, whatever the case of their endings; ones of
-    other formats are not read."""
-    endings = sorted(e for e, f in FORMATS.items() if f == kind and e in (extensions or FORMATS))
-    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings)
-    below = {"recursiveFileLookup": "true", "pathGlobFilter": f"*{{{either}}}"}
-    if kind in ("json", "jsonl"):
-        # a folder of JSON files holds JSON lines, as Spark writes them
-        return spark.read.options(**below).json(folder)
-    return read_any(spark, folder, kind, **below)
-
-
 def run_etl(
     spark: SparkSession,
     transformed: DataFrame,

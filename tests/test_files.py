@@ -127,9 +127,43 @@ def test_excel(spark, tmp_path):
     assert xlsx._column_number("AB7") == 27
 
 
+def test_number_formats():
+    shows = {
+        "d": ["yyyy-mm-dd", "[$-409]d mmm yyyy;@", "mmm-yy", '"on" dd.mm.yy', "m"],
+        "t": ["dd/mm/yyyy hh:mm", "yyyy\\-mm\\-dd\\ h:mm AM/PM"],
+        "h": ["h:mm AM/PM", "[h]:mm:ss", "mm:ss.0", "hh:mm"],
+        "n": ["General", "0.00", "[Red]0.00", "[White]#,##0", '0 "days"', "0.00E+00", "# ?/?", "0\\d", "_-* #,##0_-", "[Blue]General"],
+    }
+    for kind, codes in shows.items():
+        assert {c: xlsx.shown_as(c) for c in codes} == dict.fromkeys(codes, kind)
+
+
+def test_moments():
+    assert xlsx.moment(45296.0, "d", False) == ("2024-01-05", "d")
+    assert xlsx.moment(45296.75, "d", False) == ("2024-01-05 18:00:00", "t")
+    assert xlsx.moment(1.0, "d", False) == ("1900-01-01", "d")
+    assert xlsx.moment(61.0, "d", False) == ("1900-03-01", "d")
+    assert xlsx.moment(43834.0, "d", True) == ("2024-01-05", "d")
+    assert xlsx.moment(0.5, "h", False) == ("12:00:00", "s") and xlsx.moment(1.5, "h", False) == ("36:00:00", "s")
+    assert xlsx.moment(-3.0, "d", False) == ("-3", "w") and xlsx.moment(1e9, "t", False) == ("1000000000", "w")
+
+
+def test_excel_dates_and_types(spark, tmp_path):
+    import datetime
+
+    day = datetime.date(2024, 1, 5)
+    path = tmp_path / "dates.xlsx"
+    path.write_bytes(_workbook(["day", "n", "mixed"], [(day, 1, day), (day, 2.5, "soon"), (day, 3, 7)], ["x"]))
+    plain = readers.read_any(spark, str(path))
+    assert dict(plain.dtypes) == {"day": "date", "n": "string", "mixed": "string"}
+    assert rows(plain) == [(day, "1", "2024-01-05"), (day, "2.5", "soon"), (day, "3", "7")]
+    assert dict(readers.read_excel(spark, str(path), typed=True).dtypes) == {"day": "date", "n": "double", "mixed": "string"}
+    assert rows(readers.read_excel(spark, str(path), "Notes")) == [("x",)]
+
+
 def test_excel_in_many_batches(spark, tmp_path, monkeypatch):
     values = [(i, f"n{i} <&>") for i in range(5000)]
-    (tmp_path / "big.xlsx").write_bytes(_workbook(["id", "name"], values))
+    (tmp_path / "big.xlsx").write_bytes(_workbook(["id", "name"], values, []))
     df = readers.read_excel(spark, str(tmp_path / "big.xlsx"))
     assert df.count() == 5000
     assert df.filter("id = '4321'").first()["name"] == "n4321 <&>"
