@@ -36,19 +36,20 @@ def _(lake):
     )[0]
 
 
+def json_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of one JSON array per task, from records in the column r."""
+    opening = "["
+    for batch in batches:
+        yield pd.DataFrame({"value": [opening + batch["r"].iloc[0], *("," + batch["r"].iloc[1:])]})
+        opening = ","
+    yield pd.DataFrame({"value": ["]" if opening == "," else "[]"]})
+
+
 @check("src_02_json_documents", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(lake):
-    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The lines of one JSON array per task."""
-        opening = "["
-        for batch in batches:
-            yield pd.DataFrame({"value": [opening + batch["r"].iloc[0], *("," + batch["r"].iloc[1:])]})
-            opening = ","
-        yield pd.DataFrame({"value": ["]" if opening == "," else "[]"]})
-
     path = work_path(lake.spark, "json")
     records = lake.orders.select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("r"))
-    records.mapInPandas(document, "value string").write.text(path)
+    records.mapInPandas(json_array, "value string").write.text(path)
     schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
     return readers.read_json(lake.spark, path, schema)
 

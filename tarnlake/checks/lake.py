@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tarnlake.checks.files import scratch
+from tarnlake.checks.files import json_array, scratch
 from tarnlake.checks.registry import check
 from tarnlake.checks.relational import rounded
 from tarnlake.checks.values import nested_events
@@ -238,6 +238,28 @@ def _(lake):
     return table.selectExpr("o_orderkey AS id", "o_totalprice AS amount", "user_id")
 
 
+@check(
+    "wf_01_ingest_same_day",
+    """SELECT o_orderkey AS id, o_totalprice AS amount, 'u7' AS user_id, 1 + o_orderkey % 2 AS day FROM orders
+       UNION ALL SELECT c_custkey, c_acctbal, 'u7', 2 FROM customer""",
+)
+def _(lake):
+    # three files of one user: all rows stay, and a load that is run again, also on the next day, replaces its own
+    database, name, path = scratch(lake, "ingested")
+    source = work_path(lake.spark, "sources")
+    orders = lake.orders.selectExpr("o_orderkey AS id", "o_totalprice AS amount")
+    for part in (0, 1):
+        writers.write_as(orders.filter(F.pmod("id", F.lit(2)) == part), f"{source}/orders_{part}", "parquet")
+    writers.write_as(lake.customer.selectExpr("c_custkey AS id", "c_acctbal AS amount"), f"{source}/customers", "orc")
+    for file, kind, day in (
+        ("orders_0", "parquet", 1), ("orders_1", "parquet", 1), ("customers", "orc", 1),
+        ("orders_0", "parquet", 1), ("orders_1", "parquet", 2), ("customers", "orc", 2),
+    ):
+        at = NOW.replace(day=day)
+        table = loads.ingest_file(lake.spark, f"{source}/{file}", database, name, "u7", path, kind, at)
+    return table.select("id", "amount", "user_id", F.col("day").cast("long").alias("day"))
+
+
 @check(
     "wf_02_load_file",
     """SELECT 'loaded' AS kind, 0 AS rows_before, count(*) AS rows_read, count(*) AS rows_after, true AS complete,
@@ -274,24 +296,51 @@ def _(lake):
     return report.drop("location")
 
 
+def _rename_parts(spark, folder: str, old: str, new: str) -> None:
+    """Spark names its text files .txt; other programs name such documents .json."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(top):
+        name = status.getPath().getName()
+        if name.endswith(old):
+            store.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(top, name.removesuffix(old) + new))
+
+
 @check(
     "wf_03_load_prefix_rows",
-    """SELECT 'parts' AS table_name, p_partkey AS id, p_name AS name FROM part
-       UNION ALL SELECT 'parts', s_suppkey, s_name FROM supplier
-       UNION ALL SELECT 'parts', c_custkey, c_name FROM customer""",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, NULL::VARCHAR AS user_id, NULL::DOUBLE AS size FROM part
+       UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL, NULL FROM supplier
+       UNION ALL SELECT 'C' || c_custkey, c_name, 'u' || c_nationkey, NULL FROM customer
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL, o_totalprice FROM orders WHERE o_orderstatus = 'P'
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, NULL, 7 FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderpriority, NULL, NULL FROM orders WHERE o_orderstatus = 'O'""",
 )
 def _(lake):
-    # one folder with three formats at three depths
-    folder = work_path(lake.spark, "prefix") + "/Parts"
+    # one table in four units and five formats at several depths: columns in another order, partition folders, numbers
+    # and texts of one name, JSON documents beside lines, and a name with brackets
+    prefix = work_path(lake.spark, "prefix")
+    folder = f"{prefix}/Parts"
     writers.export_csv(lake.part.selectExpr("p_partkey AS id", "p_name AS name"), f"{folder}/2024")
     writers.write_as(lake.supplier.selectExpr("s_suppkey AS id", "s_name AS name"), f"{folder}/2024/01", "parquet")
-    writers.write_as(lake.customer.selectExpr("c_custkey AS id", "c_name AS name"), f"{folder}/2024/01/02", "json")
+    users = lake.customer.selectExpr("c_name AS NAME", "'C' || c_custkey AS id", "'u' || c_nationkey AS user_id")
+    users.write.partitionBy("user_id").option("header", True).csv(f"{folder}/2024/users")
+    writers.write_as(
+        lake.orders.filter("o_orderstatus = 'P'").selectExpr("o_totalprice AS size", "o_orderkey AS id"),
+        f"{prefix}/parts.old[1].json", "json",
+    )
+    documents = lake.orders.filter("o_orderstatus = 'F'").selectExpr("o_orderkey AS id", "7 AS size")
+    lines = documents.select(F.to_json(F.struct("id", "size")).alias("r")).mapInPandas(json_array, "value string")
+    lines.write.text(f"{prefix}/parts.documents")
+    _rename_parts(lake.spark, f"{prefix}/parts.documents", ".txt", ".json")
+    writers.write_as(
+        lake.orders.filter("o_orderstatus = 'O'").selectExpr("o_orderkey AS id", "o_orderpriority AS name"),
+        f"{prefix}/parts.orc", "orc",
+    )
     database, name, path = scratch(lake, "lake_rows")
     database = f"{database}_{name}"
     writers.use_database(lake.spark, database, f"{path}-database")
-    loads.load_prefix(lake.spark, folder.rpartition("/")[0], database, path).collect()
-    loaded = lake.spark.table(f"`{database}`.`parts`")
-    return loaded.select(F.lit("parts").alias("table_name"), F.col("id").cast("long").alias("id"), "name")
+    loads.load_prefix(lake.spark, prefix, database, path).collect()
+    return lake.spark.table(f"`{database}`.`parts`").select("id", "name", "user_id", "size")
 
 
 @check(

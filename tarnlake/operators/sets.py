@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tarnlake.operators.joins import compare_columns
 from tarnlake.names import quoted
 from tarnlake.operators.keys import row_key, row_keys
+from tarnlake.operators.lattice import conformed, merged_schema
 
 
 def schema_sets(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -44,5 +45,7 @@ def drop_duplicates(df: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def concatenate(frames: list[DataFrame]) -> DataFrame:
-    """Rows of all frames, matched by column name; a missing column is null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Rows of all frames, columns matched by name in any letter case; a missing column is null, and a column of
+    differing types has one that holds all its values (see :func:`tarnlake.operators.lattice.widened`)."""
+    schema = merged_schema([f.schema for f in frames])
+    return reduce(DataFrame.unionAll, [conformed(f, schema) for f in frames])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarnlake.names import literal
 from tarnlake.operators.columns import consistent_schema, with_date_parts, with_update_audit
 from tarnlake.operators.contracts import validate_schema
 from tarnlake.operators.enrich import apply_tool
@@ -14,12 +17,12 @@ from tarnlake.plans.catalog import load_report
 from tarnlake.sources.layouts import read_tables
 from tarnlake.sources.readers import read_any
 from tarnlake.sources.writers import (
-    add_table_columns, append, create_or_update_table, staged_overwrite, use_database,
+    add_table_columns, append, create_or_update_table, remove_path, staged_overwrite, use_database,
     write_partitioned, write_table,
 )
 from tarnlake.types import catalog_name
 
-PARTITION_KEYS = ["user_id", "year", "month", "day"]
+PARTITION_KEYS = ["user_id", "year", "month", "day", "load_id"]
 
 
 def ingest_file(
@@ -31,18 +34,38 @@ def ingest_file(
     target: str,
     format: str | None = None,
     now: datetime | None = None,
+    load_id: str | None = None,
     **options,
 ) -> DataFrame:
-    """Read any file, add audit and date columns, write partitioned Parquet, register the table."""
+    """Read any file, add audit and date columns, write partitioned Parquet, register the table.
+
+    A load of a user is named by ``load_id`` (by default a digest of the path) and owns the partition of that name: run
+    again, on the same day or later, it replaces its own rows, while other loads of that user and day stay. The rows of
+    an earlier run go last, so a failure leaves them until the load is run once more.
+    """
+    load = load_id or hashlib.sha256(path.encode()).hexdigest()[:16]
     rows = with_date_parts(
         with_update_audit(read_any(spark, path, format, **options), user, now), "updated_at"
-    )
-    # other users' and days' rows stay
+    ).withColumn("load_id", F.lit(load))
     write_partitioned(rows, target, PARTITION_KEYS, dynamic=True)
     columns = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     create_or_update_table(spark, database, table, columns, location=target, partitions=PARTITION_KEYS)
-    spark.catalog.recoverPartitions(f"`{database}`.`{table}`")
-    return spark.table(f"`{database}`.`{table}`")
+    name = f"`{database}`.`{table}`"
+    spark.catalog.recoverPartitions(name)
+    _drop_earlier_runs(spark, name, target, user, load)
+    return spark.table(name)
+
+
+def _drop_earlier_runs(spark: SparkSession, name: str, target: str, user: str, load: str) -> None:
+    """Drop the partitions that a load wrote on other days than the last one: at most one per run, found in the catalog."""
+    mine = f"user_id = {literal(user)}, load_id = {literal(load)}"
+    days = []
+    for row in spark.sql(f"SHOW PARTITIONS {name} PARTITION ({mine})").collect():
+        parts = dict(p.split("=", 1) for p in row["partition"].split("/"))
+        days.append((int(parts["year"]), int(parts["month"]), int(parts["day"]), row["partition"]))
+    for year, month, day, folder in sorted(days)[:-1]:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({mine}, year = {year}, month = {month}, day = {day})")
+        remove_path(spark, f"{target}/{folder}")
 
 
 def load_file(

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import types as T
 
+from tarnlake.operators import lattice, sets
 from tarnlake.plans import loads
 from tarnlake.sources import layouts
 
@@ -125,7 +126,7 @@ def test_many_small_files_need_few_jobs(spark, base):
 
 
 def test_lattice():
-    kind = lambda a, b: layouts.widened(a, b).simpleString()
+    kind = lambda a, b: lattice.widened(a, b).simpleString()
     whole, real, text, day = T.LongType(), T.DoubleType(), T.StringType(), T.DateType()
     assert [kind(whole, real), kind(whole, text), kind(day, text), kind(day, T.TimestampType())] == [
         "double", "string", "string", "timestamp"]
@@ -134,3 +135,17 @@ def test_lattice():
     assert kind(T.DecimalType(38, 0), T.DecimalType(10, 4)) == "double"
     assert kind(T.ArrayType(whole), T.ArrayType(text)) == "array<string>"
     assert kind(T.ArrayType(whole), whole) == "string" and kind(T.NullType(), day) == "date"
+
+
+def test_concatenation_of_differing_types(spark):
+    """Nested fields by name, numbers beside texts, dates beside times, a column only one side has."""
+    left = spark.sql("SELECT 1 AS id, DATE'2024-01-05' AS at, named_struct('a', 1, 'b', 'x') AS s, array(1) AS l, map('k', 1) AS m, 1.5BD AS d")
+    right = spark.sql("SELECT 'K7' AS ID, TIMESTAMP'2024-01-06 10:00:00' AS at, named_struct('b', 7, 'c', 2D) AS s, array('z') AS l, map('k', 2L) AS m, 2 AS d, true AS only")
+    both = sets.concatenate([left, right])
+    assert dict(both.dtypes) == {"id": "string", "at": "timestamp", "s": "struct<a:int,b:string,c:double>", "l": "array<string>",
+                                 "m": "map<string,bigint>", "d": "decimal(21,1)", "only": "boolean"}
+    assert [(r["id"], str(r["at"]), tuple(r["s"]), r["l"], r["m"], float(r["d"]), r["only"]) for r in both.collect()] == [
+        ("1", "2024-01-05 00:00:00", (1, "x", None), ["1"], {"k": 1}, 1.5, None),
+        ("K7", "2024-01-06 10:00:00", (None, "7", 2.0), ["z"], {"k": 2}, 2.0, True)]
+    nested = sets.concatenate([spark.sql("SELECT array(1, 2) AS x"), spark.sql("SELECT 'text' AS x")])
+    assert [r[0] for r in nested.collect()] == ["[1,2]", "text"]
