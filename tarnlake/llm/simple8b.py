@@ -26,22 +26,8 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not total:
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64), np.empty(0, np.int64)
     places = np.arange(total, dtype=np.int64)
-    end_of = np.repeat(ends, lengths)
-    room = end_of - places
-    # the first selector of all that fits; from narrow to wide, so each place is set once
-    chosen = np.zeros(total, np.int8)
-    open_ = np.ones(total, bool)
-    smallest = int(ids.min())
-    for selector, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True), 1):
-        if smallest >> bits:
-            continue
-        wide = np.where(ids >> np.uint64(bits) != 0, places, total + 60)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = (next_wide - places >= np.minimum(count, room)) & open_
-        chosen[fits] = selector
-        open_ &= ~fits
-        if not open_.any():
-            break
+    room = np.repeat(ends, lengths) - places
+    chosen = _selectors(ids, lengths)
     steps = np.minimum(_COUNT_OF[chosen], room)
     steps[chosen == 0] = 1
     follow = (places + steps).tolist()
@@ -80,6 +66,39 @@ def encode(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return words, np.diff(upto, prepend=0), escapes
 
 
+def _selectors(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each place the first selector, from narrow to wide, of which all ids that its word would hold (up to the end
+    of the sequence) are narrow enough; 0 for an id of more than 60 bits."""
+    if int(ids.max()) < 1 << 32:
+        ids = ids.astype(np.uint32)
+    # the selector an id needs; sequences with room after them, where narrow ids stand
+    gap = max(COUNTS)
+    at = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)) * gap, lengths)
+    need = np.zeros(len(ids) + (len(lengths) + 1) * gap, np.uint8)
+    kind = np.ones(len(ids), np.uint8)
+    for bits in BITS:
+        if 1 << bits > np.iinfo(ids.dtype).max:
+            break
+        kind += ids >= ids.dtype.type(1 << bits)
+    need[at] = kind
+    # widest[p][i]: the widest need of p places from i on, for powers of two
+    widest, reach = {1: need}, 1
+    while reach * 2 <= gap:
+        last = widest[reach]
+        widest[reach * 2] = last.copy()
+        np.maximum(last[:-reach], last[reach:], out=widest[reach * 2][:-reach])
+        reach *= 2
+    chosen = np.zeros(len(need), np.uint8)
+    for selector in range(len(COUNTS), 0, -1):
+        count = COUNTS[selector - 1]
+        part = 1 << (count.bit_length() - 1)
+        most = widest[part]
+        if count > part:
+            most = np.maximum(most[: len(most) - count + part], most[count - part :])
+        chosen[: len(most)][most <= selector] = selector
+    return chosen[at]
+
+
 def decode(words: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids the words have room for, and where the ids of each word start (one more at the end)."""
     selectors = (words >> np.uint64(60)).astype(np.int64)
