@@ -6,8 +6,8 @@ until one is missing and so has the level, and with it the count, without an n-g
 A missing n-gram is taken for a present one with the chance of a false hit, a level is at most raised.
 
 Counting, quantising and setting bits are distributed. The filter consists of blocks of 2^BLOCK_BITS bits
-and all bits of an n-gram lie in one block: counts are shuffled by block, a task owns whole blocks and
-writes each once. Its size follows the number of words and tokens without a ceiling, so false hits are as
+and all bits of an n-gram lie in one block: counts are shuffled, packed, by ranges of blocks, a task owns whole
+blocks and writes each once. Its size follows the number of words and tokens without a ceiling, so false hits are as
 rare at any size. A filter of up to 2^limit_bits bits is broadcast, as is the bounded table of the most
 frequent words; a larger one stays a table of blocks, and the n-grams of a group of texts are sent to the
 ranges of blocks that answer with their levels. Both ways ask the same bits, so scores are the same.
@@ -40,9 +40,11 @@ SCALE = 2.0
 PROBES = 4
 #: bits of the filter for each word and token, which bound the different words and pairs
 BITS_PER_NGRAM = 8
-#: largest filter that is broadcast: 2^31 bits, 256 MB
-LIMIT_BITS = 31
+#: largest filter that is broadcast: 2^30 bits, 128 MB, of which the driver holds three copies for a moment
+LIMIT_BITS = 30
 BLOCK_BITS = 18
+#: blocks that are built at once, in 4 MB
+FILLED = 16
 #: blocks of a larger filter that a task holds at once: 2 MB
 RANGE_BLOCKS = 64
 #: weight of the word's own probability against the counts of its pair
@@ -72,16 +74,30 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[starts], np.add.reduceat(counts, starts)
 
 
-def _count(hashes_in):
-    """(hash, n) of what ``hashes_in`` finds in the texts of a task, HELD tokens at a time."""
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+#: (range, hashes, counts): what a task counted for one range of hashes, as arrays, so that the shuffle moves a few
+#: rows and not one per n-gram
+PACKED = "range long, hashes binary, counts binary"
+
+
+def _packed_ranges(hashes: np.ndarray, counts: np.ndarray, range_of) -> Iterator[pa.RecordBatch]:
+    """Sorted different hashes with their counts, one row per range."""
+    ranges = range_of(hashes).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])[: len(ranges)])
+    parts = [[p.tobytes() for p in np.split(x, starts[1:])] for x in (hashes, counts)]
+    for at in range(0, len(starts), 256):
+        part = slice(at, at + 256)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ranges[starts[part]]), *(pa.array(p[part], pa.binary()) for p in parts)], names=["range", "hashes", "counts"]
+        )
+
+
+def _count(hashes_in, range_of):
+    """Packed counts of what ``hashes_in`` finds in the texts of a task, HELD tokens at a time."""
 
     def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate(held)
-        hashes, counts = _summed(hashes, np.ones(len(hashes), np.int64))
-        for at in range(0, len(hashes), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], schema=schema)
+        hashes = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        yield from _packed_ranges(hashes[starts], np.diff(starts, append=len(hashes)), range_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -99,6 +115,45 @@ def _count(hashes_in):
     return run
 
 
+def _pack(range_of):
+    """(hash, n) rows as packed counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, counts = _summed(batch.column("hash").to_numpy().view(np.uint64), batch.column("n").to_numpy())
+                yield from _packed_ranges(hashes, counts, range_of)
+
+    return run
+
+
+def _summed_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Packed counts sorted by range → (range, its hashes, their sums); one range is held at a time."""
+    at, held = None, []
+
+    def done() -> tuple[int, np.ndarray, np.ndarray]:
+        hashes, counts = (np.concatenate([np.frombuffer(h[k], kind) for h in held]) for k, kind in ((0, np.uint64), (1, np.int64)))
+        return (at, *_summed(hashes, counts))
+
+    for batch in batches:
+        for place, *arrays in zip(*(batch.column(c).to_pylist() for c in ("range", "hashes", "counts")), strict=True):
+            if held and place != at:
+                yield done()
+                held = []
+            at = place
+            held.append(arrays)
+    if held:
+        yield done()
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts sorted by range → (hash, n)."""
+    for _, hashes, counts in _summed_ranges(batches):
+        for at in range(0, len(hashes), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], names=["hash", "n"])
+
+
 def level_of(count: np.ndarray | int) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(SCALE) + 1e-9).astype(np.int64)
 
@@ -153,45 +208,26 @@ def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _fill(total: int):
-    """Sorted (hash, n) rows of whole blocks → (block, content). A hash that several tasks counted is
-    summed here, so no other aggregate is needed."""
+    """Packed counts sorted by range of blocks → (block, content); a task builds one range of blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, content = -1, None
-        rest_h, rest_n = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def done():
-            packed = np.packbits(content, bitorder="little").tobytes()
-            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "content": pa.array([packed], pa.binary())})
-
-        def parts():
-            nonlocal rest_h, rest_n
-            for batch in batches:
-                h = np.concatenate([rest_h, batch.column("hash").to_numpy().view(np.uint64)])
-                n = np.concatenate([rest_n, batch.column("n").to_numpy()])
-                if not len(h):
-                    continue
-                starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                h, n = h[starts], np.add.reduceat(n, starts)
-                rest_h, rest_n = h[-1:], n[-1:]  # the next batch may go on with it
-                yield h[:-1], n[:-1]
-            yield rest_h, rest_n
-
-        for h, n in parts():
-            blocks = block_of(h, total).astype(np.int64)
-            levels = level_of(n)
-            for b in np.unique(blocks).tolist():
-                if b != block:
-                    if content is not None:
-                        yield done()
-                    block, content = b, np.zeros(1 << BLOCK_BITS, bool)
-                mine = blocks == b
-                hashes, most = h[mine], levels[mine]
-                for level in range(1, int(most.max()) + 1):
-                    for bit in probe_bits(hashes[most >= level], level):
-                        content[bit] = True
-        if content is not None:
-            yield done()
+        for place, hashes, counts in _summed_ranges(batches):
+            first = place * FILLED
+            blocks = block_of(hashes, total) - np.uint64(first)
+            start, levels = blocks << np.uint64(BLOCK_BITS), level_of(counts)
+            content = np.zeros((FILLED, 1 << BLOCK_BITS), bool)
+            bits = content.reshape(-1)
+            for level in range(1, int(levels.max()) + 1):
+                if level > 1:
+                    has = levels >= level
+                    hashes, start, levels = hashes[has], start[has], levels[has]
+                for bit in probe_bits(hashes, level):
+                    bits[start | bit] = True
+            many = min(FILLED, total - first)
+            packed = [row.tobytes() for row in np.packbits(content[:many], axis=1, bitorder="little")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(first, first + many)), pa.array(packed, pa.binary())], names=["block", "content"]
+            )
 
     return run
 
@@ -247,27 +283,29 @@ def train(docs: DataFrame, limit_bits: int = LIMIT_BITS, frequent: int = FREQUEN
     """The model of all texts (null: empty), and the exact counts (hash, n) of all words.
 
     Texts are read twice: words first, whose totals size the filter, then pairs, which go straight into
-    the shuffle by block. ``limit_bits`` bounds what is broadcast, not the filter.
+    the shuffle by ranges of blocks. ``limit_bits`` bounds what is broadcast, not the filter.
     """
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select("text")
-    words = texts.mapInArrow(_count(lambda tokens: tokens), "hash long, n long")
-    words = keep(words.groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_range(packed: DataFrame) -> DataFrame:
+        return packed.repartition("range").sortWithinPartitions("range")
+
+    even = lambda hashes: block_of(hashes, parts)
+    words = by_range(texts.mapInArrow(_count(lambda tokens: tokens, even), PACKED))
+    words = keep(words.mapInArrow(_sums, "hash long, n long"), "words")
     facts = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     different, tokens = int(facts[0]), int(facts[1])
     # there are no more different pairs than tokens
     wanted = max(1, BITS_PER_NGRAM * (different + tokens))
     total = -(-wanted // (1 << BLOCK_BITS))
 
-    pairs = texts.mapInArrow(_count(pairs_of), "hash long, n long")
-    block = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(total).cast("long"), 32)
-    blocks = (
-        pairs.unionByName(words)
-        .repartition(block)
-        .sortWithinPartitions(F.col("hash") < 0, "hash")  # hashes are unsigned
-        .mapInArrow(_fill(total), "block long, content binary")
-    )
+    filled = lambda hashes: block_of(hashes, total) // np.uint64(FILLED)
+    pairs = texts.mapInArrow(_count(pairs_of, filled), PACKED)
+    blocks = by_range(pairs.unionByName(words.mapInArrow(_pack(filled), PACKED)))
+    blocks = blocks.mapInArrow(_fill(total), "block long, content binary")
     counts, stored = None, None
     if wanted <= 1 << limit_bits:
         contents = blocks.toArrow()  # bounded by 2^limit_bits bits
