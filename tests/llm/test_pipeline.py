@@ -19,7 +19,8 @@ def test_stages(spark, folder, tmp_path):
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
         counts.append(docs.count())
         if name == "near_duplicates":
-            kept = {r[0] for r in minhash.near_duplicates(before).filter("kept").select("doc_id").collect()}
+            found = minhash.near_duplicates(before, percent=corpus_pipeline.PERCENT, bands=corpus_pipeline.BANDS)
+            kept = {r[0] for r in found.filter("kept").select("doc_id").collect()}
             assert {r[0] for r in docs.select("doc_id").collect()} == kept
         if name == "decontamination":
             hit = decontamination.report(decontamination.hits(before, table(spark, folder, "benchmark"))).filter("contaminated")
