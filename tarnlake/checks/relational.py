@@ -391,6 +391,27 @@ def _(lake):
     )
 
 
+@check(
+    "srt_05_deep_page",
+    f"""(SELECT 'text' AS kind, o_orderkey AS id FROM orders ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 40 OFFSET 1000)
+        UNION ALL (SELECT 'date', event_id FROM events ORDER BY CAST(ts AS DATE), event_id LIMIT 40 OFFSET 600)
+        UNION ALL (SELECT 'nullable', event_id FROM {DIRTY} ORDER BY event_type NULLS FIRST, event_id LIMIT 40 OFFSET 720)""",
+)
+def _(lake):
+    # so few rows at once that the pages lie deep on small tables as well
+    days = lake.events.select("event_id", F.col("ts").cast("date").alias("day"))
+    pages = [
+        ("text", lake.orders, 25, ["o_orderpriority", "o_orderdate", "o_orderkey"]),
+        ("date", days, 15, ["day", "event_id"]),
+        ("nullable", dirty_events(lake).select("event_id", "event_type"), 18, ["event_type", "event_id"]),
+    ]
+    found = [
+        srt.page(df, number, 40, order, shallow=200).select(F.lit(kind).alias("kind"), F.col(order[-1]).alias("id"))
+        for kind, df, number, order in pages
+    ]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @check(
     "srt_06_newest_first",
     f"SELECT event_id, date FROM {DIRTY} ORDER BY date DESC NULLS LAST, event_id",

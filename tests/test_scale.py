@@ -1,6 +1,8 @@
 """Operators that must stay exact when one key holds much of the data, against brute force."""
 
+import math
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -121,6 +123,51 @@ def test_exact_quantiles(spark, seed):
             assert got[c][name] == pytest.approx(want[c][q], rel=1e-12)
 
 
+SMALLEST = 5e-324
+WILD = {
+    "log-uniform": lambda rng: [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(2000)],
+    "denormal": lambda rng: [k * SMALLEST for k in (0, 1, 2, 2, 3, 5, 8, 1000)] + [-SMALLEST, 1e-310],
+    "infinite": lambda rng: [math.inf] * 30 + [-math.inf] * 20 + [rng.gauss(0, 1e5) for _ in range(200)],
+    "full range": lambda rng: [1.7976931348623157e308, -1.7976931348623157e308, 0.0, -0.0, SMALLEST, -SMALLEST, 1.0, -1.0] * 40,
+    "neighbours": lambda rng: [math.nextafter(1.0, 2.0) + k * 2.0**-52 for k in range(500)],
+    "outlier": lambda rng: [1e300] + [rng.random() * 1e-5 for _ in range(999)],
+    "whole": lambda rng: [float(rng.randrange(-(1 << 62), 1 << 62)) for _ in range(999)],
+}
+
+
+@pytest.mark.parametrize("shape", sorted(WILD))
+def test_quantiles_end_in_a_few_passes(spark, monkeypatch, shape):
+    values = WILD[shape](random.Random(7))
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    passes = []
+    monkeypatch.setattr(ranks, "_histograms", lambda *a, f=ranks._histograms: passes.append(1) or f(*a))
+    got = ranks.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0])["x"]
+    ordered = sorted(values)
+    for p, found in zip((0.0, 0.25, 0.5, 0.75, 1.0), got, strict=True):
+        at = p * (len(ordered) - 1)
+        low, high = ordered[int(at)], ordered[min(int(at) + 1, len(ordered) - 1)]
+        assert found == (low if low == high else low + (high - low) * (at - int(at)))
+    assert len(passes) <= 7
+
+
+def test_quantiles_of_large_whole_numbers(spark):
+    values = [(1 << 53) + k for k in range(200)] + [-(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(v, f"{v}.5") for v in values], "x bigint, t string").selectExpr("x", "CAST(t AS DECIMAL(30, 1)) AS d")
+    want = sorted(map(float, values))
+    for name in ("x", "d"):
+        assert ranks.exact_quantiles(df, [name], [0.0, 1.0])[name] == [want[0], want[-1]]
+        assert want[99] <= ranks.exact_quantiles(df, [name], [0.5])[name][0] <= want[103]
+
+
+def test_later_passes_push_their_ranges(spark, tmp_path):
+    spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x", "id AS n").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = ranks.open_values(df, [("x", 3.0, 4.0)])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(x,3.0)" in plan and "LessThanOrEqual(x,4.0)" in plan
+    plan = ranks.open_values(df, [("n", 3.0, 4.0)])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(n,-2045)" in plan and "LessThanOrEqual(n,2052)" in plan
+
+
 def test_quantiles_without_values(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert ranks.exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
@@ -145,6 +192,39 @@ def test_text_order_pages(hot):
     assert [r["pos"] for r in got.collect()] == ordered[3000:3030]
 
 
+def limits(df):
+    """The limits of all TakeOrderedAndProject nodes of a plan."""
+    return [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", df._jdf.queryExecution().toString())]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(20,3)", "double", "binary", "boolean"])
+def test_deep_pages_by_any_type(spark, kind):
+    """A third of the rows have one value, a tenth have none; tasks keep few rows."""
+    value = {
+        "date": "date_add(DATE'2024-01-01', CAST(id % 400 AS INT))",
+        "timestamp": "TIMESTAMP'2024-10-27 00:00:00' + make_dt_interval(0, 0, CAST(id % 997 AS INT), 0.000001)",
+        "timestamp_ntz": "TIMESTAMP_NTZ'2024-10-27 00:00:00' + make_dt_interval(0, 0, CAST(id % 997 AS INT), 0.000001)",
+        "binary": "CAST(CAST(id % 900 AS STRING) AS BINARY)",
+        "double": "CASE WHEN id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE id / 3.0 END",
+        "boolean": "id % 2 = 0",
+    }.get(kind, f"CAST(id % 900 AS {kind})")
+    df = spark.range(5000).selectExpr(
+        f"CAST(CASE WHEN id % 10 = 1 THEN NULL WHEN id % 3 = 0 THEN {value.replace('id ', '(id * 0 + 6) ')} ELSE {value} END AS {kind}) AS k",
+        "id AS `i.d`",
+    ).repartition(7)
+    ordered = [r["i.d"] for r in df.orderBy("k", "`i.d`").collect()]
+    for number in (3, 40, 250, 333, 499):
+        got = ordering.page(df, number, 10, ["k", "i.d"], shallow=150)
+        assert [r["i.d"] for r in got.collect()] == ordered[number * 10 : number * 10 + 10]
+        assert limits(got) and max(limits(got)) <= 160
+    assert ordering.page(df, 900, 10, ["k", "i.d"], shallow=150).collect() == []
+
+
+def test_page_among_equal_rows(spark):
+    df = spark.range(1000).selectExpr("1 AS k", "id")
+    assert ordering.page(df, 30, 10, ["k"], shallow=50).count() == 10
+
+
 def test_sort_with_nulls(spark):
     df = spark.createDataFrame([(2, "b"), (None, "a"), (1, "c"), (2, "a")], "x int, y string")
     assert rows(ordering.sort_nulls_last(df, "x")) == [(1, "c"), (2, "a"), (2, "b"), (None, "a")]
