@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnlake.checks.registry import check
 from tarnlake.session import Lake, work_path
 from tarnlake.streaming import events as stm
+from tarnlake.streaming import retention
 
 
 def _source(lake: Lake) -> str:
@@ -51,14 +52,30 @@ def _(lake):
     return stm.recent(lake.events, 1440).select("event_id", "event_type")
 
 
+@check(
+    "stm_02_retained_stream",
+    """SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1440 MINUTE""",
+)
+def _(lake):
+    changes = retention.retained_changes(_stream(lake), "user_id", "event_id", 1440)
+    return retention.retained(_written(lake, changes, "retained"), "user_id", "event_id").select("event_id", "user_id", "event_type")
+
+
 @check(
     "stm_03_sync_changed",
     "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type",
 )
 def _(lake):
     target, checkpoint = work_path(lake.spark, "synced"), work_path(lake.spark, "synced-checkpoint")
-    for _run in range(2):  # the second run finds nothing new
-        stm.sync_changed(lake.spark, _source(lake), lake.events.schema, target, checkpoint)
+    source = work_path(lake.spark, "source")
+    lake.events.filter("event_id % 3 < 2").write.parquet(source)
+    lake.events.filter("event_id % 3 = 0").write.mode("append").parquet(source)  # twice: gone before the last run
+    for part in (None, 1, 2):
+        if part:
+            lake.events.filter("event_id % 2 = 0" if part == 1 else "event_id % 2 = 1").write.mode(
+                "overwrite" if part == 1 else "append"
+            ).parquet(source)
+        stm.sync_changed(lake.spark, source, lake.events.schema, target, checkpoint)
     return lake.spark.read.parquet(target).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
     )

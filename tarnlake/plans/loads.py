@@ -17,8 +17,8 @@ from tarnlake.plans.catalog import load_report
 from tarnlake.sources.layouts import read_tables
 from tarnlake.sources.readers import read_any
 from tarnlake.sources.writers import (
-    add_table_columns, append, create_or_update_table, remove_path, staged_overwrite, use_database,
-    write_partitioned, write_table,
+    append, create_or_update_table, remove_path, replace_table, use_database, write_partitioned,
+    write_table,
 )
 from tarnlake.types import catalog_name
 
@@ -171,16 +171,7 @@ def enrich_table(
     staging: str,
     scorer=None,
 ) -> DataFrame:
-    """Add the columns of a text tool to a stored Parquet table: read all files, drop empty rows,
-    score, replace the files by a staged write, then add the columns to the catalog."""
+    """Add the columns of a text tool to a stored Parquet table: read all files, drop empty rows, score, and replace
+    the table, partitions as they were: with one write to a new folder below ``staging``, to which the catalog is pointed."""
     out = apply_tool(spark.read.parquet(path), tool_id, columns, scorer)
-    name = f"`{database}`.`{table}`"
-    keys = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-    written = staged_overwrite(out, path, staging, keys)
-    add_table_columns(
-        spark, database, table, {f.name: f.dataType.simpleString() for f in written.schema.fields}
-    )
-    if keys:
-        spark.catalog.recoverPartitions(name)
-    spark.catalog.refreshTable(name)
-    return spark.table(name)
+    return replace_table(out, database, table, staging)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -157,42 +159,98 @@ def ctas(
     return spark.table(name)
 
 
+def _write_checked(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Write Parquet and read it back: columns and row count must be those of ``df``, else the files go."""
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    try:
+        if keys:
+            write_partitioned(observed, path, keys)
+        else:
+            observed.write.mode("overwrite").option("compression", "snappy").parquet(path)
+        # the files say what was written; a table without rows has no partition folders to read
+        copy = df.sparkSession.read.parquet(path) if not keys or not df.isEmpty() else df
+        if sorted(copy.columns) != sorted(df.columns):
+            raise ValueError(f"written columns {copy.columns} differ from {df.columns}")
+        expected, got = seen.get["rows"], copy.count()
+        if got != expected:
+            raise ValueError(f"written {got} of {expected} rows")
+    except Exception:
+        remove_path(df.sparkSession, path)
+        raise
+
+
 def staged_overwrite(df: DataFrame, target: str, staging: str, keys: list[str] | None = None) -> DataFrame:
     """Replace the Parquet folder ``target``, partitioned by ``keys``, which ``df`` may itself read.
 
-    The rows go to ``staging`` first and are read back; only when columns and row count agree is
-    the target overwritten from the staging copy. On a mismatch the target stays untouched; the staging
-    copy goes in either case, unless the last step fails, when it is the only whole copy.
+    The rows are written once, to ``staging``, and read back; only when columns and row count agree does the staging
+    folder take the target's place, by renaming, and the old files go last. Until then the target stays as it
+    is. Where renaming is slow or not atomic (object stores), replace the table of a catalog: :func:`replace_table`.
     """
     spark = df.sparkSession
-    seen = Observation()
-    keys = keys or []
+    _write_checked(df, staging, keys or [])
+    old = f"{target.rstrip('/')}-{uuid.uuid4().hex[:12]}"
+    moved = path_exists(spark, target) and _rename(spark, target, old)
     try:
-        observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        observed.write.mode("overwrite").option("compression", "snappy").parquet(staging)
-        copy = spark.read.schema(df.schema).parquet(staging)
-        written = spark.read.parquet(staging).columns
-        if written != df.columns:
-            raise ValueError(f"staged columns {written} differ from {df.columns}")
-        expected, got = seen.get["rows"], copy.count()
-        if got != expected:
-            raise ValueError(f"staged {got} of {expected} rows")
+        if not _rename(spark, staging, target):
+            raise OSError(f"cannot rename {staging} to {target}")
     except Exception:
-        remove_path(spark, staging)
+        if moved:
+            _rename(spark, old, target)
         raise
-    if keys:
-        write_partitioned(copy, target, keys)
-    else:
-        copy.write.mode("overwrite").option("compression", "snappy").parquet(target)
-    remove_path(spark, staging)
+    if moved:
+        remove_path(spark, old)
     return spark.read.parquet(target)
 
 
+def replace_table(df: DataFrame, database: str, table: str, folder: str) -> DataFrame:
+    """Replace all rows of an external Parquet table, which ``df`` may itself read; partitions as they were, new columns
+    added.
+
+    The rows are written once, to a new folder below ``folder``, and read back; then the catalog is pointed there and the old
+    folder goes last. A failure before leaves the table as it was, and the new folder goes.
+    """
+    spark, name = df.sparkSession, _name(database, table)
+    keys = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    if described.get("Type") != "EXTERNAL":
+        raise ValueError(f"{name} is not external: its files go with its partitions")
+    old, new = described["Location"], f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    _write_checked(df, new, keys)
+    try:
+        add_table_columns(spark, database, table, {f.name: f.dataType.simpleString() for f in df.schema.fields})
+        _point(spark, name, new, bool(keys))
+    except Exception:
+        _point(spark, name, old, bool(keys))
+        remove_path(spark, new)
+        raise
+    remove_path(spark, old)
+    return spark.table(name)
+
+
+def _point(spark: SparkSession, name: str, folder: str, partitioned: bool) -> None:
+    """Let the catalog read an external table from another folder."""
+    spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(folder)}")
+    if partitioned:
+        for row in spark.sql(f"SHOW PARTITIONS {name}").collect():
+            parts = [p.split("=", 1) for p in row["partition"].split("/")]
+            spec = ", ".join(f"`{k}` = {literal(unquote(v))}" for k, v in parts if v != "__HIVE_DEFAULT_PARTITION__")
+            if len(parts) == spec.count(" = "):
+                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+        spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    return old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tarnlake.session import keep
+from tarnlake.sources.layouts import escaped
 from tarnlake.sources.writers import path_exists, remove_path
 
 
@@ -63,11 +64,11 @@ def recent(df: DataFrame, minutes: int = 10, time: str = "ts") -> DataFrame:
     return df.filter(F.col(time) >= bound).orderBy(F.col(time).desc())
 
 
-def recent_stream(df: DataFrame, minutes: int = 10, time: str = "ts") -> DataFrame:
-    """The stream form of :func:`recent`: repeated events are dropped while they are inside the
-    retention; events later than it are dropped as late."""
+def recent_stream(df: DataFrame, minutes: int = 10, time: str = "ts", identifier: str = "event_id") -> DataFrame:
+    """A stream without repeats: an event is dropped if one of its identifier came within ``minutes``, or if it is later
+    than that. What is retained at any time is kept by :mod:`tarnlake.streaming.retention`."""
     events = with_event_time(df, time).withWatermark(time, f"{int(minutes)} minutes")
-    return events.dropDuplicatesWithinWatermark(["event_id"])
+    return events.dropDuplicatesWithinWatermark([identifier])
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -85,39 +86,55 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 def sync_changed(
     spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str
-) -> StreamingQuery:
-    """Copy the files that are new since the last run into the target table folder.
-
-    The checkpoint remembers what was synced. Each batch replaces its own ``batch=`` partition, so
-    a batch that is run again after a failure leaves no repeated rows. If a file synced before is gone or
-    another one by now, the source was rewritten: the target is built anew from all its files.
+) -> dict[str, int]:
+    """Bring the target table folder to the files of the source as they are now; returns how many were new, changed
+    and gone.
+
+    Each source file owns one partition (``file=``, a digest of its path) of the target. A manifest in ``checkpoint``
+    holds path, size and time of the files as of the last run; new, changed and gone files are its differences to
+    the listing. Only their partitions are replaced or removed, and the manifest follows last: a run that fails, at any
+    step, leaves the other partitions as they are and is made up for by the next one.
     """
-    synced = f"{checkpoint.rstrip('/')}-files"
-    if path_exists(spark, synced):
-        known = spark.read.parquet(synced)
-        if not known.join(_listing(spark, source), known.columns, "left_anti").isEmpty():
-            for path in (target, checkpoint):
-                remove_path(spark, path)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(target)
-        )
-
-    query = (
-        stream_files(spark, source, schema)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    listing = _listing(spark, source).select("path", "length", "modificationTime", F.md5("path").alias("file"))
+    manifest = f"{checkpoint.rstrip('/')}/manifest"
+    known, run = listing.limit(0), 0
+    if path_exists(spark, manifest):
+        runs = spark.read.parquet(manifest)
+        run = runs.agg(F.max("run")).first()[0] or 0
+        known = runs.filter(F.col("run") == run).drop("run")
+    listing = keep(listing, "listing")  # one listing decides
+    old = known.select("file", F.struct("length", "modificationTime").alias("was"))
+    both = listing.select("file", "path", F.struct("length", "modificationTime").alias("now")).join(old, "file", "full")
+    changes = both.filter(~F.col("was").eqNullSafe(F.col("now"))).select("file", "path", "was", "now").collect()
+    gone = [c["file"] for c in changes if c["now"] is None]
+    fresh = [c for c in changes if c["now"] is not None]
+    if fresh:
+        _copy_files(spark, [c["path"] for c in fresh], schema, target, {c["file"] for c in fresh if c["was"] is not None})
+    for file in gone:
+        remove_path(spark, f"{target}/file={file}")
+    if changes or not run:
+        listing.withColumn("run", F.lit(run + 1)).write.mode("append").partitionBy("run").parquet(manifest)
+        if run:
+            remove_path(spark, f"{manifest}/run={run}")
+    new = sum(c["was"] is None for c in fresh)
+    return {"new": new, "changed": len(fresh) - new, "gone": len(gone)}
+
+
+def _copy_files(spark: SparkSession, paths: list[str], schema: StructType, target: str, known: set[str]) -> None:
+    """Write each file's rows into its partition; a known file that has no rows any more loses its partition."""
+    uri = F.regexp_replace("_metadata.file_path", r"\+", "%2B")
+    path = F.regexp_replace(F.url_decode(uri), "^file:/+", "file:/")
+    rows = spark.read.schema(schema).parquet(*map(escaped, paths)).withColumn("file", F.md5(path))
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("file")
+        .parquet(target)
     )
-    query.awaitTermination()
-    _listing(spark, source).write.mode("overwrite").parquet(synced)
-    return query
+    if known:
+        filled = {r["file"] for r in rows.select("file").distinct().collect()}
+        for file in known - filled:
+            remove_path(spark, f"{target}/file={file}")
 
 
 def _listing(spark: SparkSession, source: str) -> DataFrame:

@@ -208,6 +208,46 @@ def test_staged_overwrite_keeps_target_on_failure(spark, tmp_path):
     assert not (tmp_path / "staging").exists()
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_replaced_table_survives_a_failure(spark, tmp_path, database, monkeypatch, keys):
+    """What fails after the write leaves the old rows, and the new files go; then the table is replaced with one write."""
+    df = spark.range(20).selectExpr("id", "CONCAT('a b', id % 2) AS k")
+    columns = {"id": "bigint", "k": "string"}
+    writers.create_or_update_table(spark, database, "r", columns, location=str(tmp_path / "r0"), partitions=keys)
+    writers.write_partitioned(df, str(tmp_path / "r0"), keys) if keys else writers.append(df, database, "r")
+    if keys:
+        spark.catalog.recoverPartitions(f"{database}.r")
+    table = lambda: sorted((r["id"], r["k"]) for r in spark.table(f"{database}.r").collect())
+    before = table()
+    half = spark.table(f"{database}.r").filter("id < 10").selectExpr("id", "id * 2 AS twice", "k")
+    point, calls = writers._point, []
+
+    def fails(*args):
+        calls.append(args)
+        point(*args)
+        if len(calls) == 1:
+            raise OSError("lost")
+
+    monkeypatch.setattr(writers, "_point", fails)
+    with pytest.raises(OSError, match="lost"):
+        writers.replace_table(half, database, "r", str(tmp_path / "versions"))
+    assert table() == before and not list((tmp_path / "versions").iterdir())
+    after = writers.replace_table(half, database, "r", str(tmp_path / "versions"))
+    assert sorted((r["id"], r["twice"], r["k"]) for r in after.collect()) == [(i, 2 * i, f"a b{i % 2}") for i in range(10)]
+    assert len(list((tmp_path / "versions").iterdir())) == 1 and not (tmp_path / "r0").exists()
+    assert [c.name for c in spark.catalog.listColumns(f"{database}.r") if c.isPartition] == keys
+
+
+def test_staged_overwrite_puts_the_target_back(spark, tmp_path, monkeypatch):
+    path, staging = str(tmp_path / "t"), str(tmp_path / "staging")
+    spark.range(10).write.parquet(path)
+    rename = writers._rename
+    monkeypatch.setattr(writers, "_rename", lambda s, a, b: a != staging and rename(s, a, b))
+    with pytest.raises(OSError, match="cannot rename"):
+        writers.staged_overwrite(spark.read.parquet(path).filter("id < 5"), path, staging)
+    assert spark.read.parquet(path).count() == 10
+
+
 def test_dynamic_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(100).selectExpr("id", "id % 3 AS k")
