@@ -99,6 +99,10 @@ class Encoder(dict):
     def text(self, text: bytes) -> bytes:
         if not self.simple or any(s in text for s in self.special):
             return self.slow(text)
+        # in lower case there are fewer pieces; not where that could make a special token, or change how a letter
+        # joins a combining mark (U+0300 to U+036F)
+        if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 

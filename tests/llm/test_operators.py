@@ -102,6 +102,20 @@ def test_simple8b_round_trip(seed):
         assert (ids[starts[at[k]] : starts[at[k]] + len(part)] == part).all()
 
 
+def test_lower_case_changes_no_token():
+    """Letters with combining marks, special tokens in other letter cases, and odd capitals."""
+    from tokenizers import Tokenizer
+
+    file = str(public_tokenizers.path("word_bpe_49k.json"))
+    whole, encoder = Tokenizer.from_file(file), tokens.Encoder(open(file, encoding="utf-8").read())
+    assert encoder.simple
+    marks, letters = "\u0300\u0307\u030a\u0331\u0338\u0345", "HIWYTAJKhiwytajk\u212a\u0130\u00df\u1e9e\u01c5"
+    texts = [f"{a}{m} x{a}{m}y, {a}." for a in letters for m in marks]
+    texts += ["<|EndOfText|> A", "A<|endoftext|>B", "<|ENDOFTEXT|>", "HELLO World. IT'S DON'T (X1) \u00c9COLE", "A\u00adB", "\ufb01N"]
+    for t in texts:
+        assert np.frombuffer(encoder.text(t.encode()), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_are_those_of_whole_texts(spark, odd, documents, name):
     from tokenizers import Tokenizer
