@@ -9,9 +9,14 @@ characters per tag adjusted for links. The node whose children's densities have
 the text is; the smallest density on the way from the body to it is the threshold, and every other subtree
 that reaches the threshold adds its own node of the largest sum.
 
-What a page says not to be text by its tag, role, or the words of its class and id goes before: menus,
-headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments. A form, or
-a part with such a name, that holds most of the page's text without links is around the main text and stays.
+What a page says not to be text by its tag, role, or a class or id goes before: menus, headers and footers of
+the page, sidebars, notices, adverts, forms, scripts, styles, reader comments. A class or id says so only as a whole:
+``ad-slot`` does, ``search-algorithms`` is about something. Headings, paragraphs and other elements that hold text
+itself go for no name but an advert's. A form, or a part with such a name, that holds most of the page's text without
+links is around the main text and stays.
+
+The work is linear in the page: each node is opened and closed once, and what an end tag ends is found by the open
+elements of its name, not by climbing.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ VOID = _split("area base br col embed hr img input link meta param source track
 RAW = _split("script style textarea title noscript iframe noembed noframes xmp")
 INLINE = _split(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rt rp s samp "
-    "small span strike strong sub sup time tt u var img wbr"
+    "small span strike strong sub sup time tt u var img wbr "
+    "math mi mo mn ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mtable "
+    "mtr mtd mlabeledtr mstyle mpadded mphantom menclose mfenced merror semantics annotation annotation-xml"
 )
 #: elements that an opening tag of theirs ends, up to one of the limits
 ENDS = {
@@ -54,11 +61,12 @@ LIMITS = _split(
     "header html li main nav ol section table tbody td tfoot th thead tr ul button object"
 )
 DROPPED = _split(
-    "head script style noscript template textarea title iframe object embed applet svg math canvas audio video select "
-    "button form input fieldset datalist nav footer aside menu dialog noembed noframes"
+    "head script style noscript template textarea title iframe object embed applet svg canvas audio video select "
+    "button form input fieldset datalist nav footer aside menu dialog noembed noframes "
+    "annotation annotation-xml"
 )
 ROLES = _split("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar note status")
-#: words of a class or id that say what a subtree is
+#: words that, with others of these and FILLING, make up a class or id that says what a subtree is
 WORDS = _split(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos "
     "promotion banner banners sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer "
@@ -66,6 +74,17 @@ WORDS = _split(
     "login comment comments respond disqus reply replies share sharing social related recommended widget widgets "
     "toolbar pagination pager disclaimer copyright form search"
 )
+#: words that say where or how such a part stands
+FILLING = _split(
+    "a all area areas article articles bar bars bottom box boxes btn button buttons block blocks col column container "
+    "content custom desktop field fixed float floating global google group head heading icon icons inline inner input item items "
+    "js left link links list lists main mobile module mobile outer page panel post posts primary right row rows secondary "
+    "section sections site slot slots small social sticky sub text thread title top trail twitter facebook ui unit units user users "
+    "view wide wrap wrapper zone"
+)
+#: elements that hold text itself
+TEXTUAL = _split("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody table caption pre blockquote figure figcaption")
+ADVERTS = _split("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors")
 #: words that mean a page's part only outside the text itself
 OUTER = _split("header")
 TEXT = _split("article main")
@@ -78,27 +97,45 @@ BESIDE = _split(
     "promotion comment comments respond disqus reply replies cookie cookies consent gdpr popup modal overlay disclaimer "
     "related recommended footer newsletter subscribe"
 )
-#: words of a name that tells what a part has, not what it is
-HAVING = _split("has with without no open closed enabled")
+#: elements out of which no article is taken
+SHUT = _split("nav aside footer dialog template")
 #: what a node is dropped for: always, unless it holds most of the text, and unless it also has no text beside it
 ALWAYS, UNLESS_MOST, UNLESS_ALL = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("chars", "children", "dropped", "inner", "link", "link_chars", "link_tags", "own", "parent", "tag", "tags")
+    __slots__ = (
+        "article", "chars", "children", "depth", "dropped", "inner", "limit", "link", "link_chars", "link_tags", "own", "parent",
+        "scope", "shut", "tag", "tags",
+    )
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.own = 0  # is it dropped for what it says of itself?
+        self.depth = 0 if parent is None else parent.depth + 1
+        # depth of the nearest element, itself included, that is not inline, and that limits paragraphs
+        self.scope = parent.scope if parent is not None and tag in INLINE else self.depth
+        self.limit = self.depth if parent is None or tag in LIMITS else parent.limit
         self.dropped = parent is not None and parent.dropped
         self.link = tag == "a" or (parent is not None and parent.link)
         self.inner = tag in TEXT or (parent is not None and parent.inner)
+        self.shut = tag in SHUT or (parent is not None and parent.shut)
+        # the nearest article or main element, itself included
+        self.article: Node | None = self if tag in TEXT else parent.article if parent is not None else None
         if parent is not None:
             parent.children.append(self)
 
 
+def _says(name: str, inner: bool) -> bool:
+    """Is this class or id one of a part that is not the text?"""
+    words = {w.lower() for w in _PART.findall(name)}
+    words = {w for w in words if len(w) > 1 and not w.isdigit()}
+    telling = words & WORDS or (words & OUTER if not inner else set())
+    return bool(telling) and words <= WORDS | FILLING | OUTER
+
+
 def _unwanted(tag: str, attrs: str, inner: bool) -> int:
     """0 for a node that is not dropped, else what it is dropped for."""
     around = tag in AROUND and (tag not in OUTER or not inner)
@@ -114,15 +151,18 @@ def _unwanted(tag: str, attrs: str, inner: bool) -> int:
         return ALWAYS
     if "display:none" in found.get("style", "").lower().replace(" ", ""):
         return ALWAYS
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    words = {w.lower() for w in _PART.findall(named)}
-    unwanted = bool(words & WORDS) and tag not in TEXT or bool(words & OUTER) and not inner or bool(
-        tag in TEXT and words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "related"}
-    )
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    words = [{w.lower() for w in _PART.findall(name)} for name in names]
+    if tag in TEXTUAL:
+        return UNLESS_ALL if any(w and w <= ADVERTS for w in words) else 0
+    if tag in TEXT:
+        unwanted = any(w and w <= ADVERTS | {"comment", "comments", "reply", "replies", "related"} for w in words)
+    else:
+        unwanted = any(_says(name, inner) for name in names)
     if not (unwanted or around or role in AROUND_ROLES):
         return 0
-    names = ({w.lower() for w in _PART.findall(name)} for name in named.split())
-    return UNLESS_ALL if any(n & BESIDE and not n & HAVING for n in names) else UNLESS_MOST
+    beside = any(w & BESIDE and (tag in TEXT or _says(name, inner)) for name, w in zip(names, words, strict=True))
+    return UNLESS_ALL if beside else UNLESS_MOST
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
@@ -136,9 +176,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
         if piece:
             runs.append((at, piece))
 
+    open_: dict[str, list[Node]] = {}  # the open elements of each name, the innermost last
+    endless: set[str] = set()  # raw elements without an end in the rest of the page
+
+    def innermost(name: str) -> Node | None:
+        nodes = open_.get(name)
+        return nodes[-1] if nodes else None
+
     def closed(to: Node) -> None:
         nonlocal at
-        at = to.parent
+        while at is not to.parent:
+            open_[at.tag].pop()
+            at = at.parent
 
     while place < end:
         token = _TOKEN.search(page, place)
@@ -157,39 +206,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
         attrs = token["attrs"] or token["attrs2"] or ""
         block = tag not in INLINE and tag != "br"
         if token["close"] or token["close2"]:
-            node = at
-            while node.parent is not None and node.tag != tag:
-                # the end of an inline element or a paragraph does not end what holds it
-                if (not block and node.tag not in INLINE) or (tag == "p" and node.tag in LIMITS):
-                    node = root
-                    break
-                node = node.parent
-            if node.parent is not None:
+            node = innermost(tag)
+            # the end of an inline element or a paragraph does not end what holds it
+            if node is not None and node.depth > (at.limit if tag == "p" else 0 if block else at.scope):
                 if block:
                     runs.append((at, None))
                 closed(node)
             continue
         if block:
             runs.append((at, None))
-            node = at
-            while node.parent is not None and node.tag != "p" and node.tag not in LIMITS:
-                node = node.parent
-            if node.tag == "p":
+            node = innermost("p")
+            if node is not None and node.depth > at.limit:
                 closed(node)
         if tag in ENDS:
             ended, limits = ENDS[tag]
-            node = at
-            while node.parent is not None and node.tag not in limits:
-                if node.tag in ended:
-                    closed(node)
-                node = node.parent
+            least = max((node.depth for node in map(innermost, limits) if node is not None), default=0)
+            for node in [n for n in map(innermost, ended) if n is not None]:
+                while node is not None and node.depth > least:
+                    if node.depth <= at.depth:
+                        closed(node)
+                    node = innermost(node.tag)
         if tag == "br":
             runs.append((at, " "))
         if tag == "a" and at.link:  # links do not nest
-            node = at
-            while node.parent is not None and node.tag != "a" and node.tag in INLINE:
-                node = node.parent
-            if node.tag == "a":
+            node = innermost("a")
+            if node is not None and node.depth > at.scope:
                 closed(node)
         node = Node(tag, at)
         node.own = _unwanted(tag, attrs, at.inner)
@@ -198,10 +239,15 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             if tag in VOID or tag in ("svg", "path"):
                 continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, place)
+            stop = None
+            if tag not in endless:
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, place)
+                if stop is None:
+                    endless.add(tag)
             place = stop.end() if stop else (end if tag in ("script", "style") else place)
             continue
         at = node
+        open_.setdefault(tag, []).append(node)
     runs.append((at, None))
     return root, runs
 
@@ -229,12 +275,8 @@ def main_text(page: str) -> str:
         todo.extend(reversed(node.children))
     # a form or the like around the text itself is no part to drop
     for node in order:
-        if node.tag in TEXT and node.dropped and not node.own:
-            up = node
-            while up is not None and up.tag not in ("nav", "aside", "footer", "dialog", "template"):
-                up = up.parent
-            if up is None:
-                _restore(node)
+        if node.tag in TEXT and node.dropped and not node.own and not node.shut:
+            _restore(node)
     _keep_most(order, runs)
     pieces: list[tuple[Node, str | None]] = []
     for node, piece in runs:
@@ -301,10 +343,7 @@ def main_text(page: str) -> str:
 
 def _article(node: Node) -> Node:
     """The article or main element around a node, else the node."""
-    up = node
-    while up is not None and up.tag not in TEXT:
-        up = up.parent
-    return node if up is None or up.dropped else up
+    return node if node.article is None or node.article.dropped else node.article
 
 
 def _keep_most(order: list[Node], runs: list[tuple[Node, str | None]]) -> None:
@@ -344,6 +383,6 @@ def _restore(node: Node) -> None:
             one.dropped = False
             todo.extend(one.children)
     up = node.parent
-    while up is not None:
+    while up is not None and up.dropped:  # above one that stays, all stay
         up.dropped = False
         up = up.parent

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -194,6 +196,125 @@ def test_long_parts_beside_a_short_text_stay_out(tag, part):
     assert main_text(f"<body><{tag}><p>{text}</p><p>{text}</p></{tag}>{said}</body>") == text + "\n" + text
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<p class='related'>{}</p>", "<p id='search-algorithms'>{}</p>", "<h2 id='social-sharing'>{}</h2>",
+        "<section id='banner-history'><p>{}</p></section>", "<div class='form-of-government'>{}</div>",
+        "<p><math><mi>{}</mi></math></p>", "<div class='has-ads'><p id=comment>{}</p></div>", "<td class='notice'>{}</td>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_parts_of_an_article_stay_for_what_they_are_about(tag, part):
+    text = "A paragraph that has a fair number of words in it, as text has."
+    said = "What this part of the article says is kept with all that is beside it."
+    assert main_text(f"<body><{tag}><p>{text}</p>{part.format(said)}<p>{text}</p></{tag}></body>") == "\n".join([text, said, text])
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ad", "ad-slot", "google_ads", "ad300x250", "sidebar", "left-sidebar", "user-comments", "comment-list", "related-posts", "shareButtons",
+     "cookie-banner", "site-footer", "breadcrumb", "newsletter-signup-box", "sponsored-content", "nav-main"],
+)
+def test_parts_named_as_such_go(name):
+    text = "A paragraph that has a fair number of words in it, as text has."
+    page = "<body><article><p>{0}</p><div {1}><p>Gone.</p></div><p>{0}</p></article></body>"
+    assert main_text(page.format(text, f"class='x {name}'")) == main_text(page.format(text, f"id={name}")) == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "x", "<b></i>" * 50_000, "<x-y>" * 100_000 + "x", "<ul>" + "<li><b>" * 50_000 + "x", "<nav>" + "<article>" * 50_000,
+     "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<title>" * 50_000, "<article class=ad>" * 50_000 + "x", "<form>" * 50_000 + "x", "<a '" * 50_000],
+)
+def test_main_text_is_linear_in_depth(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 15
+
+
+def brute_main_text(page):
+    """By the definition: densities and sums of every element of a well-formed page, subtrees that reach the threshold."""
+    body = ElementTree.fromstring(page)
+    inline = {"a", "b", "span"}
+    up = {c: e for e in body.iter() for c in e}
+
+    def size(e, links_only=False, inside=False):
+        inside = inside or e.tag == "a"
+        own = [e.text, *(c.tail for c in e)]
+        n = sum(len("".join((t or "").split())) for t in own) if inside or not links_only else 0
+        return n + sum(size(c, links_only, inside) for c in e)
+
+    within = lambda e: any(a.tag == "a" for a in ancestors(e))
+
+    def ancestors(e):
+        while e in up:
+            e = up[e]
+            yield e
+
+    total, links = size(body), size(body, True)
+
+    def density(e):
+        c, lc = size(e), size(e, True, within(e))
+        if not c:
+            return 0.0
+        t, lt = max(1, sum(1 for _ in e.iter()) - 1), max(1, sum(x.tag == "a" for x in e.iter()) - (e.tag == "a"))
+        base = math.log(c / max(1, c - lc) * lc + links / max(1, total) * c + math.e)
+        ratio = c / max(1, lc) * t / lt
+        adjust = math.log(ratio) / math.log(base) if base > 1.0000001 else 1.0 + math.log(max(ratio, 1.0))
+        return c / t * max(adjust, 0.0)
+
+    densities = {e: density(e) for e in body.iter()}
+    sums = {e: sum(densities[c] for c in e if c.tag not in inline) for e in body.iter() if e.tag not in inline}
+    best = lambda e: max((x for x in e.iter() if x in sums), key=lambda x: sums[x])
+    chosen = best(body)
+    limit = min([densities[chosen], *(densities[a] for a in ancestors(chosen))])
+    marked, todo = set(), [body]
+    while todo:
+        e = todo.pop()
+        if densities[e] >= limit and size(e):
+            marked.add(best(e))
+            todo += [c for c in e if c in sums]
+    blocks, block = [], []
+
+    def walk(e, kept):
+        kept = kept or e in marked
+        edge = e.tag not in inline
+        if edge:
+            blocks.append(block.copy())
+            block.clear()
+        block.append((e.text or "") if kept else "")
+        for c in e:
+            walk(c, kept)
+            block.append((c.tail or "") if kept else "")
+        if edge:
+            blocks.append(block.copy())
+            block.clear()
+
+    walk(body, False)
+    found = [" ".join("".join(b).split()) for b in blocks]
+    return "\n".join(f for f in found if f)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_main_text_by_the_definition(seed):
+    random = np.random.default_rng(seed)
+
+    def element(depth):
+        tag = random.choice(["div", "div", "p", "section", "a", "b", "span"]) if depth else "body"
+        if tag in ("p", "a", "b", "span"):
+            inner = text() if tag != "p" else text() + "".join(f"<{t}>{text()}</{t}>{text()}" for t in random.choice(["a", "b"], random.integers(0, 3)))
+        else:
+            inner = "".join(text() + element(depth + 1) for _ in range(random.integers(1, 5))) if depth < 5 else text()
+        return f"<{tag}>{inner}</{tag}>"
+
+    def text():
+        return " ".join(f"w{random.integers(0, 999)}" for _ in range(random.choice([0, 1, 3, 20])))
+
+    page = element(0)
+    assert main_text(page) == brute_main_text(page)
+
+
 def test_main_texts_rows(spark):
     rows = [(1, None, None, "a"), (1, "u", "", "b"), (2, "u", PAGE, "c"), (2, "u", PAGE, "c"), (None, "u", "<p>x" * 20000, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
