@@ -5,7 +5,7 @@ its rank among the different blocks. Then adjacent names are paired, pairs are s
 the same way, and so on: after log2(blocks) rounds each document has one integer. Two documents have
 the same name after the same number of rounds exactly when their blocks are the same.
 
-Naming deals rows out by ranges of the value, ties separated by row, so many copies of one block lie
+Naming deals rows out by ranges of the value (of a block's digest), ties separated by row, so many copies of one block lie
 in many tasks. A task streams its sorted rows and numbers the values it meets; what continues the
 last value of the range before is seen from one row per range. Block contents travel once; everything
 after that is integers.
@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.llm.words import ready, table
+from tarnlake.names import quoted
 from tarnlake.session import keep
 
 #: bytes of a block
 BLOCK = 512
 #: what normalisation deletes
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: groups with at least this many rows, and this share of all rows, are broadcast: at most MOST_LARGE groups
+FEW, MOST_LARGE = 256, 1 << 12
 #: the partner of a name without one
 NOBODY = -1
 
@@ -102,13 +105,17 @@ def _number(values: list[str]):
     return run
 
 
-def named(df: DataFrame, values: list[str], ties: list[str]) -> DataFrame:
+def named(df: DataFrame, values: list[str], ties: list[str], by_digest: bool = False) -> DataFrame:
     """``df`` without ``values``, with ``name``: the rank (from 0) of the values among all different
-    values in the table. ``ties`` separate rows with equal values."""
-    by = [F.col(c) for c in (*values, *ties)]
-    sorted_rows = (
-        df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*by)
-    )
+    values in the table. ``ties`` separate rows with equal values.
+
+    ``by_digest`` is for one long value: rows are ranked by its SHA-256 before the value, so that the sample of which
+    Spark makes the ranges holds digests and not values. Values are compared as a whole all the same.
+    """
+    first = [F.sha2(F.col(values[0]), 256)] if by_digest else [F.col(c) for c in values]
+    ties_of = [F.col(c) for c in ties]
+    ranged = df.repartitionByRange(*first, *ties_of).withColumn("part", F.spark_partition_id())
+    sorted_rows = ranged.sortWithinPartitions(*first, *map(F.col, values), *ties_of)
     schema = T.StructType([*sorted_rows.schema.fields])
     for field in schema.fields:
         field.nullable = True
@@ -154,7 +161,7 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "row long, doc_id long, n_chars long, text_sha256 string, n long, i long, value binary",
     )
     # every row of the plan below starts from files: the first naming keeps its result
-    names = keep(named(blocks, ["value"], ["row", "i"]), "round")
+    names = keep(named(blocks, ["value"], ["row", "i"], by_digest=True), "round")
     most = names.agg(F.max("n")).first()[0] or 1
     facts = names.filter("i = 0").select("row", "doc_id", "n_chars", "text_sha256")
     single = names.filter("n = 1").select("row", F.lit(0).alias("rounds"), "name")
@@ -185,28 +192,51 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     null id last); of rows repeated with the same id and length one stays. An empty table gives no
     rows; other columns are not read.
     """
+    return _judged(docs, block).drop("n_chars")
+
+
+def _judged(docs: DataFrame, block: int) -> DataFrame:
     found = keep(identities(docs, block), "identities")
     # larger is better: more code points, then a smaller id, then an earlier row
     rank = F.struct("n_chars", (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("id"), (-F.col("row")).alias("row"))
-    groups = (
+    groups = keep(
         found.groupBy("rounds", "name")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct(rank.alias("rank"), "doc_id")).alias("best"))
-        .filter("group_size > 1")
+        .filter("group_size > 1"),
+        "groups",
     )
-    # a hot group is one row here; Spark splits the large partitions of the left side
-    return found.join(groups, ["rounds", "name"], "left").select(
+    # of groups with a share of the rows there are few: their results go to the rows, which stay where they are
+    large = F.col("group_size") >= max(FEW, found.count() // MOST_LARGE)
+    few = F.broadcast(groups.filter(large))
+    rows = found.join(few, ["rounds", "name"])
+    rest = found.join(few.select("rounds", "name"), ["rounds", "name"], "left_anti")
+    rows = rows.unionByName(rest.join(groups.filter(~large), ["rounds", "name"], "left"))
+    return rows.select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("best.rank.row") == -F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256",
+        "n_chars",
     )
 
 
 def without_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that stay, with all their columns (of rows with a repeated id the first)."""
-    kept = exact_duplicates(docs, block).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns: exactly one row of each different text, whatever the ids are."""
+    kept = _judged(docs, block).filter("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), F.col("n_chars").alias("_n")
+    )
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
+        F.col("doc_id").cast("long").alias("_doc"),
+        F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""), 256).alias("_own"),
+        F.char_length(text).cast("long").alias("_size"),
+    )
+    same = (F.col("_own") == F.col("_text")) & (F.col("_size") == F.col("_n")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    # rows that agree in all of these are repeats, of which any may stay
+    stay = rows.join(kept, same, "left_semi").dropDuplicates(["_own"])
+    return stay.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,10 @@ SMOOTHING = 0.5
 #: characters looked at at once
 SLICE = 1 << 16
 UNKNOWN = "und"
+#: a text is in none of the languages if its n-grams are this far from what the model has of its best one, on the way to
+#: buckets drawn at random; of fewer n-grams than JUDGED nothing is said
+MISFIT = 0.7
+JUDGED = 64
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -64,16 +68,32 @@ class Model:
         smooth = counts + SMOOTHING
         self.logs = np.log(smooth / smooth.sum(axis=0))
         self.prior = np.log(texts / texts.sum())
+        # mean log-probability of an n-gram of the training texts, and of a bucket drawn at random
+        self.own = (np.exp(self.logs) * self.logs).sum(axis=0)
+        self.chance = self.logs.mean(axis=0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The most probable language (the first of those that tie) and its posterior probability."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The most probable language (the first of those that tie), its posterior probability, and its misfit.
+
+        The misfit is where the mean log-probability of the text's n-grams lies between that of the training texts (0) and
+        chance (1). Among few languages the posterior of any longer text is near 1, also of one in none of them.
+        """
         if not self.languages or not text or not has_letter(text):
-            return UNKNOWN, 0.0
-        score = self.prior.copy()
+            return UNKNOWN, 0.0, 1.0
+        total, many = np.zeros(len(self.languages)), 0
         for found in buckets(text, self.bits):
-            score += self.logs[found].sum(axis=0)
+            total += self.logs[found].sum(axis=0)
+            many += len(found)
+        score = self.prior + total
         best = int(score.argmax())
-        return self.languages[best], float(1.0 / np.exp(score - score[best]).sum())
+        posterior = float(1.0 / np.exp(score - score[best]).sum())
+        if many < JUDGED:
+            return self.languages[best], posterior, 0.0
+        misfit = (self.own[best] - total[best] / many) / max(self.own[best] - self.chance[best], 1e-9)
+        return self.languages[best], posterior, float(misfit)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _count(places: dict[str, int], bits: int):
@@ -123,10 +143,11 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in field_of(batch, "text").to_pylist()]
+            found = [model.judge(t) for t in field_of(batch, "text").to_pylist()]
+            kinds = pa.string(), pa.float64(), pa.float64()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names, "_lang", "_score"],
+                [*batch.columns, *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))],
+                names=[*batch.schema.names, "_lang", "_score", "_misfit"],
             )
 
     return run
@@ -147,7 +168,7 @@ def _identified(docs: DataFrame, model: Model) -> DataFrame:
     ready(spark)
     rows = boxed(docs)
     shared = spark.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), with_fields(rows, _lang="string", _score="double"))
+    return rows.mapInArrow(_predict(shared), with_fields(rows, _lang="string", _score="double", _misfit="double"))
 
 
 def held_out(doc_id: Column, of: int, remainder: int) -> Column:
@@ -155,9 +176,12 @@ def held_out(doc_id: Column, of: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % of == remainder, F.lit(False))
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents in a language that the model knows, with probability ``least`` or more."""
-    found = _identified(docs, model).filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, misfit: float = MISFIT) -> DataFrame:
+    """The documents in a language that the model knows: with a posterior of ``least`` or more, and n-grams that the
+    language explains (see :meth:`Model.judge`). Gibberish and texts in other languages go."""
+    found = _identified(docs, model).filter(
+        (F.col("_lang") != UNKNOWN) & (F.col("_score") >= least) & (F.col("_misfit") < misfit)
+    )
     return unboxed(found, docs)
 
 

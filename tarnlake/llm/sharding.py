@@ -198,6 +198,20 @@ def shard(
     return placed.withColumns({"shard": number, "slot": F.col("_row") - first}).drop("_size", "_at", "_row")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.col("doc_id"),
+        (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        _digest(F.col("text")).alias("_text"),
+    )
+
+
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes + 16, a null text has none), text_crc32, law,
     shard, slot, grown_shard (null: the law ``bytes`` has none).
@@ -205,13 +219,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     Equal texts share a shard; a null text lies with the empty ones. Groups lie in the order of the
     texts' SHA-256, so every shard is a fair mix. Repeated rows each have a row; ties are free.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id"),
-        (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.unhex(F.sha2(text, 256)).alias("_text"),
-    )
+    rows = _sized(docs)
     return shard(rows, shards, F.col("size"), ["_text"], ["doc_id"]).select(
         "doc_id",
         "size",
@@ -223,16 +231,23 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
+def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """All rows and columns, and ``shard`` as :func:`shard_documents` has it (a column of that name is replaced).
+
+    Shards are ranges of the texts' digests, so the first digest of each shard tells where a row goes: rows are not
+    joined, and repeated or missing ids do no harm.
+    """
+    placed = shard(_sized(docs), shards, F.col("size"), ["_text"], ["doc_id"])
+    firsts = placed.groupBy("shard").agg(F.min("_text").alias("first")).collect()  # one row per shard
+    number = F.lit(0)
+    for row in sorted(firsts):
+        number = F.when(_digest(F.col("text")) >= F.lit(bytes(row["first"])), F.lit(row["shard"])).otherwise(number)
+    return docs.drop("shard").withColumn("shard", number)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     """The documents as Parquet, one folder per shard; large shards are several files."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    (
-        docs.select(columns)
-        .join(assigned.select("doc_id", "shard", "slot").distinct(), "doc_id")
-        .hint("rebalance", F.col("shard"))
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    sharded(docs, shards).hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

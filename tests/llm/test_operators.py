@@ -88,6 +88,21 @@ def test_cut_points_by_brute_force(spark, shards):
         assert edges == sorted(edges) and max(b - a for a, b in zip(edges, edges[1:])) <= capacity
 
 
+@pytest.mark.parametrize("shards", [1, 4, 40])
+def test_written_shards_hold_every_row_once(spark, odd, documents, shards):
+    """Repeated and missing ids; copies lie together; shards as the assignment has them."""
+    docs = odd.unionByName(documents.limit(60), allowMissingColumns=True).withColumn("shard", F.lit("old"))
+    path = work_path(spark, "shards")
+    sharding.write_shards(docs, path, shards)
+    rows = spark.read.parquet(path)
+    columns = [c for c in docs.columns if c != "shard"]
+    quoted = [f"`{c}`" for c in columns]
+    assert Counter(map(tuple, rows.select(quoted).collect())) == Counter(map(tuple, docs.select(quoted).collect()))
+    want = Counter((r["doc_id"], r["shard"]) for r in sharding.shard_documents(docs, shards).collect())
+    assert Counter((r["doc_id"], r["shard"]) for r in rows.collect()) == want
+    sharding.write_shards(docs.limit(0), work_path(spark, "none"), shards)
+
+
 # tokens
 
 
@@ -529,6 +544,45 @@ def test_spans_do_not_depend_on_the_parts_of_the_benchmark(spark):
 # language
 
 
+def brute_bayes(rows, text, bits):
+    """Multinomial naive Bayes by counting n-grams one by one; the n-grams are those of the docstring."""
+
+    def grams(t):
+        clean = f" {' '.join(re.sub(r'[^a-zäöüßéèçñ]+', ' ', t.lower()).split())} "
+        for n in language.ORDERS:
+            for i in range(len(clean) - n + 1):
+                h = n
+                for c in clean[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    h ^= h >> 29
+                yield (h * 0xBF58476D1CE4E5B9 % (1 << 64)) >> (64 - bits)
+
+    counts, texts = defaultdict(Counter), Counter()
+    for t, lang in rows:
+        texts[lang] += 1
+        counts[lang].update(grams(t))
+    scores = {}
+    for lang in counts:
+        total = sum(counts[lang].values()) + language.SMOOTHING * (1 << bits)
+        scores[lang] = math.log(texts[lang] / sum(texts.values())) + sum(
+            math.log((counts[lang][b] + language.SMOOTHING) / total) for b in grams(text)
+        )
+    best = max(scores, key=lambda x: (scores[x], -ord(x[0])))
+    return best, 1 / sum(math.exp(s - scores[best]) for s in scores.values())
+
+
+def test_language_by_counting(spark):
+    rows = [("the cat and the dog, the end", "en"), ("the hat of the man", "en"), ("der Hund und die Katze", "de"), ("die Tür", "de"), ("le chat et la porte", "fr")]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    for text in ("the dog", "die Katze und der Hut", "la porte du chat", "xyz", "Tür 12 hat", "a"):
+        lang, score = model.predict(text)
+        want = brute_bayes(rows, text, model.bits)
+        assert lang == want[0] and score == pytest.approx(want[1], rel=1e-9)
+
+
+# language
+
+
 def test_language(odd, empty, documents):
     model = language.train(documents.filter(~language.held_out(F.col("doc_id"), 4, 2)))
     found = language.identify(documents, model)
@@ -637,6 +691,20 @@ def test_exact_duplicates(odd, empty, documents, block):
     assert exact.exact_duplicates(empty, block).collect() == []
 
 
+@pytest.mark.parametrize("few", [1, exact.FEW])
+def test_one_row_of_each_text_stays(spark, odd, empty, monkeypatch, few):
+    """Texts that share an id or have none; a large group; the longest text and then the smallest id stays."""
+    monkeypatch.setattr(exact, "FEW", few)
+    rows = [(1, "a b", "x"), (1, "c", "x"), (None, "d", "x"), (None, "e f", "x"), (None, "ef", "x"), (1, "ab", "y"), (2, "a  b", "z"), (1, "c", "x")]
+    rows += [(100 + i, "the  same" if i in (7, 9) else "the same", "h") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    got = sorted((r[0] or 0, r[1], r[2]) for r in exact.without_duplicates(docs).collect())
+    assert got == [(0, "d", "x"), (0, "e f", "x"), (1, "c", "x"), (2, "a  b", "z"), (107, "the  same", "h")]
+    kept = exact.without_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == exact.exact_duplicates(odd).filter("kept").count() == 9
+    assert exact.without_duplicates(empty).collect() == []
+
+
 def test_naming_splits_a_hot_value(spark):
     rows = spark.range(5000).selectExpr("id AS row", "cast(if(id % 3 > 0, 'hot', concat('v', id % 700)) AS binary) AS value")
     named = exact.named(rows.repartition(7), ["value"], ["row"]).collect()

@@ -1,6 +1,7 @@
 """The pipeline's stages on odd rows, and its result against the operators one by one."""
 
 import corpus_pipeline
+import numpy as np
 from test_operators import brute_components
 from tarnlake.llm import decontamination, language, minhash
 from tarnlake.llm.words import table
@@ -62,3 +63,15 @@ def test_rejected_documents_have_no_letters(spark, odd, documents):
     model = language.train(documents)
     kept = {r["doc_id"] for r in language.accepted(odd, model).collect()}
     assert not kept & {4, 5, 6, 8} and {1, 2, 7, 10} <= kept
+
+
+def test_texts_in_no_known_language_go(spark, documents):
+    """Letter gibberish and scripts that the model was not trained on go; every document of the tables stays."""
+    random = np.random.default_rng(3)
+    gibberish = " ".join("".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(200))
+    rows = [(-1, gibberish), (-2, gibberish[:90]), (-3, "日本語の文章をここに書きます。これは学習していない言語です。" * 3), (-4, "Это предложение на языке, которого модель не знает. " * 3)]
+    model = language.train(documents)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r["doc_id"] for r in language.accepted(docs, model).collect()}
+    letters = {r["doc_id"] for r in documents.collect() if language.has_letter(r["text"] or "")}
+    assert kept == letters
