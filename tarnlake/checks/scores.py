@@ -347,14 +347,42 @@ def _docs(lake):
     """SELECT event_id, '' AS path, 'Missing required field: columns' AS message FROM events WHERE event_type = 'error'
        UNION ALL SELECT event_id, 'columns[0]', 'Missing required field: description' FROM events WHERE event_type = 'view'
        UNION ALL SELECT event_id, 'columns[0].quality_metrics', 'Missing quality metric: validity' FROM events WHERE event_type = 'view'
-       UNION ALL SELECT event_id, 'columns[0].quality_metrics', 'Quality metric ''completeness'' must be a number' FROM events WHERE event_type = 'purchase'
-       UNION ALL SELECT event_id, 'columns[0].quality_metrics', 'Quality metric ''completeness'' must be between 0 and 1' FROM events WHERE event_type = 'click' AND floor(value) > 0
-       UNION ALL SELECT event_id, 'columns[1]', 'Missing required field: name' FROM events WHERE event_type = 'signup'""",
+       UNION ALL SELECT event_id, 'columns[0].quality_metrics.completeness', 'Quality metric ''completeness'' must be a number' FROM events WHERE event_type = 'purchase'
+       UNION ALL SELECT event_id, 'columns[0].quality_metrics.completeness', 'Quality metric ''completeness'' must be between 0 and 1' FROM events WHERE event_type = 'click' AND floor(value) > 0
+       UNION ALL SELECT event_id, 'columns[1]', 'Missing required field: ' || f FROM events, (VALUES ('name'), ('quality_metrics')) AS v(f) WHERE event_type = 'signup'""",
 )
 def _(lake):
     return contracts.validate_schema_docs(_docs(lake), "event_id", "doc")
 
 
+_BAD_DOC = """CASE event_id % 8
+    WHEN 0 THEN '{"columns": "x"}'
+    WHEN 1 THEN '[{"columns": []}]'
+    WHEN 2 THEN '{"columns": ['
+    WHEN 3 THEN NULL
+    WHEN 4 THEN '{"columns": [7, {"name": ' || event_id || ', "type": "t", "description": null, "sample_value": "v", "quality_metrics": [1]}]}'
+    WHEN 5 THEN '{"columns": null}'
+    WHEN 6 THEN '{"columns": [{"name": "n", "type": "t", "description": "d", "sample_value": "v",
+      "quality_metrics": {"completeness": ' || value || ', "uniqueness": true, "validity": "0.5"}}]}'
+    ELSE '{"columns": []}' END AS doc"""
+
+
+@check(
+    "dq_17_malformed_documents",
+    """WITH e AS (SELECT event_id, event_id % 8 AS k, value FROM events)
+       SELECT event_id, 'columns' AS path, '''columns'' must be an array' AS message FROM e WHERE k IN (0, 5)
+       UNION ALL SELECT event_id, '', 'Schema must be a JSON object' FROM e WHERE k IN (1, 2, 3)
+       UNION ALL SELECT event_id, p, m FROM e, (VALUES ('columns[0]', 'Column at index 0 must be an object'),
+         ('columns[1].name', 'Field ''name'' must be of type str'), ('columns[1].description', 'Field ''description'' must be of type str'),
+         ('columns[1].quality_metrics', 'Field ''quality_metrics'' must be of type dict'),
+         ('columns[1].quality_metrics', 'quality_metrics must be an object')) AS v(p, m) WHERE k = 4
+       UNION ALL SELECT event_id, 'columns[0].quality_metrics.completeness', 'Quality metric ''completeness'' must be between 0 and 1' FROM e WHERE k = 6 AND value > 1
+       UNION ALL SELECT event_id, 'columns[0].quality_metrics.' || m, 'Quality metric ''' || m || ''' must be a number' FROM e, (VALUES ('uniqueness'), ('validity')) AS v(m) WHERE k = 6""",
+)
+def _(lake):
+    return contracts.validate_schema_docs(lake.events.selectExpr("event_id", _BAD_DOC), "event_id", "doc")
+
+
 @check(
     "dq_17_repaired_documents",
     """SELECT event_id, 0 AS "position", CASE WHEN event_type = 'signup' THEN 'a' ELSE 'c' END AS name,

@@ -93,8 +93,9 @@ SENTIMENT_TOOL = {
 
 @check(
     "txt_02_sentiment",
-    f"""SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN s ELSE 0 END AS DOUBLE) AS note_legal_sentiment,
-          CAST(CASE WHEN event_type <> 'error' THEN s ELSE 0 END AS DOUBLE) AS note_common_sentiment,
+    f"""SELECT event_id, CAST(CASE WHEN event_type = 'purchase' AND value >= 20 THEN 1 ELSE 0 END AS DOUBLE) AS note_legal_sentiment,
+          CAST(CASE WHEN event_type = 'error' THEN 0 WHEN value >= 5 AND value < 20 THEN 1
+                    WHEN event_type = 'purchase' THEN 0.5 ELSE s END AS DOUBLE) AS note_common_sentiment,
           CAST(CASE WHEN event_type = 'error' THEN 0 ELSE s END AS DOUBLE) AS note_overall_sentiment,
           CASE WHEN event_type = 'error' THEN 'No text provided for analysis' ELSE 'Scored by word lists' END
             AS note_sentiment_reason

@@ -108,34 +108,60 @@ def document_columns(docs: DataFrame, key: str, doc: str) -> DataFrame:
 
 
 def validate_schema_docs(docs: DataFrame, key: str, doc: str) -> DataFrame:
-    """Issues of schema documents as rows (key, path, message)."""
-    entries = document_columns(docs, key, doc)
-    entry = F.col("entry")
-    metric = entry.getField("quality_metrics")
-    at = F.concat(F.lit("columns["), F.col("position").cast("string"), F.lit("]"))
-
-    def issue(when: Column, path: Column, message: str) -> Column:
-        return F.when(when, F.struct(path.alias("path"), F.lit(message).alias("message")))
+    """Issues of schema documents as rows (key, path, message).
 
-    present_entry = F.col("position").isNotNull()
-    checks = [issue(~present_entry, F.lit(""), "Missing required field: columns")]
-    checks += [
-        issue(present_entry & entry.getField(n).isNull(), at, f"Missing required field: {n}")
-        for n in DOCUMENT_FIELDS
-    ]
+    The documents are walked as variants, so that a value of the wrong type is told from a missing one: a document is
+    an object with an array ``columns`` of objects, each with its texts and an object of numeric quality metrics between
+    0 and 1. A text that is no JSON is no object either. A null is a value of the wrong type.
+    """
+    kind = F.schema_of_variant
+    whole = docs.select(key, F.try_parse_json(F.coalesce(doc, F.lit(""))).alias("v"))
+    whole = whole.withColumn("columns", F.try_variant_get("v", "$.columns", "variant"))
+    is_object = F.coalesce(kind(F.col("v")).startswith("OBJECT"), F.lit(False))
+    listed = F.coalesce(kind(F.col("columns")).startswith("ARRAY"), F.lit(False))
+    top = F.when(~is_object, _issue("", "Schema must be a JSON object")).when(
+        F.col("columns").isNull(), _issue("", "Missing required field: columns")
+    ).when(~listed, _issue("columns", "'columns' must be an array"))
+    found = whole.select(key, F.explode(F.array_compact(F.array(top))).alias("i"))
+
+    entries = whole.filter(is_object & listed).select(
+        key, F.posexplode(F.try_variant_get("columns", "$", "array<variant>")).alias("position", "entry")
+    )
+    at = F.concat(F.lit("columns["), F.col("position").cast("string"), F.lit("]"))
+    part = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    plain = ~F.coalesce(kind(F.col("entry")).startswith("OBJECT"), F.lit(False))
+    wrong = F.concat(F.lit("Column at index "), F.col("position").cast("string"), F.lit(" must be an object"))
+    checks = [F.when(plain, _issue(at, wrong))]
+    for name in [*DOCUMENT_FIELDS, "quality_metrics"]:
+        value, wanted = part("entry", name), ("OBJECT", "dict") if name == "quality_metrics" else ("STRING", "str")
+        checks += [
+            F.when(~plain & value.isNull(), _issue(at, f"Missing required field: {name}")),
+            F.when(
+                ~plain & ~kind(value).startswith(wanted[0]),
+                _issue(F.concat(at, F.lit(f".{name}")), f"Field '{name}' must be of type {wanted[1]}"),
+            ),
+        ]
+    metrics, path = part("entry", "quality_metrics"), F.concat(at, F.lit(".quality_metrics"))
+    checks.append(F.when(~plain & ~kind(metrics).startswith("OBJECT"), _issue(path, "quality_metrics must be an object")))
+    has = ~plain & kind(metrics).startswith("OBJECT")
     for name in DOCUMENT_METRICS:
-        text = F.try_element_at(metric, F.lit(name))
-        number = text.try_cast("double")
-        path = F.concat(at, F.lit(".quality_metrics"))
-        has = present_entry & metric.isNotNull()
+        value, own = part(metrics, name), F.concat(path, F.lit(f".{name}"))
+        number = kind(value).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
         checks += [
-            issue(has & text.isNull(), path, f"Missing quality metric: {name}"),
-            issue(has & text.isNotNull() & number.isNull(), path, f"Quality metric '{name}' must be a number"),
-            issue(has & ~number.between(0, 1), path, f"Quality metric '{name}' must be between 0 and 1"),
+            F.when(has & value.isNull(), _issue(path, f"Missing quality metric: {name}")),
+            F.when(has & ~number, _issue(own, f"Quality metric '{name}' must be a number")),
+            F.when(
+                has & number & ~F.try_variant_get(value, "$", "double").between(0, 1),
+                _issue(own, f"Quality metric '{name}' must be between 0 and 1"),
+            ),
         ]
-    return entries.select(key, F.explode(F.array_compact(F.array(*checks))).alias("i")).select(
-        key, "i.path", "i.message"
-    )
+    inside = entries.select(key, F.explode(F.array_compact(F.array(*checks))).alias("i"))
+    return found.unionAll(inside).select(key, "i.path", "i.message")
+
+
+def _issue(path: Column | str, message: Column | str) -> Column:
+    path, message = (F.lit(x) if isinstance(x, str) else x for x in (path, message))
+    return F.struct(path.alias("path"), message.alias("message"))
 
 
 def repair_schema_docs(docs: DataFrame, key: str, doc: str) -> DataFrame:

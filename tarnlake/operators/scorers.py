@@ -100,28 +100,74 @@ def keyword_category(options: list[str], terms: dict[str, list[str]]) -> Callabl
     return score
 
 
+# Words after which a new clause begins.
+CLAUSE_WORDS = ["but", "however", "although", "though", "while", "whereas", "yet"]
+_CLAUSES = rf"[.,;:!?\n]+|\b(?:{'|'.join(CLAUSE_WORDS)})\b"
+
+
+def _hits(low: Column, aspects: dict[str, list[str]]) -> Column:
+    """Every positive and negative word of a lower-case text with the aspect named nearest to it in its clause (of two
+    as near, the one that follows; null in a clause that names none): array of (good, aspect)."""
+    terms = {term.lower(): aspect for aspect, words in aspects.items() for term in words}
+    # a term of several words becomes one
+    for term in sorted((t for t in terms if " " in t), key=len, reverse=True):
+        low = F.replace(low, F.lit(term), F.lit(term.replace(" ", "_")))
+    named = F.create_map(*[F.lit(x) for t, a in terms.items() for x in (t.replace(" ", "_"), a)])
+    good, bad = F.array(*map(F.lit, POSITIVE_WORDS)), F.array(*map(F.lit, NEGATIVE_WORDS))
+
+    def of_clause(clause: Column) -> Column:
+        words = F.regexp_extract_all(clause, F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+        placed = lambda keep, what: F.filter(
+            F.transform(words, lambda w, i: F.when(keep(w), F.struct(i.alias("at"), what(w).alias("is")))), lambda m: m.isNotNull()
+        )
+        found = F.struct(
+            placed(lambda w: F.array_contains(good, w) | F.array_contains(bad, w), lambda w: F.array_contains(good, w)).alias("hits"),
+            placed(lambda w: F.map_contains_key(named, w), lambda w: F.try_element_at(named, w)).alias("names"),
+        )
+        return let(found, assigned)
+
+    def assigned(found: Column) -> Column:
+        def one(hit: Column) -> Column:
+            far = lambda n: F.abs(n["at"] - hit["at"]) * 2 + (n["at"] < hit["at"]).cast("int")
+            near = F.array_min(F.transform(found["names"], lambda n: F.struct(far(n).alias("far"), n["is"].alias("is"))))
+            return F.struct(hit["is"].alias("good"), near["is"].alias("aspect"))
+
+        return F.transform(found["hits"], one)
+
+    return F.flatten(F.transform(F.split(low, _CLAUSES), of_clause))
+
+
 def keyword_sentiment(aspects: dict[str, list[str]]) -> Callable[[Column], Column]:
-    """Rule scorer: per aspect a value in [0, 1], the share of positive among positive and negative
-    words when the text names the aspect, 0.0 when it does not; ``overall`` for the whole text."""
+    """Rule scorer: values in [0, 1], shares of positive among positive and negative words.
 
-    def score(text: Column) -> Column:
-        def share(found: Column) -> Column:
-            good, bad = F.size(found.getField("good")), F.size(found.getField("bad"))
-            return F.when(good + bad > 0, good / (good + bad)).otherwise(F.lit(0.5))
+    ``overall`` is that of the whole text. Each aspect has that of the words that stand nearest to it in their clause; an
+    aspect that is named without such words has that of the clauses that name no aspect; one that is not named has 0.0. Without
+    any such word a share is 0.5.
+    """
 
+    def share(good: Column, bad: Column, otherwise: Column) -> Column:
+        return F.when(good + bad > 0, good / (good + bad)).otherwise(otherwise)
+
+    def score(text: Column) -> Column:
         def values(low: Column) -> Column:
             words = F.struct(
                 _found(low, POSITIVE_WORDS).alias("good"), _found(low, NEGATIVE_WORDS).alias("bad")
             )
-            return let(let(words, share), lambda overall: by_aspect(low, overall))
+            overall = let(words, lambda w: share(F.size(w["good"]), F.size(w["bad"]), F.lit(0.5)))
+            return let(F.struct(overall.alias("overall"), _hits(low, aspects).alias("hits")), lambda f: by_aspect(low, f))
+
+        def by_aspect(low: Column, found: Column) -> Column:
+            def of(aspect: Column, otherwise: Column) -> Column:
+                mine = F.filter(found["hits"], lambda h: h["aspect"].eqNullSafe(aspect))
+                return let(mine, lambda m: share(F.size(F.filter(m, lambda h: h["good"])), F.size(F.filter(m, lambda h: ~h["good"])), otherwise))
 
-        def by_aspect(low: Column, overall: Column) -> Column:
+            general = of(F.lit(None).cast("string"), F.lit(0.5))
             named = [
                 x
                 for aspect, words in aspects.items()
-                for x in (F.lit(aspect), F.when(any_term(low, words), overall).otherwise(F.lit(0.0)))
+                for x in (F.lit(aspect), F.when(any_term(low, words), of(F.lit(aspect), general)).otherwise(F.lit(0.0)))
             ]
-            return F.create_map(*named, F.lit("overall"), overall)
+            return F.create_map(*named, F.lit("overall"), found["overall"])
 
         return let(F.lower(text), values)
 

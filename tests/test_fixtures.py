@@ -234,6 +234,22 @@ def test_sentiment(spark):
     assert got == [(1.0, 1.0, 0.0, 1.0), (0.0, 0.0, 0.0, 0.0), (0.0,) * 4, (0.0,) * 4]
 
 
+def test_sentiment_of_aspects(spark):
+    texts = {
+        "great product but terrible service": (1.0, 0.0, 0.0, 0.5),
+        "The staff was rude, however the food was delicious and fresh": (1.0, 0.0, 0.0, 2 / 3),
+        "Terrible price and friendly staff": (0.0, 1.0, 0.0, 0.5),
+        "Slow service. The quality? Excellent": (1.0, 0.0, 0.0, 0.5),
+        "The item came. The price too": (0.5, 0.0, 0.5, 0.5),
+        "great great price; bad, bad, bad": (0.0, 0.0, 1.0, 0.5),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = enrich.sentiment(df, enrich.tool_named("customer_sentiment_analysis"), "c").drop("c_sentiment_reason")
+    assert {r[0]: tuple(round(x, 9) for x in r[1:]) for r in got.collect()} == {
+        t: tuple(round(x, 9) for x in want) for t, want in texts.items()
+    }
+
+
 NESTED = """{"employees":[{"id":1,"personal_info":{"name":"A","contact":{"email":"a@x.org"}},
 "employment":{"salary":75000.5,"is_active":true,"skills":["x","y"]}},
 {"id":2,"personal_info":{"name":null,"contact":{"email":"b@x.org"}},
