@@ -422,14 +422,14 @@ def _(lake):
 
 _TYPE_NAMES = """SELECT coalesce(a.name, b.name) AS name,
   CASE WHEN a.name IS NULL THEN 'only_right' WHEN b.name IS NULL THEN 'only_left' ELSE 'common' END AS status
-  FROM (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_type = 'ECONOMY') a
-  FULL JOIN (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_type = 'PROMO') b
+  FROM (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_size <= 25) a
+  FULL JOIN (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part WHERE p_size > 25) b
     ON a.name = b.name"""
 
 
 def _two_sides(lake):
     named = lake.part.withColumn("name", F.concat_ws(" ", "p_name", "p_brand"))
-    return named.filter("p_type = 'ECONOMY'"), named.filter("p_type = 'PROMO'")
+    return named.filter("p_size <= 25"), named.filter("p_size > 25")
 
 
 @check(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.functions.repair import repaired_column
 from tarnlake.functions.text import let, strip
 
 
@@ -39,81 +40,17 @@ def parse_response(c: Column, schema: str, required: list[str]) -> Column:
     return let(F.from_json(strip_fences(c), schema, {"mode": "PERMISSIVE"}), checked)
 
 
-# Repair rules as (texts of which a match contains one, pattern, replacement), applied in this
-# order to text that does not parse.
-REPAIR_RULES = [
-    # a string that is still open at the end of its line
-    (("\n",), r'(:[ \t]*"[^"\n]*)(\n)', r'$1"$2'),
-    # bare keys
-    ((), r'([{,]\s*)([A-Za-z_]\w*)(\s*:)', r'$1"$2"$3'),
-    # literals in other spellings
-    (("TRUE", "True"), r'(:\s*)(?:TRUE|True)\b', r'$1true'),
-    (("FALSE", "False"), r'(:\s*)(?:FALSE|False)\b', r'$1false'),
-    (("NULL", "Null", "None"), r'(:\s*)(?:NULL|Null|None)\b', r'$1null'),
-    # 007 -> 7, .5 -> 0.5
-    (("0",), r'(:\s*)0+(?=\d)', r'$1'),
-    ((".",), r'(:\s*)\.(?=\d)', r'$10.'),
-    # bare words as values
-    ((), r'(:\s*)(?!(?:true|false|null)\b)([A-Za-z_][^",:{}\[\]\n]*?)(\s*[,}\]\n])', r'$1"$2"$3'),
-    # a key without value, an empty text
-    ((), r'(:)(\s*)(?=[,}])', r'$1$2null'),
-    (('""',), r'(:\s*)""(?=\s*[,}\n])', r'$1null'),
-    # commas missing between objects, arrays and properties
-    (("}",), r'\}(\s*)\{', r'},$1{'),
-    (("]",), r'\](\s*)\[', r'],$1['),
-    (("\n",), r'(["\d\]}el])(\s*\n\s*)(?="[^"\n]*"\s*:)', r'$1,$2'),
-    # commas before a closing bracket
-    ((",",), r',(\s*[}\]])', r'$1'),
-]
-
-
-# A whole string of one line, and what stands for the n-th one while the rules run.
-STRING = r'"(?:[^"\\\n]|\\.)*"'
-MARK = "\ue000"
-
-
-def _without_strings(c: Column, strings: Column) -> Column:
-    """The text with each string replaced by its number, so that no rule changes the inside of one; an empty
-    string stays, as a rule is about it."""
-
-    def marked(piece: Column, i: Column) -> Column:
-        string = F.get(strings, i)
-        mark = F.concat(F.lit('"' + MARK), i.cast("string"), F.lit('"'))
-        return F.concat(piece, F.when(string.isNull(), "").when(string == '""', string).otherwise(mark))
-
-    return F.array_join(F.transform(F.split(c, STRING), marked), "")
-
-
-def _with_strings(c: Column, strings: Column) -> Column:
-    """The strings put back."""
-    numbers = F.regexp_extract_all(c, F.lit(f'"{MARK}([0-9]+)"'), F.lit(1))
-
-    def filled(piece: Column, i: Column) -> Column:
-        return F.concat(piece, F.coalesce(F.get(strings, F.get(numbers, i).cast("int")), F.lit("")))
-
-    return F.array_join(F.transform(F.split(c, f'"{MARK}[0-9]+"'), filled), "")
-
-
 def repair_json(c: Column) -> Column:
     """Valid JSON text from lenient JSON; text that parses already is returned unchanged, repaired
-    text in compact form, and text that still does not parse after all rules becomes null."""
-
-    def fixed(plain: Column) -> Column:
-        def around(strings: Column) -> Column:
-            text = _without_strings(plain, strings)
-            for rule in REPAIR_RULES:
-                text = _replace_if(text, *rule)
-            return let(text, lambda t: _with_strings(t, strings))
-
-        return let(F.regexp_extract_all(plain, F.lit(STRING), F.lit(0)), around)
+    text (see :mod:`tarnlake.functions.repair`) in compact form, and text that cannot be repaired is null."""
 
-    def repaired(plain: Column) -> Column:
-        # the rules run only for text that does not parse
-        return F.coalesce(
-            F.when(F.try_parse_json(plain).isNotNull(), plain), F.to_json(F.try_parse_json(fixed(plain)))
-        )
+    def checked(plain: Column) -> Column:
+        good = F.try_parse_json(plain).isNotNull()
+        # only text that does not parse is sent to Python
+        fixed = repaired_column(F.when(~good, plain))
+        return F.when(good, plain).otherwise(F.to_json(F.try_parse_json(fixed)))
 
-    return let(strip_fences(c), repaired)
+    return checked(strip_fences(c))
 
 
 def get_path(c: Column, path: str) -> Column:

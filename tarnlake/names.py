@@ -6,12 +6,20 @@ the JVM per column, which would take longer than the query on a wide table.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def quoted(name: str) -> str:
     """A column name as identifier."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever it holds."""
+    return F.col(quoted(name))
+
+
 def literal(text: str) -> str:
     """A text as literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.numbers import to_number
+from tarnlake.names import column as named
 from tarnlake.names import literal
 from tarnlake.operators.keys import present, row_counts, text_key
 from tarnlake.operators.ranks import exact_quantiles
@@ -27,9 +28,9 @@ def group_report(
 ) -> DataFrame:
     """Count and average per group, largest group first."""
     return (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias(count_as), F.avg(measure).alias(avg_as))
-        .orderBy(F.col(count_as).desc(), *by)
+        df.groupBy(*map(named, by))
+        .agg(F.count(F.lit(1)).alias(count_as), F.avg(named(measure)).alias(avg_as))
+        .orderBy(named(count_as).desc(), *map(named, by))
     )
 
 
@@ -37,8 +38,8 @@ def group_average(
     df: DataFrame, by: list[str], measure: str, name: str, above: float | None = None
 ) -> DataFrame:
     """Average per group; with ``above``, only groups whose average exceeds it."""
-    out = df.groupBy(*by).agg(F.avg(measure).alias(name))
-    return out if above is None else out.filter(F.col(name) > above)
+    out = df.groupBy(*map(named, by)).agg(F.avg(named(measure)).alias(name))
+    return out if above is None else out.filter(named(name) > above)
 
 
 def trend(df: DataFrame, time: Column, measure: str, as_: str, total_as: str) -> DataFrame:
@@ -46,20 +47,20 @@ def trend(df: DataFrame, time: Column, measure: str, as_: str, total_as: str) ->
     return (
         df.filter(time.isNotNull())
         .groupBy(time.alias(as_))
-        .agg(F.sum(measure).alias(total_as))
-        .orderBy(as_)
+        .agg(F.sum(named(measure)).alias(total_as))
+        .orderBy(named(as_))
     )
 
 
 def distribution(df: DataFrame, column: str, count_as: str = "n") -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias(count_as))
+    return df.groupBy(named(column)).agg(F.count(F.lit(1)).alias(count_as))
 
 
 def validity_counts(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """Rows, distinct keys and the number of rows that pass each check, in one row."""
     return df.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_distinct(F.col(key)).alias("distinct_keys"),
+        F.count_distinct(named(key)).alias("distinct_keys"),
         *[F.count_if(c).alias(name) for name, c in checks.items()],
     )
 
@@ -70,12 +71,12 @@ def chart_query(
     """One aggregated series per y column over x (and over a second key when given)."""
     function = AGGREGATIONS[aggregation]
     keys = [x] if group_by in (None, x) else [x, group_by]
-    return df.groupBy(*keys).agg(*[function(y).alias(y) for y in ys])
+    return df.groupBy(*map(named, keys)).agg(*[function(named(y)).alias(y) for y in ys])
 
 
 def column_statistic(df: DataFrame, column: str, operation: str) -> DataFrame:
     """One statistic over the values of a column that are numbers."""
-    value = to_number(F.col(column), [])
+    value = to_number(named(column), [])
     return df.agg(AGGREGATIONS[operation](value).alias(f"{column}_{operation}"))
 
 
@@ -111,8 +112,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def null_percentage(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col(column).isNull()).alias("null_count"),
-        (F.try_divide(F.count_if(F.col(column).isNull()), F.count(F.lit(1))) * 100).alias(
+        F.count_if(named(column).isNull()).alias("null_count"),
+        (F.try_divide(F.count_if(named(column).isNull()), F.count(F.lit(1))) * 100).alias(
             "null_percentage"
         ),
     )
@@ -149,7 +150,7 @@ def enrichment_summary(
     df: DataFrame, label: str, confidence: str, positive: str, negative: str
 ) -> DataFrame:
     """Totals of an enriched table: labelled, failed, per label, average confidence."""
-    c = F.col(label)
+    c = named(label)
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count(c).alias("successful"),
@@ -157,24 +158,24 @@ def enrichment_summary(
         F.count_if(c == positive).alias("positive"),
         F.count_if(c == negative).alias("negative"),
         F.count_if(c.isNotNull() & ~c.isin(positive, negative)).alias("neutral"),
-        F.avg(confidence).alias("average_confidence"),
+        F.avg(named(confidence)).alias("average_confidence"),
     )
 
 
 def common_values(df: DataFrame, array_column: str, k: int, value_as: str = "value") -> DataFrame:
     """Most frequent elements of an array column."""
     return (
-        df.select(F.explode(array_column).alias(value_as))
-        .groupBy(value_as)
+        df.select(F.explode(named(array_column)).alias(value_as))
+        .groupBy(named(value_as))
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), value_as)
+        .orderBy(F.desc("n"), named(value_as))
         .limit(k)
     )
 
 
 def overall_quality(metrics: DataFrame, scores: list[str]) -> DataFrame:
     """Unweighted mean of the scores of all tables; 0.0 when there is none."""
-    return metrics.agg(*[F.coalesce(F.avg(s), F.lit(0.0)).alias(s) for s in scores])
+    return metrics.agg(*[F.coalesce(F.avg(named(s)), F.lit(0.0)).alias(s) for s in scores])
 
 
 def duplicate_report(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.names import quoted
+from tarnlake.names import column, quoted
 
 
 def left_report(
@@ -24,17 +24,17 @@ def left_report(
     The right side is reduced to one row per key before the join, so a key with very many rows
     is combined on the map side and never meets the join as a hot key.
     """
-    per_key = right.groupBy(F.col(right_key).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(measure).alias("_sum")
+    per_key = right.groupBy(column(right_key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(column(measure)).alias("_sum")
     )
     return (
-        left.join(per_key, F.col(left_key) == F.col("_key"), "left")
-        .groupBy(*by)
+        left.join(per_key, column(left_key) == F.col("_key"), "left")
+        .groupBy(*map(column, by))
         .agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias(count_as),
             F.sum("_sum").alias(sum_as),
         )
-        .orderBy(F.col(sum_as).desc_nulls_last(), *by)
+        .orderBy(column(sum_as).desc_nulls_last(), *map(column, by))
     )
 
 
@@ -53,15 +53,15 @@ def with_stored_metadata(
     """Table list in which stored values replace the own ones where present, newest first."""
     own, other = tables.alias("own"), stored.alias("stored")
     columns = [
-        F.coalesce(F.col(f"stored.{n}"), F.col(f"own.{n}")).alias(n)
+        F.coalesce(F.col(f"stored.{quoted(n)}"), F.col(f"own.{quoted(n)}")).alias(n)
         if n in override
-        else F.col(f"own.{n}")
+        else F.col(f"own.{quoted(n)}").alias(n)
         for n in tables.columns
     ]
     return (
-        own.join(other, F.col(f"own.{key}") == F.col(f"stored.{key}"), "left")
+        own.join(other, F.col(f"own.{quoted(key)}") == F.col(f"stored.{quoted(key)}"), "left")
         .select(*columns)
-        .orderBy(F.col(newest).desc_nulls_last(), F.col(key))
+        .orderBy(column(newest).desc_nulls_last(), column(key))
     )
 
 
@@ -70,10 +70,10 @@ def compare_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
     Both sides are made distinct first, so repeats of one name cost nothing in the join.
     """
-    a = left.select(*keys).distinct().withColumn("in_left", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("in_right", F.lit(True))
+    a = left.select(*map(column, keys)).distinct().withColumn("in_left", F.lit(True))
+    b = right.select(*map(column, keys)).distinct().withColumn("in_right", F.lit(True))
     return a.join(b, keys, "full").select(
-        *keys,
+        *map(column, keys),
         F.when(F.col("in_left").isNull(), "only_right")
         .when(F.col("in_right").isNull(), "only_left")
         .otherwise("common")

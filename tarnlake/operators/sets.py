@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.operators.joins import compare_columns
-from tarnlake.names import quoted
+from tarnlake.names import column, quoted
 from tarnlake.operators.keys import row_key, row_keys
 from tarnlake.operators.lattice import conformed, merged_schema
 
 
 def schema_sets(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """Names of two schemas by side (only_left, only_right, common), in sorted order."""
-    return compare_columns(left, right, [name]).orderBy("status", name)
+    return compare_columns(left, right, [name]).orderBy("status", column(name))
 
 
 def schema_set_counts(left: DataFrame, right: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small tables with known answers."""
 
+import json
 from datetime import date, datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnlake import types
 from tarnlake.functions import json as js
-from tarnlake.functions import text
+from tarnlake.functions import repair, text
 from tarnlake.operators import aggregates, cleaning, columns, contracts, enrich, filters, joins, quality
 from tarnlake.operators.scorers import batch_category
 from tarnlake.plans import catalog, reports
@@ -291,6 +292,27 @@ def test_repair_json(spark, bad, path, want):
     assert df.select(F.get_json_object("doc", dotted)).first()[0] == want
 
 
+REPAIRED = {
+    "{'a': 'it\\'s', \"b\": 'say \"x\"'}": {"a": "it's", "b": 'say "x"'},
+    '{"a": "open\n, "b": ["c\n]}': {"a": "open", "b": ["c"]},
+    '{"a": "open': None,
+    '{a: -007.50, b: .5, c: 5., d: 1e3, e: -0, f: 1.2.3, g: 5d}': {"a": -7.5, "b": 0.5, "c": 5.0, "d": 1000.0, "e": 0, "f": "1.2.3", "g": "5d"},
+    '{"a" 1}': None,
+    '{"a": 1 "b": 2, , "c": [1 2,, 3,],}': {"a": 1, "b": 2, "c": ["1 2", 3]},
+    '{"a": , "b":}': {"a": None, "b": None},
+    '{"a", "b"}': {"a": None, "b": None},
+    '{x: two words, y: [True, none here, NULL]}': {"x": "two words", "y": [True, "none here", None]},
+    '{"a": 1]': None, '{"a": 1}}': None, '[1] [2]': None, '{"a": {"b": [}]}': None, "": None, "[": None, "]": None, ":": None,
+    '{"a": ""': None, '{"a": "", "b": ["", ""],}': {"a": None, "b": ["", ""]}, "[[], {},]": [[], {}],
+}
+
+
+def test_repaired_texts():
+    for bad, want in REPAIRED.items():
+        found = repair.repaired(bad)
+        assert (None if found is None else json.loads(found)) == want, bad
+
+
 def test_repair_leaves_valid_text(spark):
     good = '{"a": "x, y: TRUE, {b: 1,}", "e": ""}'
     df = spark.createDataFrame([(good,), ("not json at all {",), (None,)], "doc string")

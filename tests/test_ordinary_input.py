@@ -133,3 +133,21 @@ def test_repair_leaves_strings_alone(spark):
     assert [r[0] for r in df.select(json.repair_json(F.col("b"))).collect()] == [
         '{"k":1,"t":"at 10:05"}', '{"k":1,"s":"a, b: c"}', '{"k":null,"u":"is TRUE, .5 }{ 007","v":null}',
     ]
+
+
+def test_dotted_names(spark):
+    """Columns as flattening names them, in every operator that takes names."""
+    df = spark.createDataFrame([("x", 1.0, "k1"), ("x", 3.0, "k2"), ("y", 5.0, "k1")], "`a.b` string, `v w` double, `key.id` string")
+    other = spark.createDataFrame([("k1", 2.0), ("k1", 4.0)], "`other.id` string, `m.n` double")
+    rows = lambda f: [tuple(r) for r in f.collect()]
+    assert rows(aggregates.group_report(df, ["a.b"], "v w", "n.n", "av.g")) == [("x", 2, 2.0), ("y", 1, 5.0)]
+    assert rows(aggregates.group_average(df, ["a.b"], "v w", "av.g", 3)) == [("y", 5.0)]
+    assert sorted(rows(aggregates.distribution(df, "a.b"))) == [("x", 2), ("y", 1)]
+    assert sorted(rows(aggregates.chart_query(df, "a.b", ["v w"], "max", "key.id"))) == [("x", "k1", 1.0), ("x", "k2", 3.0), ("y", "k1", 5.0)]
+    assert rows(aggregates.validity_counts(df, "a.b", {}))[0] == (3, 2)
+    assert rows(aggregates.null_percentage(df, "a.b"))[0][1] == 0
+    assert rows(aggregates.column_statistic(df, "v w", "sum")) == [(9.0,)]
+    report = joins.left_report(df, other, "key.id", "other.id", "m.n", ["a.b"], "n", "to.tal")
+    assert rows(report) == [("x", 2, 6.0), ("y", 2, 6.0)]
+    assert sorted(rows(joins.compare_columns(df, df.limit(0), ["a.b"]))) == [("x", "only_left"), ("y", "only_left")]
+    assert rows(sets.schema_sets(df, df, "a.b")) == [("x", "common"), ("y", "common")]
