@@ -1,7 +1,7 @@
 """Benchmark decontamination: broadcast hash set of the benchmark's n-grams, windows of the texts tested.
 
 A window is ``window`` consecutive words of an item; an item with fewer words is one window. Workers
-hold a map from a window's words to the items that have it and a bit table over the windows' hashes.
+hold the sorted hashes of the windows with their places in the items, and a bit table over these hashes.
 A text's windows are hashed with numpy; only those whose bit is set are compared word by word, so a hit
 is never a hash collision.
 
@@ -42,40 +42,61 @@ def benchmark_words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some benchmark items."""
+    """The windows of some benchmark items, built once on the driver and broadcast: for each number of words the sorted
+    hashes of the windows, with the item and the place of its first word. Hashes only find windows; the words of the item
+    say whether they are there."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        self.items: dict[bytes, set[str]] = {}
-        lengths: dict[int, list[bytes]] = {}
-        for item, text in items:
+        self.ids = [item for item, _ in items]
+        self.texts = [text for _, text in items]
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, text in enumerate(self.texts):
             words = benchmark_words(text)
             n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                key = b" ".join(words[i : i + n])
-                if key not in self.items:
-                    lengths.setdefault(n, []).append(key)
-                found = self.items.setdefault(key, set())
-                if item is not None:
-                    found.add(item)
-        self.bits = {}
-        for n, keys in lengths.items():
-            bits = np.zeros(1 << TABLE_BITS, bool)
-            for key in keys:
-                bits[ngram_hashes(hashes_of(key.split()), n) >> np.uint64(64 - TABLE_BITS)] = True
-            self.bits[n] = bits
+            if n:
+                found.setdefault(n, []).append((ngram_hashes(hashes_of(words), n), k))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in found.items():
+            hashes = np.concatenate([h for h, _ in parts])
+            owners = np.repeat(np.array([k for _, k in parts], np.int32), [len(h) for h, _ in parts])
+            places = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in parts])
+            order = np.argsort(hashes, kind="stable")
+            self.lengths[n] = hashes[order], owners[order], places[order]
+        self.bits: dict[int, np.ndarray] = {}
+        self.words: dict[int, list[bytes]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "bits": {}, "words": {}}
+
+    def _bits(self, n: int) -> np.ndarray:
+        if n not in self.bits:
+            self.bits[n] = np.zeros(1 << TABLE_BITS, bool)
+            self.bits[n][self.lengths[n][0] >> np.uint64(64 - TABLE_BITS)] = True
+        return self.bits[n]
+
+    def _words(self, item: int) -> list[bytes]:
+        if item not in self.words:
+            self.words[item] = benchmark_words(self.texts[item])
+        return self.words[item]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The merged spans [start, stop) of hit words, and the items whose windows occur."""
         hashes = hashes_of(words)
         hits: list[tuple[int, int]] = []
         items: set[str] = set()
-        for n, bits in self.bits.items():
+        for n, (known, owners, places) in self.lengths.items():
             grams = ngram_hashes(hashes, n)
-            for i in np.flatnonzero(bits[grams >> np.uint64(64 - TABLE_BITS)]).tolist():
-                found = self.items.get(b" ".join(words[i : i + n]))
-                if found is not None:
+            maybe = np.flatnonzero(self._bits(n)[grams >> np.uint64(64 - TABLE_BITS)])
+            low, high = (np.searchsorted(known, grams[maybe], side) for side in ("left", "right"))
+            for i, a, b in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
+                mine, hit = words[i : i + n], False
+                for owner, place in zip(owners[a:b].tolist(), places[a:b].tolist(), strict=True):
+                    if self._words(owner)[place : place + n] == mine:
+                        hit = True
+                        if self.ids[owner] is not None:
+                            items.add(self.ids[owner])
+                if hit:
                     hits.append((i, i + n))
-                    items |= found
         return merged(hits), items
 
 
@@ -102,7 +123,7 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _scan(shared, window: int):
+def _scan(shared):
     schema = pa.schema(
         [
             ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
@@ -112,7 +133,7 @@ def _scan(shared, window: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
+        windows: Windows = shared.value  # one object for all tasks of a worker
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             rows: list[tuple[int, list, list]] = []
@@ -146,9 +167,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     for part in range(parts):
         mine = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
         items = [(r[0], r[1].encode()) for r in mine.select(F.col("item_id").cast("string"), "text").collect() if r[1]]
-        shared = spark.sparkContext.broadcast(items)
+        shared = spark.sparkContext.broadcast(Windows(items, window))
         scanned = rows.mapInArrow(
-            _scan(shared, window), f"row long, doc_id long, n_words long, spans {SPANS}, items array<string>"
+            _scan(shared), f"row long, doc_id long, n_words long, spans {SPANS}, items array<string>"
         )
         found = scanned if found is None else found.unionByName(scanned)
     if parts == 1:
@@ -210,15 +231,15 @@ def decontaminated(
     for part in range(parts):
         mine = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else benchmark
         items = [(None, r[0].encode()) for r in mine.select("text").collect() if r[0]]
-        shared, last = spark.sparkContext.broadcast(items), part + 1 == parts
-        rows = rows.mapInArrow(_remove(shared, window, remove, last), rows.schema)
+        shared, last = spark.sparkContext.broadcast(Windows(items, window)), part + 1 == parts
+        rows = rows.mapInArrow(_remove(shared, remove, last), rows.schema)
         rows = rows if last else keep(rows, "clean")
     return unboxed(rows, docs)
 
 
-def _remove(shared, window: int, remove: str, last: bool):
+def _remove(shared, remove: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
+        windows: Windows = shared.value  # one object for all tasks of a worker
         for batch in batches:
             texts = field_of(batch, "text").cast(pa.binary())
             spans = [windows.find(benchmark_words(t.as_py() or b""))[0] for t in texts]

@@ -34,8 +34,9 @@ BANDS, ROWS = 20, 5
 SEED = 20
 #: sets held by a task at once, and members that pass by
 HELD, PASSING = 256, 4096
-#: bits of the table that finds the candidates' texts again: 2 MB at any number of documents
-TABLE_BITS = 24
+#: bits of the table that finds the candidates' texts again: 16 for each candidate, 2^24 (2 MB) at least and 2^28 (32 MB) at
+#: most; with more than 2^24 candidates more and more texts that are none are cut into shingles, to be dropped after that
+TABLE_BITS, MOST_BITS = 24, 28
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -114,12 +115,16 @@ def _sets(bits: bytes):
     return run
 
 
-def _place(doc_id):
-    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1))), F.lit(1 << TABLE_BITS))
+def _bits_for(wanted: DataFrame) -> int:
+    return max(TABLE_BITS, min(MOST_BITS, (16 * wanted.count()).bit_length()))
+
+
+def _place(doc_id, bits: int):
+    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1))), F.lit(1 << bits))
 
 
 def _table_of(place, wanted: DataFrame) -> DataFrame:
-    """(bucket, bits): chunks of the bit table of places, 2^TABLE_BITS bits at most. Bit p of chunk b stands for
+    """(bucket, bits): chunks of the bit table of places, 2^MOST_BITS bits at most. Bit p of chunk b stands for
     the number 1 + p + (b - 1) * 8 * 4096, a number being a place + 1."""
     number = place + 1
     return wanted.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(
@@ -130,9 +135,10 @@ def _table_of(place, wanted: DataFrame) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the classes in ``wanted`` (class, doc_id). Their texts are found again by a bit
     table of doc_ids, so no other text is cut into shingles twice, and none is shuffled."""
-    place = _place(F.col("doc_id"))
-    chunks = _table_of(place, wanted).collect()  # at most 2^TABLE_BITS bits
-    bits = bytearray(1 << (TABLE_BITS - 3))
+    size = _bits_for(wanted)
+    place = _place(F.col("doc_id"), size)
+    chunks = _table_of(place, wanted).collect()  # at most 2^MOST_BITS bits
+    bits = bytearray(1 << max(size - 3, 15))
     for bucket, chunk in chunks:
         at = (bucket - 1) * len(chunk)
         bits[at : at + len(chunk)] = chunk
@@ -313,8 +319,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, ro
     fates = fates.withColumn("stays", F.coalesce("stays", F.lit(False))).filter("n > 1 OR NOT stays")
     fates = keep(fates, "fates")
 
-    table_of = F.broadcast(_table_of(_place(F.col("_id")), fates).select(F.col("bucket").alias("_bucket"), "bits"))
-    number = _place(F.col("doc_id").cast("long")) + 1
+    size = _bits_for(fates)
+    table_of = F.broadcast(_table_of(_place(F.col("_id"), size), fates).select(F.col("bucket").alias("_bucket"), "bits"))
+    number = _place(F.col("doc_id").cast("long"), size) + 1
     row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
     placed = docs.select(row, F.bitmap_bucket_number(number).alias("_bucket"), F.bitmap_bit_position(number).alias("_bit"))
     placed = placed.join(table_of, "_bucket", "left")

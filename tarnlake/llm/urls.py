@@ -8,8 +8,9 @@ innermost rule from there on. Urls are sorted in between and take the rule of th
 before them. A url is swept once for each of its ancestor hosts that has rules, so at most as often
 as the longest rule host has labels; the longest of the rules found wins.
 
-Sweeps run per (rule host, salt): the boundaries of a host are repeated for each salt and its urls are
-dealt out among the salts, so a host with a third of all urls is many tasks.
+Sweeps run per (rule host, salt): the urls of each rule host are counted, a host has a salt for every
+``SWEPT`` of them, its boundaries are repeated for each salt and its urls are dealt out among the salts. So a
+host with a third of all urls is as many tasks as its size needs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.words import table
+from tarnlake.names import quoted
 from tarnlake.session import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +31,9 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: tasks that one rule host's urls are dealt out to
+#: urls of a rule host in one sweep
+SWEPT = 1 << 17
+#: but so many salts at least, one per url at most, so that small tables run in parallel as well
 SALTS = 32
 
 
@@ -95,8 +99,9 @@ LAST = "\U0010ffff\U0010ffff"
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", salts: int = SALTS
-) -> DataFrame:
+    pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", salts: int = SALTS,
+    swept: int = SWEPT,
+) -> DataFrame:
     """``pages`` (columns named below replaced) with host, path, rule (``host`` + ``path`` of the longest
     rule that fits, null: none) and verdict (that rule's, else ``otherwise``).
 
@@ -104,44 +109,49 @@ def judge_urls(
     malformed urls have an empty host and path and fit no rule. Repeated rows are judged each;
     without rules every url gets ``otherwise``.
     """
-    host, path = host_and_path(F.col(url))
-    rows = pages.drop("host", "path", "rule", "verdict").withColumns(
-        {"host": host, "path": path, "_row": F.monotonically_increasing_id()}
-    )
+    host, path = host_and_path(F.col(quoted(url)))
+    others = pages.drop("host", "path", "rule", "verdict").columns
+    # the own columns in one struct, so that none of any name is in the way
+    box = F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in others]).alias("box")
+    rows = pages.select(box, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     rows = keep(rows, "urls")
-    swept = keep(boundaries(rules), "boundaries")  # read twice below
-    depths = [r[0] for r in swept.select("labels").distinct().collect()]  # at most 127 by DNS
+    unboxed = [F.col(f"box.{quoted(c)}").alias(c) for c in others]
+    edges = keep(boundaries(rules), "boundaries")  # read more than once below
+    depths = [r[0] for r in edges.select("labels").distinct().collect()]  # at most 127 by DNS
     if not depths:
-        return rows.drop("_row").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
+        return rows.select(*unboxed, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     labels = F.split("host", r"\.")
     ancestors = F.filter(
         F.array(*[F.when(F.size(labels) >= d, reversed_host(F.slice(labels, -d, d))) for d in depths]),
         lambda domain: domain.isNotNull(),
     )
-    keys = rows.select("_row", F.explode(ancestors).alias("domain"), F.col("path").alias("at"))
-    keys = keys.join(swept.select("domain").distinct(), "domain", "left_semi")
-    salted = keys.select(
-        "domain", F.pmod(F.hash("_row"), F.lit(salts)).alias("salt"), "at", F.lit(0).alias("closes"),
-        F.lit(1 << 30).alias("tie"), F.lit(None).cast(swept.schema["rule"].dataType).alias("rule"), "_row",
+    keys = rows.select("row", F.explode(ancestors).alias("domain"), F.col("path").alias("at"))
+    # one row per rule host and number of salts; hosts without a rule leave
+    asked = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.least("n", F.greatest(F.lit(salts), F.ceil(F.col("n") / swept))).cast("int")
+    hosts = edges.select("domain").distinct().join(asked, "domain").select("domain", needed.alias("salts"))
+    hosts = keep(hosts, "hosts")
+    rule = edges.schema["rule"].dataType
+    salted = keys.join(hosts, "domain").select(
+        "domain", F.pmod(F.hash("row"), F.col("salts")).alias("salt"), "at", F.lit(0).alias("closes"),
+        F.lit(1 << 30).alias("tie"), F.lit(None).cast(rule).alias("rule"), "row",
     )
-    edges = swept.select(
-        "domain", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", "closes",
+    repeated = edges.join(hosts, "domain").select(
+        "domain", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "at", "closes",
         "tie", F.coalesce("rule", F.struct(F.lit(0).alias("length"), F.lit("").alias("rule"), F.lit("").alias("verdict"))).alias("rule"),
-        F.lit(None).cast("long").alias("_row"),
+        F.lit(None).cast("long").alias("row"),
     )
     sweep = Window.partitionBy("domain", "salt").orderBy("at", "closes", "tie")
     sweep = sweep.rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        salted.unionByName(edges)
+        salted.unionByName(repeated)
         .withColumn("rule", F.last("rule", ignorenulls=True).over(sweep))
-        .filter("_row IS NOT NULL AND rule.length > 0")
-        .groupBy("_row")
-        .agg(F.max("rule").alias("_rule"))
+        .filter("row IS NOT NULL AND rule.length > 0")
+        .groupBy("row")
+        .agg(F.max("rule").alias("found"))
     )
-    return rows.join(found, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in rows.columns if c != "_row"],
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.lit(otherwise)).alias("verdict"),
+    return rows.join(found, "row", "left").select(
+        *unboxed, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(otherwise)).alias("verdict")
     )
 
 
@@ -155,7 +165,7 @@ WITH u AS (
   SELECT page_id, coalesce(url, '') AS url FROM pages),
 s AS (
   SELECT page_id,
-         lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)) AS host,
+         translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path
   FROM u),
 r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),

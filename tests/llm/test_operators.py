@@ -672,6 +672,34 @@ def test_mix_of_a_hot_source(spark):
     assert all(abs(r["taken"] - r["target"]) <= max(2, 0.01 * r["target"]) for r in rows)
 
 
+@pytest.mark.parametrize("swept", [1, 7, urls.SWEPT])
+def test_urls_keep_every_column_and_host_size(spark, swept):
+    """Columns with the names used inside, and rule hosts of any number of urls."""
+    rows = [(i, f"http://{'www.' * (i % 2)}example.{'com' if i % 3 else 'net'}/{'en' if i % 5 else 'fr'}/{i}", i * 2, "b") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _row long, box string").withColumnRenamed("box", "row")
+    found = urls.judge_urls(pages, urls.rule_frame(spark, urls.RULES), swept=swept)
+    assert found.columns == ["page_id", "url", "_row", "row", "host", "path", "rule", "verdict"]
+    for r in found.collect():
+        host, path = r["host"], r["path"]
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fits)[1:] if fits else (None, "allow")
+        assert (r["_row"], r["row"]) == (2 * r["page_id"], "b") and (r["rule"], r["verdict"]) == want
+
+
+def test_windows_of_a_large_benchmark_are_built_fast():
+    """8 MB of items, many with a shared passage: built in seconds, sent small, and found as by brute force."""
+    random = np.random.default_rng(1)
+    vocabulary = [f"w{i}x{'y' * (i % 5)}" for i in range(5000)]
+    shared = " ".join(vocabulary[:12])
+    items = [(str(k), " ".join([*random.choice(vocabulary, 50), shared if k % 3 == 0 else "end"]).encode()) for k in range(20_000)]
+    began = time.process_time()
+    windows = decontamination.Windows(items, decontamination.WINDOW)
+    assert time.process_time() - began < 5 * 3
+    text = ["a", *items[7][1].decode().split()[5:25], "b", *vocabulary[1:11], "c"]
+    spans, found = windows.find([w.encode() for w in text])
+    assert spans == [(1, 21), (22, 32)] and found == {"7", *(str(k) for k in range(0, 20_000, 3))}
+
+
 # exact duplicates
 
 
