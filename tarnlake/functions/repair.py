@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 
 from tarnlake.session import ship_package
 
+# groups: text, text in single quotes, open text, mark, bare word; then the end
 _TOKEN = re.compile(
-    r"""\s+"""
-    r"""|(?P<text>"(?:[^"\\\n]|\\.)*")"""
-    r"""|(?P<single>'(?:[^'\\\n]|\\.)*')"""
-    r"""|(?P<open>["'][^\n]*)"""
-    r"""|(?P<mark>[{}\[\],:])"""
-    r"""|(?P<bare>[^\s"',:{}\[\]][^",:{}\[\]\n]*)""",
+    r"""\s*(?:("(?:[^"\\\n]++|\\.)*+")"""
+    r"""|('(?:[^'\\\n]++|\\.)*+')"""
+    r"""|(["'][^\n]*)"""
+    r"""|([{}\[\],:])"""
+    r"""|([^\s"',:{}\[\]][^",:{}\[\]\n]*)|\Z)""",
 )
+TEXT, SINGLE, OPEN, MARK, BARE = range(1, 6)
 _NUMBER = re.compile(r"(-?)0*(\d*)(?:\.(\d*))?([eE][+-]?\d+)?")
 LITERALS = {
     "true": "true", "True": "true", "TRUE": "true", "false": "false", "False": "false", "FALSE": "false",
@@ -56,10 +57,10 @@ def _quoted(text: str) -> str:
     return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
-def _text(kind: str, token: str) -> str:
-    if kind == "text":
+def _text(kind: int, token: str) -> str:
+    if kind == TEXT:
         return token
-    if kind == "open":
+    if kind == OPEN:
         return '"' + token[1:].replace('"', '\\"') + '"'
     return '"' + token[1:-1].replace("\\'", "'").replace('"', '\\"') + '"'
 
@@ -70,64 +71,53 @@ def repaired(text: str | None) -> str | None:
         return None
     out: list[str] = []
     stack: list[str] = []
-    state, place, done = VALUE, 0, False
-    while place < len(text):
-        m = _TOKEN.match(text, place)
-        if m is None:
-            return None
-        place, kind = m.end(), m.lastgroup
-        if kind is None:
-            continue
+    state, inside, add = VALUE, "", out.append
+    following = _TOKEN.scanner(text).match
+    while (m := following()) is not None and (kind := m.lastindex) is not None:
         token = m[kind]
-        if done or (not stack and token not in ("{", "[")):
+        if not inside and (out or token not in ("{", "[")):
             return None
-        if kind == "mark":
-            if token in "}]":
-                if not stack or stack[-1] != ("{" if token == "}" else "["):
-                    return None
-                if token == "}" and state == VALUE:
-                    out.append("null")
-                elif state == COLON:
-                    out.append(":null")
-                stack.pop()
-                out.append(token)
-                state, done = AFTER, not stack
-                continue
-            if token == ",":
-                if state == VALUE and stack[-1] == "{":
-                    out.append("null")
-                elif state == COLON:
-                    out.append(":null")
-                state = KEY if stack[-1] == "{" else VALUE
-                continue
+        if kind == MARK:
             if token == ":":
                 if state != COLON:
                     return None
-                out.append(":")
+                add(":")
                 state = VALUE
                 continue
+            if token in ",}]":
+                # what stands before is at its end
+                if inside == "{" and state in (VALUE, COLON):
+                    add("null" if state == VALUE else ":null")
+                if token == ",":
+                    state = KEY if inside == "{" else VALUE
+                    continue
+                if inside != ("{" if token == "}" else "["):
+                    return None
+                add(token)
+                stack.pop()
+                inside, state = stack[-1] if stack else "", AFTER
+                continue
         # a key or a value begins here
         if state == COLON:
             return None
         if state == AFTER:
-            state = KEY if stack[-1] == "{" else VALUE
-        first = state == KEY or (stack and stack[-1] == "[")
-        if first and out[-1] not in ("{", "["):
-            out.append(",")
+            state = KEY if inside == "{" else VALUE
+        if (state == KEY or inside == "[") and out[-1] not in "{[":
+            add(",")
         if state == KEY:
-            if kind == "mark" or kind == "open":
+            if kind == MARK or kind == OPEN:
                 return None
-            out.append(_quoted(token.rstrip()) if kind == "bare" else _text(kind, token))
+            add(_quoted(token.rstrip()) if kind == BARE else _text(kind, token))
             state = COLON
-        elif kind == "mark":
-            out.append(token)
+        elif kind == MARK:
+            add(token)
             stack.append(token)
-            state = KEY if token == "{" else VALUE
+            inside, state = token, KEY if token == "{" else VALUE
         else:
-            value = _bare(token) if kind == "bare" else _text(kind, token)
-            out.append("null" if value == '""' and stack[-1] == "{" else value)
+            value = _bare(token) if kind == BARE else _text(kind, token)
+            add("null" if value == '""' and inside == "{" else value)
             state = AFTER
-    return "".join(out) if done else None
+    return "".join(out) if out and not stack and m is not None else None
 
 
 def repaired_column(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions.numbers import is_whole, to_number
 from tarnlake.functions.text import collapse_spaces
 from tarnlake.functions.times import parse_time
+from tarnlake.names import quoted
 from tarnlake.types import is_text
 
 # Defaults of the cleaning steps.
@@ -32,31 +33,42 @@ def fill_nulls(df: DataFrame, columns: list[str], value: Any = NULL_TEXT) -> Dat
     return df.withColumns(filled)
 
 
-def convert_types(df: DataFrame, columns: list[str], fill: int = 0) -> DataFrame:
+def convert_types(
+    df: DataFrame, columns: list[str], fill: int = 0, known: dict[str, bool] | None = None
+) -> DataFrame:
     """Numbers of text columns. A column of whole numbers that fit becomes bigint, digit for digit, with
     nulls filled; any other becomes double with nulls kept.
 
-    The type depends on the data, so one aggregate over the columns runs first.
+    The type depends on the data, so one aggregate over the columns runs first, but for those of which ``known``
+    says whether they are whole.
     """
-    numbers = {n: to_number(F.col(f"`{n}`")) for n in columns}
-    exact = {n: exact_whole(F.col(f"`{n}`"), c) for n, c in numbers.items()}
-    whole = df.agg(
-        *[F.coalesce(F.every(c.isNull() | exact[n].isNotNull()), F.lit(True)).alias(n) for n, c in numbers.items()]
-    ).first()
-    return df.withColumns(
-        {
-            n: F.coalesce(exact[n], F.lit(fill).cast("bigint")) if whole[n] else c
-            for n, c in numbers.items()
-        }
-    )
+    known = known or {}
+    whole = known | whole_columns(df, [n for n in columns if n not in known])
+    converted = {}
+    for n in columns:
+        number = to_number(F.col(quoted(n)))
+        exact = exact_whole(F.col(quoted(n)), number)
+        converted[n] = F.coalesce(exact, F.lit(fill).cast("bigint")) if whole[n] else number
+    return df.withColumns(converted)
+
+
+def whole_columns(df: DataFrame, columns: list[str]) -> dict[str, bool]:
+    """Whether all numbers of a column are whole and fit bigint; one aggregate for all columns."""
+    if not columns:
+        return {}
+    checks = []
+    for i, n in enumerate(columns):
+        number = to_number(F.col(quoted(n)))
+        fits = number.isNull() | exact_whole(F.col(quoted(n)), number).isNotNull()
+        checks.append(F.coalesce(F.every(fits), F.lit(True)).alias(f"c{i}"))
+    return dict(zip(columns, df.agg(*checks).first(), strict=True))
 
 
 def exact_whole(c: Column, number: Column) -> Column:
     """The bigint that a number is: from its digits, or from a double that is surely whole."""
     sure = is_whole(number) & (F.abs(number) < F.lit(float(1 << 53)))
-    digits = F.when(number.isNotNull(), c.cast("string").try_cast("decimal(38,0)"))
-    plain = c.cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$")
-    return F.coalesce(F.when(plain, digits.try_cast("bigint")), F.when(sure, number.try_cast("bigint")))
+    digits = F.when(number.isNotNull(), c.cast("string").try_cast("bigint"))
+    return F.coalesce(digits, F.when(sure, number.try_cast("bigint")))
 
 
 def validate_dates(df: DataFrame, columns: list[str], default: date | None = None) -> DataFrame:
@@ -89,7 +101,7 @@ def clean_strings(df: DataFrame, columns: list[str], email_default: str = UNKNOW
 
 STEPS = {
     "handle_nulls": lambda df, cols, p: fill_nulls(df, cols, p.get("fill_value", NULL_TEXT)),
-    "convert_types": lambda df, cols, p: convert_types(df, cols, p.get("fill_value", 0)),
+    "convert_types": lambda df, cols, p: convert_types(df, cols, p.get("fill_value", 0), p.get("_whole")),
     "validate_dates": lambda df, cols, p: validate_dates(df, cols, _date(p.get("default_date"))),
     "clean_strings": lambda df, cols, p: clean_strings(df, cols, p.get("email_default", UNKNOWN_EMAIL)),
 }
@@ -144,14 +156,26 @@ def apply_cleaning(
 ) -> tuple[DataFrame, list[dict]]:
     """(cleaned frame, steps that were applied). Steps that are malformed, below confidence 0.7 or
     not applicable to the table are left out."""
+    steps = [
+        step for step in (with_default_steps(plan, df.columns, today) if defaults else plan)
+        if not step_problem(step) and step["confidence"] >= MIN_CONFIDENCE and set(step["columns"]) <= set(df.columns)
+    ]
+    # one aggregate over the source decides for all columns that no earlier step changes
+    touched: set[str] = set()
+    early: dict[int, list[str]] = {}
+    for i, step in enumerate(steps):
+        if step["strategy"] == "convert_types":
+            early[i] = [n for n in step["columns"] if n not in touched]
+        touched |= set(step["columns"])
+    try:
+        whole = whole_columns(df, sorted({n for names in early.values() for n in names}))
+    except AnalysisException:  # the step at fault decides for itself
+        whole = {}
     applied = []
-    for step in with_default_steps(plan, df.columns, today) if defaults else plan:
-        if step_problem(step) or step["confidence"] < MIN_CONFIDENCE:
-            continue
-        if not set(step["columns"]) <= set(df.columns):
-            continue
+    for i, step in enumerate(steps):
+        known = {"_whole": {n: whole[n] for n in early[i] if n in whole}} if i in early else {}
         try:
-            df = STEPS[step["strategy"]](df, step["columns"], step["parameters"])
+            df = STEPS[step["strategy"]](df, step["columns"], step["parameters"] | known)
             df.schema  # analysis errors belong to this step
         except AnalysisException:  # a job that fails is no step that does not apply
             continue

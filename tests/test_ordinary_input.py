@@ -87,6 +87,22 @@ def test_a_failing_job_is_not_a_step_that_does_not_apply(spark, monkeypatch):
         cleaning.apply_cleaning(spark.range(1), [step], defaults=False)
 
 
+def test_one_job_decides_for_all_conversions(spark, monkeypatch):
+    """Columns that an earlier step changes are decided for after it; a step that does not apply spoils no other."""
+    df = spark.createDataFrame([("1", "1.5", "x", None, [1]), ("2", "7", "8", "3", [2])], "a string, b string, c string, d string, e array<int>")
+    step = lambda strategy, *columns, **parameters: {
+        "strategy": strategy, "columns": list(columns), "parameters": parameters, "confidence": 0.9, "description": "s"
+    }
+    calls = []
+    monkeypatch.setattr(cleaning, "whole_columns", lambda d, c, f=cleaning.whole_columns: calls.append(sorted(c)) or f(d, c))
+    plan = [step("convert_types", "a", "b"), step("handle_nulls", "d", fill_value="0.5"), step("convert_types", "d"), step("convert_types", "c")]
+    out, applied = cleaning.apply_cleaning(df, plan, defaults=False)
+    assert len(applied) == 4 and [c for c in calls if c] == [["a", "b", "c"], ["d"]]
+    assert [tuple(r)[:4] for r in out.collect()] == [(1, 1.5, 0, 0.5), (2, 7.0, 8, 3.0)]
+    out, applied = cleaning.apply_cleaning(df, [step("convert_types", "e"), step("convert_types", "a")], defaults=False)
+    assert [a["columns"] for a in applied] in ([["a"]], [["e"], ["a"]]) and dict(out.dtypes)["a"] == "bigint"
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("1/5/2024",), ("5.1.2024",), ("12:30",), ("2024-01-05",)], "d string")
     got = [str(r[0]) for r in df.select(times.parse_time(F.col("d"))).collect()]
