@@ -362,6 +362,42 @@ def test_base_scores(odd, frequent):
     assert all(r["score"] < 0 for r in rows)
 
 
+def test_scores_by_counting(odd, documents, monkeypatch):
+    """The documented smoothing on exact counts of words and pairs, quantised as documented, by a filter so large that there
+    are no false hits; by the usual one the scores are near."""
+    monkeypatch.setattr(scoring, "BITS_PER_NGRAM", 128)
+    docs = odd.unionByName(documents.limit(80), allowMissingColumns=True).withColumn("held_out", F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False)))
+    model, table = scoring.train(docs.filter("NOT held_out"))
+    word, pair, rows = Counter(), Counter(), docs.collect()
+    tokens = lambda r: [*words(r["text"]), " "]
+    for r in rows:
+        if not r["held_out"]:
+            own = tokens(r)
+            word.update(own)
+            pair.update(zip([" ", *own], own))
+    total = sum(word.values()) + 0.5 * (len(word) + 1)
+
+    def level(c):
+        low = 2 ** math.floor(math.log2(c)) if c else 0
+        return 0.0 if not c else 1.0 if low == 1 else low * 1.5
+
+    want = Counter()
+    for r in rows:
+        score, before = 0.0, " "
+        for t in tokens(r):
+            v, own = level(word[before]), (level(word[t]) + 0.5) / total
+            score += math.log10(min((min(level(pair[before, t]), v) + scoring.MIXED_IN * own) / (v + scoring.MIXED_IN), 1.0))
+            before = t
+        want[r["doc_id"], round(score, 6)] += 1
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in scoring.scored(docs, model, table).collect())
+    assert got == want
+    monkeypatch.setattr(scoring, "BITS_PER_NGRAM", 8)
+    model, table = scoring.train(docs.filter("NOT held_out"))
+    usual = sorted((r["doc_id"] or 0, r["score"], r["n_tokens"]) for r in scoring.scored(docs, model, table).collect())
+    for (_, score, n), (_, other) in zip(usual, sorted((i or 0, s) for i, s in got.elements())):
+        assert abs(score - other) <= 0.01 * n + 0.5
+
+
 def test_score_without_training(odd, empty):
     model, table = scoring.train(empty)
     rows = scoring.scored(odd.withColumn("held_out", F.lit(True)), model, table).collect()
