@@ -33,7 +33,7 @@ _TOKEN = re.compile(
     r"""|([^\s"',:{}\[\]][^",:{}\[\]\n]*)|\Z)""",
 )
 TEXT, SINGLE, OPEN, MARK, BARE = range(1, 6)
-_NUMBER = re.compile(r"(-?)0*(\d*)(?:\.(\d*))?([eE][+-]?\d+)?")
+_NUMBER = re.compile(r"(-?)0*+(\d*+)(?:\.(\d*))?([eE][+-]?\d+)?")
 LITERALS = {
     "true": "true", "True": "true", "TRUE": "true", "false": "false", "False": "false", "FALSE": "false",
     "null": "null", "Null": "null", "NULL": "null", "None": "null",
