@@ -120,12 +120,13 @@ def prompt(tool: dict, template: str, text: Column) -> Column:
 
 
 def categorize(
-    df: DataFrame, tool: dict, columns: list[str], scorer: Scorer | None = None
+    df: DataFrame, tool: dict, columns: list[str], scorer: Scorer | None = None, template: str | None = None
 ) -> DataFrame:
     """Add classification, confidence and reasoning of each text column.
 
     Blank or null text gets the second option with confidence 0.0. Each source column has its own
-    result; nothing depends on row positions.
+    result; nothing depends on row positions. With a ``template`` the scorer gets the tool's prompt with
+    the text filled in, else the text.
     """
     _require(df, columns)
     score = scorer or keyword_category(tool["options"], tool["terms"])
@@ -136,7 +137,8 @@ def categorize(
             F.lit(0.0).alias("confidence"),
             F.lit(NO_TEXT).alias("reasoning"),
         )
-        df = df.withColumn("_r", F.when(text.isNull() | is_blank(text), empty).otherwise(score(text)))
+        asked = text if template is None else prompt(tool, template, text)
+        df = df.withColumn("_r", F.when(text.isNull() | is_blank(text), empty).otherwise(score(asked)))
         df = df.withColumns(
             {name: F.col(f"_r.{part}") for part, name in output_names(tool, source).items()}
         ).drop("_r")

@@ -108,6 +108,8 @@ def load_prefix(
     for table, rows in read_tables(spark, prefix, extensions).items():
         locations[table] = f"{target}/{table}"
         loaded[table] = write_table(rows, database, table, locations[table])
+    if not loaded:  # no file, or files without a line
+        return spark.createDataFrame([], "table_name string, column_count int, location string, row_count bigint")
     return load_report(loaded, locations)
 
 

@@ -226,6 +226,15 @@ def test_review_labels(spark):
     assert (summary["total_records"], summary["positive"], summary["negative"], summary["neutral"]) == (3, 1, 1, 1)
 
 
+def test_prompt_of_a_tool(spark):
+    """A scorer that takes the whole prompt; an empty text is not sent."""
+    seen = lambda c: F.struct(c.alias("classification"), F.lit(1.0).alias("confidence"), F.lit("seen").alias("reasoning"))
+    tool = {"options": ["Yes", "No"], "factors": ["one", "two"], "terms": {}, "output": {k: "{source_col}_" + k for k in ("classification", "confidence", "reasoning")}}
+    df = spark.createDataFrame([("the text",), (" ",)], "c string")
+    out = enrich.categorize(df, tool, ["c"], seen, "{classification_options}? {text} by {classification_factors}")
+    assert [r["c_classification"] for r in out.collect()] == ["Yes or No? the text by one\ntwo", "No"]
+
+
 def test_sentiment(spark):
     df = spark.createDataFrame(
         [("The food quality was great, staff friendly",), ("Terrible price",), ("",), (None,)], "c string"

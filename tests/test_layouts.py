@@ -125,6 +125,12 @@ def test_many_small_files_need_few_jobs(spark, base):
     assert frame.count() == 300 and frame.agg({"id": "sum"}).first()[0] == sum(range(300))
 
 
+def test_nothing_to_load(spark, base):
+    put(f"{base}/in/t/notes.txt", "not a table")
+    put(f"{base}/in/empty.csv", "")
+    assert load(spark, base) == {}
+
+
 def test_lattice():
     kind = lambda a, b: lattice.widened(a, b).simpleString()
     whole, real, text, day = T.LongType(), T.DoubleType(), T.StringType(), T.DateType()
