@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +32,10 @@ from tarnlake.sources.xlsx import excel_frames
 
 #: folder name that Hive writes for a null
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: largest JSON document that a task holds as bytes (an array of the JVM ends at 2^31)
+WHOLE_BYTES = 1 << 30
+#: head of a JSON document beyond that, which is parsed from a stream
+LARGE = "large document"
 
 
 @dataclass
@@ -92,12 +97,13 @@ def file_groups(spark: SparkSession, prefix: str, extensions: list[str] | None =
     inside = F.regexp_extract("path", rf"\Q{root}/\E(.*)$", 1)
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix)
-        .select("path", F.col("_metadata.file_path").alias("uri"))
+        .select("path", "length", F.col("_metadata.file_path").alias("uri"))
         .filter(F.lower(extension(F.col("path"))).isin(chosen))
         .select(
             "path", "uri", format_of(F.col("path")).alias("format"),
             F.regexp_extract(inside, "^([^/]*)", 1).alias("unit"),
             F.regexp_extract_all(F.regexp_extract(inside, "^(.*/)", 1), F.lit("([^/=]+)=[^/]*/"), 1).alias("keys"),
+            (F.col("length") > WHOLE_BYTES).alias("large"),
         )
     )
     lined = [e for e in chosen if FORMATS.get(e) in ("csv", "json")]
@@ -107,6 +113,7 @@ def file_groups(spark: SparkSession, prefix: str, extensions: list[str] | None =
         files = files.withColumn("head", F.lit(None).cast("string"))
     found = (
         files.filter("format NOT IN ('csv', 'json') OR head IS NOT NULL")
+        .withColumn("head", F.when(F.expr("format <> 'csv' AND head = 'document' AND large"), LARGE).otherwise(F.col("head")))
         .groupBy("unit", "format", "head", "keys")
         .agg(F.sort_array(F.collect_list("path")).alias("paths"))
         .collect()
@@ -161,7 +168,12 @@ def _read_group(spark: SparkSession, group: Group, schema: T.StructType | None =
     if group.format == "csv":
         found = reader.option("header", True).option("inferSchema", schema is None).csv(paths)
     else:
-        found = reader.option("multiLine", group.head == "document").option("mode", "FAILFAST").json(paths)
+        found = reader.option("multiLine", group.head in ("document", LARGE)).option("mode", "FAILFAST").json(paths)
+        if group.head == "document":
+            # each file is one line, which ends with what no document holds: of bytes, a number that is read as text is
+            # a slice, while of a stream Spark reads some kilobytes of the file again for each
+            whole = spark.read.schema(found.schema).option("lineSep", f"\0{uuid.uuid4().hex}")
+            found = whole.option("mode", "FAILFAST").json(paths)
     return [_with_keys(found, group)]
 
 

@@ -155,3 +155,24 @@ def test_concatenation_of_differing_types(spark):
         ("K7", "2024-01-06 10:00:00", (None, "7", 2.0), ["z"], {"k": 2}, 2.0, True)]
     nested = sets.concatenate([spark.sql("SELECT array(1, 2) AS x"), spark.sql("SELECT 'text' AS x")])
     assert [r[0] for r in nested.collect()] == ["[1,2]", "text"]
+
+
+@pytest.mark.parametrize("limit", [layouts.WHOLE_BYTES, 100])
+def test_documents_are_read_once(spark, base, monkeypatch, limit):
+    """Numbers read as text keep their digits, and the file is not read again for each; documents beyond the limit are streamed."""
+    monkeypatch.setattr(layouts, "WHOLE_BYTES", limit)
+    texts = ["-0", "1.50", "12345678901234567890.10e5", *map(str, range(3000))]
+    records = ",\n".join(f'{{"id": {t}, "n": {{"a" : 1.0}}}}' for t in texts)
+    put(f"{base}/in/t/a.json", f"[\n{records}\n]\n")
+    put(f"{base}/in/t/b.json", '{\n "id": "x",\n "n": "y"\n}\n')
+    put(f"{base}/in/t/c.csv", "document\nz\n")
+    put(f"{base}/in/t/d.json", '[\n{"id": 9.0}, {"id": 9.00}\n]\n')
+    (table,) = layouts.read_tables(spark, f"{base}/in").values()
+    found = sorted((r["id"], r["n"]) for r in table.filter("document IS NULL").fillna("none").collect())
+    assert found == sorted([*((t, '{"a" : 1.0}') for t in texts), ("x", "y"), ("9.0", "none"), ("9.00", "none")])
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    read = lambda: sum(s.getBytesRead() for s in files if s.getScheme() == "file")
+    before = read()
+    table.write.format("noop").mode("overwrite").save()
+    if limit > 100:  # of a stream, some kilobytes for each number
+        assert read() - before < 20 * len(records)
