@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,52 +29,61 @@ class _Retention(StatefulProcessor):
     def __init__(self, minutes: int, key: str, identifier: T.StructField, columns: list[str]):
         self.millis = minutes * 60_000
         self.key, self.identifier, self.columns = key, identifier.name, columns
-        self.schema = T.StructType([T.StructField("id", identifier.dataType), T.StructField("at", T.LongType())])
+        # one element for all that a run adds to a key: a call of the state store costs as much as many events
+        self.schema = T.StructType(
+            [T.StructField("ids", T.ArrayType(identifier.dataType)), T.StructField("ats", T.ArrayType(T.LongType()))]
+        )
+        # numbers: two unknown ones are not the same
+        self.unknown = isinstance(identifier.dataType, (T.IntegralType, T.FloatType, T.DoubleType))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", self.schema)
+        self.events = handle.getListState("chunks", self.schema)
+        self.row = Row(*self.columns, "change")
 
     def _end(self, at: int) -> int:
         """The first millisecond at which an event of that time (in microseconds) is over."""
         return at // 1000 + self.millis + 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = [tuple(e) for e in self.events.get()] if self.events.exists() else []
+    def _known(self) -> list[tuple]:
+        return [event for ids, ats in self.events.get() for event in zip(ids, ats, strict=True)]
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self._known()
         seen = {e[0] for e in known}
-        oldest, new = min((e[1] for e in known), default=None), []
-        for batch in rows:
-            fresh = []
-            for identifier, at in zip(batch[self.identifier].tolist(), batch[AT].tolist(), strict=True):
-                fresh.append(identifier not in seen)
-                if fresh[-1]:
-                    seen.add(identifier)
-                    new.append((identifier, int(at)))
-            kept = batch[fresh]
-            if len(kept):
-                yield kept[self.columns].assign(change="kept")
-        if new:
-            self.events.appendList(new)
-            first = min(at for _, at in new)
+        oldest, ids, ats = min((e[1] for e in known), default=None), [], []
+        values = None
+        for row in rows:
+            values = values or itemgetter(*map(row.__fields__.index, [self.identifier, AT, *self.columns]))
+            identifier, at, *kept = values(row)
+            if identifier in seen and not (identifier is None and self.unknown):
+                continue
+            seen.add(identifier)
+            ids.append(identifier)
+            ats.append(at)
+            yield self.row(*kept, "kept")
+        if ids:
+            self.events.appendValue((ids, ats))
+            first = min(ats)
             if oldest is None or first < oldest:
                 self.handle.registerTimer(self._end(first))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        events = [tuple(e) for e in self.events.get()]
-        over = [e for e in events if self._end(e[1]) <= now]
-        rest = [e for e in events if self._end(e[1]) > now]
+        over, rest = [], []
+        for event in self._known():
+            (over if self._end(event[1]) <= now else rest).append(event)
         if not over:
             return
         if rest:
-            self.events.put(rest)
+            self.events.put([([e[0] for e in rest], [e[1] for e in rest])])
             self.handle.registerTimer(self._end(min(e[1] for e in rest)))
         else:
             self.events.clear()
-        gone = pd.DataFrame({c: [None] * len(over) for c in self.columns})
-        gone[self.key] = [key[0]] * len(over)
-        gone[self.identifier] = [e[0] for e in over]
-        yield gone.assign(change="expired")
+        blank = dict.fromkeys(self.columns)
+        for identifier, _ in over:
+            gone = {**blank, self.key: key[0], self.identifier: identifier}
+            yield self.row(*gone.values(), "expired")
 
     def close(self) -> None:
         pass
@@ -102,7 +111,7 @@ def retained_changes(
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields]
     processor = _Retention(minutes, plain[key], rows.schema[plain[identifier]], rows.columns)
     out = T.StructType([*fields, T.StructField("change", T.StringType())])
-    changes = timed.groupBy("by").transformWithStateInPandas(processor, out, "Append", "EventTime")
+    changes = timed.groupBy("by").transformWithState(processor, out, "Append", "EventTime")
     return changes.select(*[F.col(p).alias(n) for n, p in plain.items()], "change")
 
 

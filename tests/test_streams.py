@@ -3,7 +3,9 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.streaming import events as stm
 from tarnlake.streaming import retention
@@ -149,3 +151,60 @@ def test_retained_events_over_several_runs(spark, tmp_path, source):
     frame(spark, [45]).withColumn("event_id", F.col("event_id") + 4).write.mode("append").parquet(source)
     # the identifier that one key lost, another one has
     assert run() == ([(4, 45), (5, 38), (6, 39), (6, 39)], 5)
+
+
+class Store:
+    """A list state and its timers, with the calls that store something."""
+
+    def __init__(self):
+        self.elements, self.calls, self.timers = [], 0, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 11 * 60_000
+
+    def get(self):
+        return iter(self.elements)
+
+    def put(self, elements):
+        self.elements, self.calls = elements, self.calls + 1
+
+    def appendValue(self, element):  # noqa: N802
+        self.put([*self.elements, element])
+
+    def clear(self):
+        self.put([])
+
+
+def test_a_run_stores_one_element_for_a_key():
+    """However many events a key has; identifiers that are unknown numbers are no repeats."""
+    store, minute = Store(), 60_000_000
+    kept = retention._Retention(10, "c0", T.StructField("c1", T.LongType()), ["c0", "c1"])
+    kept.init(store)
+    made = Row("c0", "c1", "at")
+    rows = [made("k", i % 100, i * minute // 50) for i in range(150)] + [made("k", None, 0)] * 2
+    out = list(kept.handleInputRows(("k",), iter(rows), store))
+    assert [(r["c1"], r["change"]) for r in out] == [(i, "kept") for i in [*range(100), None, None]]
+    assert (store.calls, len(store.elements)) == (1, 1)
+    assert not list(kept.handleInputRows(("k",), iter(rows[:100]), store))
+    assert (store.calls, store.timers) == (1, [600_001])
+    gone = list(kept.handleExpiredTimer(("k",), store, None))
+    assert [tuple(r) for r in gone] == [("k", i, "expired") for i in [*range(50), None, None]]
+    assert (store.calls, len(store.elements), store.timers[1:]) == (2, 1, [660_001])
+
+
+def test_retained_events_beside_unknown_keys(spark, tmp_path):
+    """A key that is null is one of its own, and the keys beside it stay what they are."""
+    data = [(i, START + timedelta(minutes=i % 40), None if i % 5 == 0 else i % 3) for i in range(400)]
+    table = spark.createDataFrame(data, "id bigint, ts timestamp_ntz, kind bigint").coalesce(1)
+    source, out = str(tmp_path / "source"), str(tmp_path / "out")
+    table.write.parquet(source)
+    stream = stm.stream_files(spark, source, table.schema)
+    stm.run_available(retention.retained_changes(stream, "kind", "id", 10), out, str(tmp_path / "cp"))
+    got = retention.retained(spark.read.parquet(out), "kind", "id").select("id", "kind")
+    assert sorted(rows(got), key=str) == sorted([(i, k) for i, t, k in data if t.minute >= 29], key=str)
